@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from tidemark.llm import common
 
 _HEAP_BYTES = 512
-_CACHE_WORDS = 400_000
+_CACHE_WORDS = 120_000
 _NONE = np.iinfo(np.int64).max
 
 
@@ -173,7 +173,7 @@ def encode_decode(df: DataFrame, path: str, id_col: str = "doc_id", text_col: st
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = word_bpe(path)
-        for batch in common.slices(batches, "text", 2 << 20):
+        for batch in common.slices(batches, "text", 1 << 19):
             ids = bpe.encode([x.decode("utf-8", "replace") for x in batch.column("text").to_pylist()])
             yield pa.record_batch(
                 [

@@ -91,6 +91,9 @@ def measure(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry
     )
     step = lambda i, k: F.least(F.lit(3), F.coalesce(F.get(F.col("_sorted"), k + 1) - i, F.lit(3))).cast("long")
     repeated = F.coalesce(F.aggregate(F.transform("_sorted", step), F.lit(0).cast("long"), lambda a, b: a + b), F.lit(0).cast("long"))
+    # A filter on the ledger must not be rewritten into filters on these expressions, which would run
+    # them anew for every element; Catalyst moves no filter below a non-deterministic projection.
+    repeated = F.when(F.monotonically_increasing_id() >= 0, repeated)
     measured = found.select(
         F.col("_id").alias(id_col), *kept, "n_words", "word_chars", "n_symbols", "n_text_lines", "n_dup_lines", repeated.alias("n_repeat_words")
     )

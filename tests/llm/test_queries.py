@@ -100,3 +100,34 @@ def test_lines(spark, sf_dir, docs):
 
 def test_simhash(spark, sf_dir, docs):
     assert rows(q.op10_simhash_near_dedup(spark, sf_dir), "doc_id", "fingerprint", "component_id") == brute.simhash(docs)
+
+
+def test_pipeline(spark, sf_dir, docs):
+    import base64
+
+    import corpus_pipeline as p
+    from tidemark.llm import quality
+
+    frame, kept = spark.read.parquet(f"{sf_dir}/documents.parquet"), docs
+    for name, stage in p.STAGES[:-1]:
+        out = stage(spark, frame, sf_dir).cache()
+        assert out.columns == frame.columns
+        got = {r.doc_id: r.text for r in out.collect()}
+        assert all(r.n_chars == len(r.text) for r in out.select("text", "n_chars").collect())
+        if name == "quality_rules":
+            ledger = quality.apply_policy(quality.measure(frame), quality.STANDARD)
+            assert got == {r.doc_id: kept[r.doc_id] for r in ledger.filter("kept").collect()}
+        elif name == "line_dedup":
+            assert {(d, brute.sha(t)) for d, t in got.items()} == {(x[0], x[3]) for x in brute.lines(kept)}
+        elif name == "near_dedup":
+            assert got == {d: kept[d] for d, _, c in brute.simhash(kept) if d == c}
+        else:
+            want = {x[0]: x[3] for x in brute.substring(kept)}
+            assert {d: brute.sha(" ".join(brute.WORD.findall(t))) for d, t in got.items()} == want
+        frame, kept = out, got
+    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    pieces = {}
+    for r in p.run(spark, sf_dir).collect():
+        pieces.setdefault(r.doc_id, []).append((r.start, base64.b64decode(r.ids)))
+    got = {d: np.frombuffer(b"".join(x for _, x in sorted(y)), "<u4").tolist() for d, y in pieces.items()}
+    assert got == {d: [*t.encode(x, add_special_tokens=False).ids, 1] for d, x in kept.items()}

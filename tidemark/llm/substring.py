@@ -85,15 +85,56 @@ def repeated(hashes: np.ndarray, doc: np.ndarray, pos: np.ndarray) -> np.ndarray
     return out
 
 
-def _by_document(doc: np.ndarray, prints: np.ndarray, pos: np.ndarray) -> tuple[np.ndarray, np.ndarray, pa.Array]:
-    order = np.lexsort((pos, prints, doc))
-    doc, prints, pos = doc[order], prints[order], pos[order]
-    first = np.flatnonzero(np.append(True, (doc[1:] != doc[:-1]) | (prints[1:] != prints[:-1]))) if len(doc) else np.empty(0, np.int64)
-    return doc[first], prints[first], rolling.binary_rows(pos.astype("<u4"), np.diff(np.append(first, len(doc))))
+def _pack_late(ids: np.ndarray, prints: np.ndarray, pos: np.ndarray, bits: int) -> list[tuple[int, bytes, int]]:
+    """Windows to remove as (bucket, blob, size) rows, one for each bucket of documents."""
+    if not len(ids):
+        return []
+    bucket = (rolling.mix(ids.astype(np.int64).view(np.uint64)) & np.uint64((1 << bits) - 1)).astype(np.int64)
+    order = np.lexsort((pos, prints, ids, bucket))
+    ids, prints, pos, bucket = ids[order], prints[order], pos[order], bucket[order]
+    first = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])).tolist()
+    rows = []
+    for a, b in zip(first, [*first[1:], len(bucket)], strict=True):
+        own, own_prints = ids[a:b], prints[a:b]
+        docs = np.flatnonzero(np.append(True, (own[1:] != own[:-1]) | (own_prints[1:] != own_prints[:-1])))
+        counts = np.diff(np.append(docs, b - a))
+        step = np.diff(pos[a:b], prepend=0)
+        step[docs] = pos[a:b][docs]
+        raw = b"".join(
+            [np.array([len(docs), b - a], "<i8").tobytes()]
+            + [np.ascontiguousarray(x).astype("<i8" if k < 2 else "<i4").tobytes() for k, x in enumerate((own[docs], own_prints[docs], counts, step))]
+        )
+        rows.append((int(bucket[a]), pa.compress(raw, codec="zstd", asbytes=True), len(raw)))
+    return rows
+
+
+def _merge(width: int):
+    def run(table: pa.Table) -> pa.Table:
+        """One bucket of documents: maximal intervals of words that removed windows cover."""
+        found = []
+        for blob, size in zip(table.column("blob").to_pylist(), table.column("size").to_pylist(), strict=True):
+            raw = pa.decompress(blob, decompressed_size=size, codec="zstd", asbytes=True)
+            docs, n = np.frombuffer(raw, "<i8", 2).tolist()
+            ids, prints = np.frombuffer(raw, "<i8", docs, 16), np.frombuffer(raw, "<i8", docs, 16 + 8 * docs)
+            counts, step = np.frombuffer(raw, "<i4", docs, 16 + 16 * docs).astype(np.int64), np.frombuffer(raw, "<i4", n, 16 + 20 * docs).astype(np.int64)
+            sums, first = np.cumsum(step), np.cumsum(counts) - counts
+            found.append((np.repeat(ids, counts), np.repeat(prints, counts), sums - np.repeat(sums[first] - step[first], counts)))
+        ids, prints, pos = (np.concatenate(x) for x in zip(*found, strict=True))
+        order = np.lexsort((pos, prints, ids))
+        ids, prints, pos = ids[order], prints[order], pos[order]
+        new_doc = np.append(True, (ids[1:] != ids[:-1]) | (prints[1:] != prints[:-1]))
+        begins = np.flatnonzero(new_doc | np.append(True, pos[1:] > pos[:-1] + width))
+        ends = np.append(begins[1:], len(pos)) - 1
+        spans = np.stack([pos[begins], pos[ends] + width], axis=1).astype("<u4")
+        per_doc = np.diff(np.append(np.flatnonzero(new_doc[begins]), len(begins)))
+        docs = np.flatnonzero(new_doc)
+        return pa.table([pa.array(ids[docs], pa.int64()), pa.array(prints[docs], pa.int64()), rolling.binary_rows(spans, 2 * per_doc)], ["id", "print", "spans"])
+
+    return run
 
 
-_SENT = "part int, id long, print long, blob binary, size long"
-_SENT_NAMES = ["part", "id", "print", "blob", "size"]
+_SENT = "part int, blob binary, size long"
+_SENT_NAMES = ["part", "blob", "size"]
 
 
 def _send(width: int, bits: int, chunk: int):
@@ -130,10 +171,7 @@ def _chunk(held: list[tuple[np.ndarray, ...]], ids: list[np.ndarray], prints: li
     own, own_prints, doc = own[by_id], own_prints[by_id], place[doc]
     late = repeated(hashes, own[doc], pos)
     if late.any():
-        doc_ids, doc_prints, blobs = _by_document(own[doc[late]], own_prints[doc[late]], pos[late])
-        part = -1 - (doc_ids & ((1 << bits) - 1))
-        zeros = np.zeros(len(doc_ids), np.int64)
-        yield pa.record_batch([pa.array(part.astype(np.int32)), pa.array(doc_ids), pa.array(doc_prints), blobs, pa.array(zeros)], _SENT_NAMES)
+        yield _rows([(-1 - bucket, blob, size) for bucket, blob, size in _pack_late(own[doc[late]], own_prints[doc[late]], pos[late], bits)])
         hashes, doc, pos = hashes[~late], doc[~late], pos[~late]
     part = (hashes >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(hashes), np.int64)
     order = np.lexsort((pos, doc, part)) if not _ascending(doc, pos) else np.argsort(part.astype(np.uint16 if bits <= 16 else np.int64), kind="stable")
@@ -145,7 +183,7 @@ def _chunk(held: list[tuple[np.ndarray, ...]], ids: list[np.ndarray], prints: li
     rows = []
     for a, b in zip(first.tolist(), [*first[1:].tolist(), len(part)], strict=True):
         blob, size = _Block.pack(hashes[a:b] & low, doc[a:b], pos[a:b], own, own_prints)
-        rows.append((int(part[a]), 0, 0, blob, size))
+        rows.append((int(part[a]), blob, size))
         if len(rows) == 64:
             yield _rows(rows)
             rows = []
@@ -158,20 +196,27 @@ def _ascending(doc: np.ndarray, pos: np.ndarray) -> bool:
 
 
 def _rows(rows: list[tuple]) -> pa.RecordBatch:
-    types = [pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.int64()]
+    types = [pa.int32(), pa.binary(), pa.int64()]
     return pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], _SENT_NAMES)
 
 
-def _resolve(table: pa.Table) -> pa.Table:
-    """One hash range: the windows that also start earlier, by document."""
-    table = table.combine_chunks()
-    if not table.num_rows or table.column("part")[0].as_py() < 0:
-        return table.select(["id", "print", "blob"])
-    found = [_Block.unpack(b, s) for b, s in zip(table.column("blob").to_pylist(), table.column("size").to_pylist(), strict=True)]
-    hashes, doc, prints, pos = (np.concatenate(x) for x in zip(*found, strict=True))
-    late = repeated(hashes, doc, pos)
-    ids, prints, blobs = _by_document(doc[late], prints[late].astype(np.int64), pos[late])
-    return pa.table([pa.array(ids, pa.int64()), pa.array(prints, pa.int64()), blobs], ["id", "print", "blob"])
+def _resolve(bits: int):
+    def run(table: pa.Table) -> pa.Table:
+        """One hash range: the windows that also start earlier, by bucket of documents."""
+        part = table.column("part")[0].as_py()
+        if part < 0:  # found by a scan task already
+            return pa.table([pa.array(np.full(table.num_rows, -1 - part), pa.int32()), table.column("blob"), table.column("size")], _LATE_NAMES)
+        found = [_Block.unpack(b, s) for b, s in zip(table.column("blob").to_pylist(), table.column("size").to_pylist(), strict=True)]
+        hashes, doc, prints, pos = (np.concatenate(x) for x in zip(*found, strict=True))
+        late = repeated(hashes, doc, pos)
+        rows = _pack_late(doc[late], prints[late].astype(np.int64), pos[late], bits)
+        types = [pa.int32(), pa.binary(), pa.int64()]
+        return pa.table([pa.array([r[k] for r in rows], t) for k, t in enumerate(types)], _LATE_NAMES)
+
+    return run
+
+
+_LATE_NAMES = ["bucket", "blob", "size"]
 
 
 def _remove(width: int, layout: str):
@@ -179,24 +224,12 @@ def _remove(width: int, layout: str):
         for batch in common.slices(batches, "text", 1 << 20):
             raw, offsets = rolling.flat(batch.column("text"))
             begins, ends, first = rolling.word_bounds(raw, offsets)
-            depth = np.zeros(len(begins) + 1, np.int64)
-            for k, blobs in enumerate(batch.column("blobs").to_pylist()):
-                if blobs:
-                    at = np.frombuffer(b"".join(blobs), "<u4").astype(np.int64) + first[k]
-                    np.add.at(depth, at, 1)
-                    np.add.at(depth, at + width, -1)
-            gone = np.cumsum(depth)[:-1] > 0
             texts, removed, spans = [], [], []
             bounds = first.tolist()
-            lost = np.append(0, np.cumsum(gone))
-            for k, text in enumerate(batch.column("text").to_pylist()):
+            for k, (text, blob) in enumerate(zip(batch.column("text").to_pylist(), batch.column("spans").to_pylist(), strict=True)):
                 a, b = bounds[k], bounds[k + 1]
-                n = int(lost[b] - lost[a])
-                removed.append(n)
-                runs: list[tuple[int, int]] = []
-                if n:
-                    edges = np.flatnonzero(np.diff(np.concatenate(([0], gone[a:b].view(np.int8), [0])))).tolist()
-                    runs = list(zip(edges[::2], edges[1::2], strict=True))
+                runs = np.frombuffer(blob, "<u4").reshape(-1, 2).tolist() if blob else []
+                removed.append(sum(y - x for x, y in runs))
                 if layout == "words":
                     words, kept, at = text.split(), [], 0
                     for x, y in runs:
@@ -245,9 +278,9 @@ def substring_dedup(
     docs = df.select(common.id_in(id_col).alias("id"), common.text_in(text_col).alias("text"), carried.alias("carried"))
     docs = docs.withColumn("print", F.xxhash64("text").bitwiseAND(F.lit(0xFFFFFFFF)))
     sent = docs.select("id", "print", "text").mapInArrow(_send(width, bits, CHUNK_WINDOWS), _SENT)
-    late = sent.groupBy("part").applyInArrow(_resolve, "id long, print long, blob binary")
-    late = late.groupBy("id", "print").agg(F.collect_list("blob").alias("blobs"))
-    joined = docs.join(late.hint("shuffle_hash"), ["id", "print"], "left").select("id", "carried", "text", "blobs")
+    late = sent.groupBy("part").applyInArrow(_resolve(bits), "bucket int, blob binary, size long")
+    spans = late.groupBy("bucket").applyInArrow(_merge(width), "id long, print long, spans binary")
+    joined = docs.join(spans.hint("shuffle_hash"), ["id", "print"], "left").select("id", "carried", "text", "spans")
     kind = joined.schema["carried"].dataType.simpleString()
     out = joined.mapInArrow(
         _remove(width, layout), f"id long, carried {kind}, n_words long, n_removed long, spans array<struct<begin: int, end: int>>, kept binary"

@@ -108,17 +108,19 @@ def _pack_late(ids: np.ndarray, prints: np.ndarray, pos: np.ndarray, bits: int)
     return rows
 
 
+def _unpack_late(blob: bytes, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    raw = pa.decompress(blob, decompressed_size=size, codec="zstd", asbytes=True)
+    docs, n = np.frombuffer(raw, "<i8", 2).tolist()
+    ids, prints = np.frombuffer(raw, "<i8", docs, 16), np.frombuffer(raw, "<i8", docs, 16 + 8 * docs)
+    counts, step = np.frombuffer(raw, "<i4", docs, 16 + 16 * docs).astype(np.int64), np.frombuffer(raw, "<i4", n, 16 + 20 * docs).astype(np.int64)
+    sums, first = np.cumsum(step), np.cumsum(counts) - counts
+    return np.repeat(ids, counts), np.repeat(prints, counts), sums - np.repeat(sums[first] - step[first], counts)
+
+
 def _merge(width: int):
     def run(table: pa.Table) -> pa.Table:
-        """One bucket of documents: maximal intervals of words that removed windows cover."""
-        found = []
-        for blob, size in zip(table.column("blob").to_pylist(), table.column("size").to_pylist(), strict=True):
-            raw = pa.decompress(blob, decompressed_size=size, codec="zstd", asbytes=True)
-            docs, n = np.frombuffer(raw, "<i8", 2).tolist()
-            ids, prints = np.frombuffer(raw, "<i8", docs, 16), np.frombuffer(raw, "<i8", docs, 16 + 8 * docs)
-            counts, step = np.frombuffer(raw, "<i4", docs, 16 + 16 * docs).astype(np.int64), np.frombuffer(raw, "<i4", n, 16 + 20 * docs).astype(np.int64)
-            sums, first = np.cumsum(step), np.cumsum(counts) - counts
-            found.append((np.repeat(ids, counts), np.repeat(prints, counts), sums - np.repeat(sums[first] - step[first], counts)))
+        """One bucket of documents: maximal intervals that removed windows cover."""
+        found = [_unpack_late(b, s) for b, s in zip(table.column("blob").to_pylist(), table.column("size").to_pylist(), strict=True)]
         ids, prints, pos = (np.concatenate(x) for x in zip(*found, strict=True))
         order = np.lexsort((pos, prints, ids))
         ids, prints, pos = ids[order], prints[order], pos[order]

@@ -5,8 +5,9 @@ of each window. Equal strings hold equal anchors at equal places, so only anchor
 need a closer look, and only together with equal ones.
 
 1. Anchor hashes are dealt by range; those that occur twice or more go back to their documents.
-2. Each such occurrence sends its context, all strings that could hold the anchor. Equal contexts
-   fold into their earliest one, in the scan task already; the later ones are repeats throughout.
+2. Each such occurrence sends its context: the strings whose smallest gram it is (or may be, as
+   only anchors are compared). Equal contexts fold into their earliest one, in the scan task
+   already; the later ones are repeats throughout.
 3. What is left of an anchor are different contexts. Each is trimmed to the part that it shares
    with another one (neighbours in sorted order show how far to either side); equal trimmed
    contexts fold again.
@@ -31,9 +32,9 @@ from tidemark.llm import common, rolling, substring
 from tidemark.llm.gsaca import suffix_array
 
 GRAM = 36
-CHUNK_BYTES = 48 << 20
+CHUNK_BYTES = 16 << 20
 RANGE_BYTES = 16 << 20
-BLOCK_BYTES = 1 << 20
+BLOCK_BYTES = 1 << 17
 
 
 def _sliding(x: np.ndarray, width: int, best) -> np.ndarray:
@@ -46,7 +47,7 @@ def _sliding(x: np.ndarray, width: int, best) -> np.ndarray:
 
 
 def anchors(raw: np.ndarray, offsets: np.ndarray, width: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Begin, document and gram hash of each anchor."""
+    """Begin, document and gram hash of each anchor; hashes that are chosen are small ones."""
     empty = np.empty(0, np.int64)
     if len(raw) < width:
         return empty, empty, np.empty(0, np.uint64)
@@ -60,13 +61,36 @@ def anchors(raw: np.ndarray, offsets: np.ndarray, width: int, gram: int) -> tupl
     return chosen, doc[chosen], hashes[chosen]
 
 
+def owned(at: np.ndarray, doc: np.ndarray, hashes: np.ndarray, ends: np.ndarray, begins: np.ndarray, width: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first and last begin of the strings in which each anchor may be the (leftmost) smallest gram.
+
+    ``hashes`` are those that anchors are chosen by; ``begins`` and ``ends`` are their documents' bounds.
+    """
+    reach = width - gram
+    low, high = np.maximum(at - reach, begins), np.minimum(at, ends - width)
+    n = len(at)
+    for step, bound in ((-1, low), (1, high)):
+        open_, k = np.arange(n), np.arange(n)
+        while len(open_):
+            k = k + step
+            inside = (k >= 0) & (k < n)
+            open_, k = open_[inside], k[inside]
+            near = (doc[k] == doc[open_]) & (np.abs(at[k] - at[open_]) <= reach)
+            open_, k = open_[near], k[near]
+            smaller = hashes[k] <= hashes[open_] if step < 0 else hashes[k] < hashes[open_]
+            hit, by = open_[smaller], k[smaller]
+            bound[hit] = np.maximum(low[hit], at[by] + 1) if step < 0 else np.minimum(high[hit], at[by] - reach - 1)
+            open_, k = open_[~smaller], k[~smaller]
+    return low, high
+
+
 def _send_anchors(width: int, gram: int, bits: int, chunk: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, ids, prints, n, n_docs = [], [], [], 0, 0
         for batch in common.slices(batches, "text", 1 << 20):
             raw, offsets = rolling.flat(batch.column("text"))
             at, doc, hashes = anchors(raw, offsets, width, gram)
-            held.append((hashes, doc + n_docs, at - offsets[doc]))
+            held.append((rolling.mix(hashes), doc + n_docs, at - offsets[doc]))
             ids.append(batch.column("id").to_numpy(zero_copy_only=False))
             prints.append(batch.column("print").to_numpy(zero_copy_only=False))
             n, n_docs = n + len(raw), n_docs + batch.num_rows
@@ -175,19 +199,20 @@ def _send_contexts(width: int, gram: int, bits: int, chunk: int):
         for batch in common.slices(batches, "text", 1 << 20):
             raw, offsets = rolling.flat(batch.column("text"))
             places = [np.frombuffer(x, "<u4").astype(np.int64) if x else np.empty(0, np.int64) for x in batch.column("places").to_pylist()]
-            doc = np.repeat(np.arange(batch.num_rows), [len(x) for x in places])
-            if not len(doc):
+            repeated = np.concatenate([x + o for x, o in zip(places, offsets[:-1].tolist(), strict=True)])
+            at, doc, hashes = anchors(raw, offsets, width, gram)
+            first, last = owned(at, doc, hashes, offsets[doc + 1], offsets[doc], width, gram)
+            use = np.isin(at, repeated) & (first <= last)
+            if not use.any():
                 continue
-            pos = np.concatenate(places)
-            at = pos + offsets[doc]
-            left = np.minimum(pos, before)
-            right = np.minimum(offsets[doc + 1] - at, width)
+            at, doc, hashes, first, last = at[use], doc[use], hashes[use], first[use], last[use]
+            pos, left, right = at - offsets[doc], at - first, last + width - at
             sums = np.zeros(len(raw) + 1, np.uint64)
             np.cumsum(rolling.byte_symbols(raw) * rolling.powers(len(raw))[: len(raw)], out=sums[1:])
             inverse = rolling.powers(len(raw), rolling._INVERSE)  # noqa: SLF001
             hashed = lambda a, b: (sums[b] - sums[a]) * inverse[a]  # noqa: E731, B023
             columns = {
-                "gram": rolling.mix(hashed(at, at + gram)) | np.uint64(1),
+                "gram": rolling.mix(hashes),
                 "whole": rolling.mix(rolling.mix(hashed(at - left, at + right)) + left.astype(np.uint64) * np.uint64(256) + right.astype(np.uint64)),
                 "id": batch.column("id").to_numpy(zero_copy_only=False)[doc],
                 "print": batch.column("print").to_numpy(zero_copy_only=False)[doc],

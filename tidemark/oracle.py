@@ -306,7 +306,7 @@ SQL: dict[str, str] = {
  round(quantile_cont(future_return_1h, 0.25), 6) AS p25, round(quantile_cont(future_return_1h, 0.5), 6) AS p50, round(quantile_cont(future_return_1h, 0.75), 6) AS p75 FROM target GROUP BY 1""",
         "target",
     ),
-    "features_15": _with(f'SELECT symbol, ts AS "timestamp", segment_id::BIGINT AS segment_id, {_rounded(" ".join(CANDIDATES), 4)} FROM feats', "feats"),
+    "features_15": _with(f'SELECT symbol, ts AS "timestamp", segment_id::BIGINT AS segment_id, {_rounded(" ".join(CANDIDATES), 6)} FROM feats', "feats"),
     "feature_diagnostics": _with(f"SELECT * FROM ({_diag})", "feats"),
     "feature_corr_top10": _with(f'SELECT "left", "right", round(r, 6) AS abs_correlation FROM ({_corr}) WHERE r IS NOT NULL AND NOT isnan(r) ORDER BY r DESC, "left" DESC, "right" DESC LIMIT 10', "feats"),
     "time_policy_bars": _with(
@@ -338,7 +338,7 @@ SQL: dict[str, str] = {
         "bars",
     ),
     "learning_matrix": _with(
-        f"SELECT symbol, decision_timestamp, target_timestamp, target_h1_direction, {_rounded(' '.join(SELECTED), 4)} FROM matrix WHERE is_binary AND is_complete", "matrix"
+        f"SELECT symbol, decision_timestamp, target_timestamp, target_h1_direction, {_rounded(" ".join(SELECTED), 6)} FROM matrix WHERE is_binary AND is_complete", "matrix"
     ),
     "learning_accounting": _with(
         """SELECT symbol, count(*) AS market_rows, count(*) FILTER (is_binary) AS binary_rows, count(*) FILTER (is_binary AND NOT is_complete) AS incomplete_rows,

@@ -29,7 +29,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
 
 #: Decimal places of doubles, where large values leave fewer than eight.
-PLACES = {"features_15": 4, "learning_matrix": 4, "target_report": 6, "feature_corr_top10": 6, "mse_rmse_mae": 6, "drawdown": 6}
+PLACES = {"features_15": 6, "learning_matrix": 6, "target_report": 6, "feature_corr_top10": 6, "mse_rmse_mae": 6, "drawdown": 6}
 
 
 def query(f: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:

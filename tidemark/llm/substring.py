@@ -22,9 +22,9 @@ from pyspark.sql import functions as F
 from tidemark.llm import common, rolling
 
 #: Windows that a scan task holds before it sends blocks.
-CHUNK_WINDOWS = 3 << 20
+CHUNK_WINDOWS = 3 << 19
 #: Input bytes for each hash range.
-RANGE_BYTES = 16 << 20
+RANGE_BYTES = 8 << 20
 _LOW = np.uint64((1 << 56) - 1)
 
 
@@ -160,6 +160,8 @@ def _send(width: int, bits: int, chunk: int):
                 held, ids, prints, n, n_docs = [], [], [], 0, 0
         if n:
             yield from _chunk(held, ids, prints, bits)
+        held = ids = prints = None
+        common.release()
 
     return run
 
@@ -212,6 +214,8 @@ def _resolve(bits: int):
         hashes, doc, prints, pos = (np.concatenate(x) for x in zip(*found, strict=True))
         late = repeated(hashes, doc, pos)
         rows = _pack_late(doc[late], prints[late].astype(np.int64), pos[late], bits)
+        del found, hashes, doc, prints, pos, late
+        common.release()
         types = [pa.int32(), pa.binary(), pa.int64()]
         return pa.table([pa.array([r[k] for r in rows], t) for k, t in enumerate(types)], _LATE_NAMES)
 

@@ -32,8 +32,8 @@ from tidemark.llm import common, rolling, substring
 from tidemark.llm.gsaca import suffix_array
 
 GRAM = 36
-CHUNK_BYTES = 16 << 20
-RANGE_BYTES = 16 << 20
+CHUNK_BYTES = 12 << 20
+RANGE_BYTES = 8 << 20
 BLOCK_BYTES = 1 << 17
 
 
@@ -99,6 +99,8 @@ def _send_anchors(width: int, gram: int, bits: int, chunk: int):
                 held, ids, prints, n, n_docs = [], [], [], 0, 0
         if n_docs:
             yield from _ship(held, ids, prints, bits)
+        held = ids = prints = None
+        common.release()
 
     return run
 
@@ -228,6 +230,8 @@ def _send_contexts(width: int, gram: int, bits: int, chunk: int):
                 parts, held = [], 0
         if parts:
             yield from flush(parts)
+        parts = None
+        common.release()
 
     return run
 
@@ -302,6 +306,8 @@ def _resolve(width: int, gram: int, bits: int):
             rows += _late_rows(columns, late, left, right, width, bits)
             columns, text, left, right = {n: c[kept] for n, c in columns.items()}, text[kept], left[kept], right[kept]
             rows += _by_suffixes(columns, text, left, right, width, before, bits)
+        del found, columns, text, kept, late
+        common.release()
         return _table(rows)
 
     return run

@@ -10,9 +10,10 @@ so are never cut.
 from __future__ import annotations
 
 import base64
+import json
 import re
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -53,14 +54,20 @@ class Encoder:
     def __init__(self, json_path: str, ranks_path: str) -> None:
         import tiktoken
         from public_tokenizers import PATTERN
-        from tokenizers import Tokenizer
 
-        self.slow = Tokenizer.from_file(json_path)
-        special = {t.content: i for i, t in self.slow.get_added_tokens_decoder().items()}
+        self.json_path = json_path
+        with open(json_path, encoding="utf-8") as f:
+            special = {t["content"]: t["id"] for t in json.load(f)["added_tokens"]}
         with open(ranks_path, "rb") as lines:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
         self.fast = tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=special)
 
+    @cached_property
+    def slow(self):
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.json_path)
+
     def encode(self, text: str) -> np.ndarray:
         found = [self._piece(p) for p in safe_pieces(text)]
         return found[0] if len(found) == 1 else np.concatenate(found)

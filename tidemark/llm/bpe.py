@@ -13,7 +13,7 @@ import heapq
 import json
 import unicodedata
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -60,12 +60,26 @@ class WordBpe:
         for token, i in {**vocab, **self.special}.items():
             self.strings[i] = token.encode()
         self.cache: dict[str, bytes] = {}
+        self.path, self.byte_of = path, {c: b for b, c in enumerate(marks)}
+
+    @cached_property
+    def library(self):
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.path)
+
+    def _split_by_library(self, text: str) -> list[str]:
+        """Words of a text with characters that Unicode's older versions do not assign, on which tables differ."""
+        words = self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(text))
+        return [bytes(map(self.byte_of.__getitem__, w)).decode() for w, _ in words]
 
     def segments(self, text: str) -> Iterator[tuple[list[str], bytes]]:
         """Runs of words, each followed by a special token's id or nothing."""
         for k, part in enumerate(self.cut.split(text) if self.cut else [text]):
             if k % 2:
                 yield [], int(self.special[part]).to_bytes(4, "little")
+            elif not part.isascii() and any(unicodedata.category(c) == "Cn" for c in set(part)):
+                yield self._split_by_library(part), b""
             elif part:
                 part = part if unicodedata.is_normalized("NFC", part) else unicodedata.normalize("NFC", part)
                 yield self.words(part.replace("Σ", "σ").lower()), b""  # lower() knows a final sigma; the normalizer doesn't

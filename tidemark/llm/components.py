@@ -35,5 +35,6 @@ def components(edges: DataFrame) -> DataFrame:
         edges = common.checkpointed(_star(_star(edges, True), False))
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == state:
-            return edges.groupBy("u").agg(F.min("v").alias("component")).withColumnRenamed("u", "node")
+            named = edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
+            return named.union(edges.select(F.col("v").alias("node"), F.col("v").alias("component"))).distinct()
         state = now

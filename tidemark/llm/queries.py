@@ -101,4 +101,40 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     )
 }
 
-ORACLE_SQL: dict[str, str] = {}
+_SPACE = r"[\x20\x09-\x0D]"
+_DOCS = "d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents)"
+_WORDS = f"w AS (SELECT doc_id, t, list_filter(string_split_regex(t, '{_SPACE}+'), lambda x: x <> '') AS w FROM d)"
+_CONTROL = r"<\\*/s>|<\\*s>|\[\\*INST:|\[\\*INST\]|\[\\*/INST\]|<\\*\||<\\*<SYS>>|<\\*</SYS>>"
+
+#: In DuckDB's SQL. Tokenizers, XXH64 and windows over bytes are beyond SQL (or too slow in it).
+ORACLE_SQL: dict[str, str] = {
+    "op3_substring_dedup": f"""WITH {_DOCS}, {_WORDS},
+ p AS (SELECT doc_id, unnest(w) AS word, unnest(range(len(w))) AS j, unnest(list_transform(range(1, len(w) + 1), lambda i: CASE WHEN i + 19 <= len(w) THEN array_to_string(w[i : i + 19], ' ') END)) AS k FROM w),
+ s AS (SELECT *, CASE WHEN k IS NOT NULL AND row_number() OVER (PARTITION BY k ORDER BY doc_id, j) > 1 THEN 1 ELSE 0 END AS late FROM p),
+ c AS (SELECT *, max(late) OVER (PARTITION BY doc_id ORDER BY j ROWS 19 PRECEDING) AS gone FROM s)
+ SELECT w.doc_id, len(w)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM w
+ LEFT JOIN (SELECT doc_id, sum(gone) AS n, string_agg(word, ' ' ORDER BY j) FILTER (gone = 0) AS kept FROM c GROUP BY 1) x ON x.doc_id = w.doc_id""",
+    "op4_chat_format": rf"""WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS r, coalesce(text, '') AS t FROM conversations
+ UNION ALL SELECT -7, unnest([0, 1]), unnest(['user', 'assistant']), '</s>[INST] ok [/INST]')
+ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(r || chr(10) || t || chr(10), '' ORDER BY turn NULLS FIRST, r, t)) AS turns_sha256,
+ coalesce(sum(length(t)) FILTER (r = 'assistant'), 0)::BIGINT AS loss_chars, sha256(coalesce(string_agg(t, '' ORDER BY turn NULLS FIRST, r, t) FILTER (r = 'assistant'), '')) AS loss_sha256,
+ sum(12 + length(r) + len(regexp_extract_all(r, '{_CONTROL}')) + 2 * len(regexp_extract_all(r, '[%\]]')) + length(t) + len(regexp_extract_all(t, '{_CONTROL}')))::BIGINT AS formatted_chars FROM c GROUP BY 1""",
+    "op7_exact_top_k": """WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS e FROM embeddings
+ WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+ s AS (SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.e, c.e)::BIGINT AS score FROM v q JOIN v c ON c.vec_id <> q.vec_id AND len(c.e) = len(q.e) WHERE q.vec_id % 50 = 0),
+ r AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score FROM s) SELECT * FROM r WHERE rank <= 5""",
+    "op8_quality_rules": f"""WITH {_DOCS}, {_WORDS},
+ m AS (SELECT doc_id, len(w)::BIGINT AS n_words, length(regexp_replace(t, '{_SPACE}', '', 'g')) AS word_chars, length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS n_symbols,
+ list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS l FROM w),
+ g AS (SELECT doc_id, i, w[i] AS a, w[i + 1] AS b, w[i + 2] AS c FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM w)),
+ k AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, a, b, c) AS n FROM g),
+ r AS (SELECT doc_id, sum(x)::BIGINT AS n FROM (SELECT doc_id, least(3, coalesce(lead(i) OVER (PARTITION BY doc_id ORDER BY i) - i, 3)) AS x FROM k WHERE n > 1) GROUP BY 1),
+ f AS (SELECT m.doc_id, n_words, word_chars, n_symbols, len(l)::BIGINT AS n_lines, (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines, coalesce(r.n, 0) AS n_repeat_words FROM m LEFT JOIN r ON r.doc_id = m.doc_id)
+ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+ NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words OR 10 * n_symbols > 2 * n_words OR 100 * n_dup_lines > 50 * n_lines OR word_chars < 2 * n_words OR word_chars > 20 * n_words) AS kept FROM f""",
+    "op9_line_dedup": f"""WITH {_DOCS}, l AS (SELECT doc_id, unnest(x) AS line, unnest(range(len(x))) AS j FROM (SELECT doc_id, string_split(t, chr(10)) AS x FROM d)),
+ k AS (SELECT *, translate(regexp_replace(line, '^{_SPACE}+|{_SPACE}+$', '', 'g'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM l),
+ h AS (SELECT key, max(doc_id) AS stays FROM k WHERE length(key) >= 20 GROUP BY 1 HAVING count(DISTINCT doc_id) >= 3),
+ z AS (SELECT k.doc_id, line, j, h.key IS NOT NULL AND k.doc_id <> h.stays AS gone FROM k LEFT JOIN h ON h.key = k.key)
+ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped, sha256(coalesce(string_agg(line, chr(10) ORDER BY j) FILTER (NOT gone), '')) AS kept_sha256 FROM z GROUP BY 1""",
+}

@@ -120,6 +120,12 @@ def test_suffix_small_alphabet(spark, texts):
     assert rows(got, "doc_id", "n_bytes", "n_removed", "n", "s") == brute.suffix(docs, 12)
 
 
+def test_suffix_with_hot_anchors(frame, docs):
+    for hot in (1, 2, 30):
+        got = suffix.suffix_dedup(frame, hot=hot).select("doc_id", "n_bytes", "n_removed", F.size("spans").alias("n"), sha("kept").alias("s"))
+        assert rows(got, "doc_id", "n_bytes", "n_removed", "n", "s") == brute.suffix(docs)
+
+
 def test_suffix_over_several_blocks(spark, docs, frame, monkeypatch):
     rng = random.Random(8)
     base = "".join(rng.choices("abcdefgh ", k=3000))

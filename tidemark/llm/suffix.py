@@ -16,7 +16,10 @@ need a closer look, and only together with equal ones.
 5. Intervals to remove go back to their documents and merge.
 
 Suffix arrays are built over blocks of a bounded size; between blocks of one anchor, the earliest
-strings are compared by 64-bit hashes.
+strings are compared by 64-bit hashes. An anchor that occurs very often (HOT times, say within a
+passage that a third of the documents embed) would bring too many contexts to one task: its strings
+are dealt one by one, by their own hashes, and combined in the scan task like the windows of
+``substring``.
 """
 
 from __future__ import annotations
@@ -35,6 +38,7 @@ GRAM = 36
 CHUNK_BYTES = 12 << 20
 RANGE_BYTES = 8 << 20
 BLOCK_BYTES = 1 << 17
+HOT = 1 << 15
 
 
 def _sliding(x: np.ndarray, width: int, best) -> np.ndarray:
@@ -127,15 +131,17 @@ def _range(hashes: np.ndarray, bits: int) -> np.ndarray:
     return (hashes >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(hashes), np.int64)
 
 
-def _repeated_anchors(bits: int):
+def _repeated_anchors(bits: int, hot: int):
     def run(table: pa.Table) -> pa.Table:
         found = [substring._Block.unpack(b, s) for b, s in zip(table.column("blob").to_pylist(), table.column("size").to_pylist(), strict=True)]  # noqa: SLF001
         hashes, doc, prints, pos = (np.concatenate(x) for x in zip(*found, strict=True))
         order = np.argsort(hashes)
         same = hashes[order[1:]] == hashes[order[:-1]]
         many = order[np.append(same, False) | np.append(False, same)]
-        rows = substring._pack_late(doc[many], prints[many].astype(np.int64), pos[many], bits)  # noqa: SLF001
-        return _table(rows)
+        first = np.flatnonzero(np.append(True, hashes[many[1:]] != hashes[many[:-1]])) if len(many) else many
+        counts = np.diff(np.append(first, len(many)))
+        places = 2 * pos[many] + np.repeat(counts > hot, counts)  # the lowest bit says that the anchor is hot
+        return _table(substring._pack_late(doc[many], prints[many].astype(np.int64), places, bits))  # noqa: SLF001
 
     return run
 
@@ -185,6 +191,8 @@ def _send_contexts(width: int, gram: int, bits: int, chunk: int):
     def flush(parts: list[tuple[dict[str, np.ndarray], np.ndarray]]) -> Iterator[pa.RecordBatch]:
         columns = {n: np.concatenate([p[0][n] for p in parts]) for n in _Contexts.NAMES}
         text = np.concatenate([p[1] for p in parts])
+        if not len(text):
+            return
         kept, late = _fold(columns)
         rows = [(-1 - b, blob, size) for b, blob, size in _late_rows(columns, late, columns["left"], columns["right"], width, bits)]
         part = _range(columns["gram"][kept], bits)
@@ -196,12 +204,20 @@ def _send_contexts(width: int, gram: int, bits: int, chunk: int):
             rows.append((int(part[a]), blob, size))
         yield substring._rows(rows)  # noqa: SLF001
 
+    def flush_strings(strings, ids, prints) -> Iterator[pa.RecordBatch]:
+        """The strings of hot anchors, in parts behind those of the contexts."""
+        for sent in substring._chunk(strings, ids, prints, bits) if strings else ():  # noqa: SLF001
+            part = sent.column(0).to_numpy()
+            yield pa.record_batch([pa.array(np.where(part < 0, part, part + (1 << bits)).astype(np.int32)), *sent.columns[1:]], sent.schema.names)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts, held = [], 0
+        strings, all_ids, all_prints, n_docs = [], [], [], 0
         for batch in common.slices(batches, "text", 1 << 20):
             raw, offsets = rolling.flat(batch.column("text"))
             places = [np.frombuffer(x, "<u4").astype(np.int64) if x else np.empty(0, np.int64) for x in batch.column("places").to_pylist()]
-            repeated = np.concatenate([x + o for x, o in zip(places, offsets[:-1].tolist(), strict=True)])
+            repeated = np.concatenate([(x >> 1) + o for x, o in zip(places, offsets[:-1].tolist(), strict=True)])
+            hot = repeated[(np.concatenate(places) & 1).astype(bool)]
             at, doc, hashes = anchors(raw, offsets, width, gram)
             first, last = owned(at, doc, hashes, offsets[doc + 1], offsets[doc], width, gram)
             use = np.isin(at, repeated) & (first <= last)
@@ -213,11 +229,23 @@ def _send_contexts(width: int, gram: int, bits: int, chunk: int):
             np.cumsum(rolling.byte_symbols(raw) * rolling.powers(len(raw))[: len(raw)], out=sums[1:])
             inverse = rolling.powers(len(raw), rolling._INVERSE)  # noqa: SLF001
             hashed = lambda a, b: (sums[b] - sums[a]) * inverse[a]  # noqa: E731, B023
+            ids, prints = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("id", "print"))
+            if len(hot):
+                is_hot = np.isin(at, hot)
+                counts = (last - first + 1)[is_hot]
+                begin = np.repeat(first[is_hot] - np.cumsum(counts) + counts, counts) + np.arange(counts.sum())
+                owner = np.repeat(doc[is_hot], counts)
+                strings.append((rolling.mix(hashed(begin, begin + width)), owner + n_docs, begin - offsets[owner]))
+                all_ids.append(ids)
+                all_prints.append(prints)
+                n_docs += batch.num_rows
+                held += 24 * len(begin)
+                at, doc, hashes, first, last, pos, left, right = (x[~is_hot] for x in (at, doc, hashes, first, last, pos, left, right))
             columns = {
                 "gram": rolling.mix(hashes),
                 "whole": rolling.mix(rolling.mix(hashed(at - left, at + right)) + left.astype(np.uint64) * np.uint64(256) + right.astype(np.uint64)),
-                "id": batch.column("id").to_numpy(zero_copy_only=False)[doc],
-                "print": batch.column("print").to_numpy(zero_copy_only=False)[doc],
+                "id": ids[doc],
+                "print": prints[doc],
                 "pos": pos, "left": left, "right": right,
             }
             spread = at[:, None] + np.arange(-before, width)
@@ -227,10 +255,13 @@ def _send_contexts(width: int, gram: int, bits: int, chunk: int):
             held += text.size
             if held >= chunk:
                 yield from flush(parts)
+                yield from flush_strings(strings, all_ids, all_prints)
                 parts, held = [], 0
+                strings, all_ids, all_prints, n_docs = [], [], [], 0
         if parts:
             yield from flush(parts)
-        parts = None
+            yield from flush_strings(strings, all_ids, all_prints)
+        parts = strings = None
         common.release()
 
     return run
@@ -281,6 +312,8 @@ def _resolve(width: int, gram: int, bits: int):
         part = table.column("part")[0].as_py()
         if part < 0:
             return pa.table([pa.array(np.full(table.num_rows, -1 - part), pa.int32()), table.column("blob"), table.column("size")], ["bucket", "blob", "size"])
+        if part >= 1 << bits:
+            return substring._resolve(bits)(table)  # noqa: SLF001
         found = [_Contexts.unpack(b, s, span) for b, s in zip(table.column("blob").to_pylist(), table.column("size").to_pylist(), strict=True)]
         columns = {n: np.concatenate([c[n] for c, _ in found]) for n in _Contexts.NAMES}
         text = np.concatenate([t for _, t in found])
@@ -429,7 +462,7 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def suffix_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 100, gram: int = GRAM) -> DataFrame:
+def suffix_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 100, gram: int = GRAM, hot: int = HOT) -> DataFrame:
     """(id, n_bytes, n_removed, spans, kept) for every row; ``kept`` is binary, the bytes that stay.
 
     A byte goes if a string of ``width`` bytes (at most 200) covers it that also starts earlier: in a smaller id,
@@ -446,7 +479,7 @@ def suffix_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     docs = docs.withColumn("print", F.xxhash64("text").bitwiseAND(F.lit(0xFFFFFFFF)))
     docs = docs.select("id", "print", "text")
     sent = docs.mapInArrow(_send_anchors(width, gram, bits, CHUNK_BYTES), substring._SENT)  # noqa: SLF001
-    again = sent.groupBy("part").applyInArrow(_repeated_anchors(bits), "bucket int, blob binary, size long")
+    again = sent.groupBy("part").applyInArrow(_repeated_anchors(bits, hot), "bucket int, blob binary, size long")
     places = again.groupBy("bucket").applyInArrow(_positions, "id long, print long, places binary")
     suspect = docs.join(places.hint("shuffle_hash"), ["id", "print"]).select("id", "print", "text", "places")
     contexts = suspect.mapInArrow(_send_contexts(width, gram, bits, CHUNK_BYTES), substring._SENT)  # noqa: SLF001

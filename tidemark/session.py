@@ -10,6 +10,8 @@ from pyspark.sql import SparkSession
 
 _HOME = Path(__file__).resolve().parent
 _shipped: set[str] = set()
+BATCH_BYTES = 8 << 20
+_BATCH_CONF, _BATCH_DEFAULT = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b"
 
 
 def session(app: str = "tidemark", master: str | None = None, **conf: str) -> SparkSession:
@@ -24,7 +26,13 @@ def session(app: str = "tidemark", master: str | None = None, **conf: str) -> Sp
 
 
 def ship(spark: SparkSession) -> None:
-    """Send the package's source to the executors, once for each application."""
+    """Send the package's source to the executors, once for each application.
+
+    Python workers get Arrow batches of at most BATCH_BYTES, unless the session says otherwise: rows may
+    hold very long texts.
+    """
+    if spark.conf.get(_BATCH_CONF, None) in (None, _BATCH_DEFAULT):
+        spark.conf.set(_BATCH_CONF, str(BATCH_BYTES))
     context = spark.sparkContext
     if context.applicationId in _shipped:
         return

@@ -43,6 +43,7 @@ def slices(batches: Iterable[pa.RecordBatch], column: str, most: int) -> Iterato
             to = max(at + 1, int(np.searchsorted(ends, before + most, "right")))
             yield batch.slice(at, to - at)
             at = to
+    release()
 
 
 def release() -> None:

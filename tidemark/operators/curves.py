@@ -30,6 +30,7 @@ def drawdown(curve: DataFrame) -> DataFrame:
     The first of equal falls and the first time of equal peaks count; all nulls where nothing falls.
     """
     order = F.struct(*ORDER)
+    curve = curve.persist()  # read by several passes below
     marked = running_peak(curve).withColumn("fall", F.col("peak") - F.col("value")).persist()
     last = marked.groupBy("symbol").agg(F.max("fall").alias("_deepest"), F.max("time").alias("_end"))
     trough = (
@@ -61,7 +62,7 @@ def drawdown(curve: DataFrame) -> DataFrame:
 
 def spacing(curve: DataFrame, limit: int = 60) -> DataFrame:
     """Exact median, maximum and count over ``limit`` of the whole seconds between observations."""
-    rows = curve.withColumn("_day", F.to_date("time"))
+    rows = curve.persist().withColumn("_day", F.to_date("time"))
     inside = Window.partitionBy("symbol", "_day").orderBy(*ORDER)
     days = rows.groupBy("symbol", "_day").agg(F.max("time").alias("_last"))
     before = days.select("symbol", "_day", F.lag("_last").over(Window.partitionBy("symbol").orderBy("_day")).alias("_before"))

@@ -13,6 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark import session
 from tidemark.contracts import ContractError, DecisionReplay, naive
 from tidemark.functions import scalars as S
 from tidemark.operators import asof, curves
@@ -107,6 +108,7 @@ def folded(decisions: DataFrame, ticks: DataFrame, config: DecisionReplay) -> Da
     rows = asof.entry_and_exit(rows, ticks)
     after = _following(ticks).select("symbol", F.col("source_seq").alias("_seq"), "after")
     rows = rows.withColumn("_seq", F.col("entry.source_seq")).join(after, ["symbol", "_seq"], "left").drop("_seq")
+    rows = session.checkpointed(rows)
     micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
     small = rows.select(
         "symbol", "signal_id", "action", micros("decision_time").alias("at"), micros("entry.time").alias("next_t"), F.col("entry.source_seq").alias("next_s"),
@@ -117,8 +119,8 @@ def folded(decisions: DataFrame, ticks: DataFrame, config: DecisionReplay) -> Da
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
         return _fold(pdf, most)
 
-    # a row per decision: kept, as every output below starts from it
-    return rows.drop("exit", "after").join(small.groupBy("symbol").applyInPandas(fold, _FOLDED), ["symbol", "signal_id"]).persist()
+    # a row per decision, from which every output starts
+    return session.checkpointed(rows.drop("exit", "after").join(small.groupBy("symbol").applyInPandas(fold, _FOLDED), ["symbol", "signal_id"]))
 
 
 def replay(decisions: DataFrame, ticks: DataFrame, config: DecisionReplay) -> Replay:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 from itertools import combinations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import scalars as S
@@ -78,18 +78,18 @@ def diagnostics(features: DataFrame, names: tuple[str, ...] = CANDIDATES) -> Dat
     return wide.join(distinct, "feature", "left").fillna(0, ["distinct_values"])
 
 
-def _correlation(a: Column, b: Column) -> Column:
-    """Pearson's r over the rows that have both; null where one of them is constant."""
-    both = a.isNotNull() & b.isNotNull()
-    x, y = F.when(both, a), F.when(both, b)
-    flat = (F.max(x) == F.min(x)) | (F.max(y) == F.min(y))
-    return F.when(~F.coalesce(flat, F.lit(True)), F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y)))
-
-
 def correlations(features: DataFrame, names: tuple[str, ...] = CANDIDATES, top: int = 10) -> DataFrame:
-    """The pairs with the highest |r|: (left, right, abs_correlation), from one aggregation."""
-    pairs = list(combinations(names, 2))
-    row = features.agg(*[_correlation(F.col(a), F.col(b)).alias(f"r_{k}") for k, (a, b) in enumerate(pairs)])
-    each = F.array(*[F.struct(F.lit(a).alias("left"), F.lit(b).alias("right"), F.round(F.abs(F.col(f"r_{k}")), 8).alias("abs_correlation")) for k, (a, b) in enumerate(pairs)])
-    found = row.select(F.explode(each).alias("x")).select("x.*").filter("abs_correlation IS NOT NULL")
-    return found.orderBy(F.desc("abs_correlation"), F.desc("left"), F.desc("right")).limit(top)
+    """The pairs with the highest |r|: (left, right, abs_correlation).
+
+    Pearson's r over the rows that have both; a pair in which one is constant there is left out. Each row is
+    expanded to its pairs within the scan and combined there, so what is shuffled is a row per pair and task.
+    """
+    pair = lambda a, b: F.struct(F.lit(a).alias("left"), F.lit(b).alias("right"), F.col(a).alias("x"), F.col(b).alias("y"))
+    pairs = features.select(F.explode(F.array(*[pair(a, b) for a, b in combinations(names, 2)])).alias("p")).select("p.*")
+    found = pairs.filter("x IS NOT NULL AND y IS NOT NULL").groupBy("left", "right").agg(
+        ((F.max("x") == F.min("x")) | (F.max("y") == F.min("y"))).alias("flat"),
+        F.covar_pop("x", "y").alias("c"),
+        (F.stddev_pop("x") * F.stddev_pop("y")).alias("s"),
+    )
+    r = found.filter("NOT flat").select("left", "right", F.round(F.abs(F.try_divide("c", "s")), 8).alias("abs_correlation"))
+    return r.filter("abs_correlation IS NOT NULL").orderBy(F.desc("abs_correlation"), F.desc("left"), F.desc("right")).limit(top)

@@ -13,6 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark import session
 from tidemark.contracts import ContractError, SignalReplay, naive
 from tidemark.functions import scalars as S
 from tidemark.operators import asof
@@ -78,7 +79,7 @@ def outcomes(priced_: DataFrame) -> DataFrame:
     micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
     small = priced_.select("symbol", "signal_id", micros("decision_time").alias("at"), "result", F.coalesce(micros("end.time"), F.lit(0)).alias("end"))
     chosen = small.groupBy("symbol").applyInPandas(_choose, "symbol string, signal_id string, outcome string")
-    return priced_.join(chosen, ["symbol", "signal_id"]).persist()  # a row per signal, from which every output starts
+    return session.checkpointed(priced_.join(chosen, ["symbol", "signal_id"]))  # a row per signal, from which every output starts
 
 
 def economics(rows: DataFrame, config: SignalReplay) -> DataFrame:
@@ -134,7 +135,7 @@ def _mark(config: SignalReplay) -> Column:
 
 
 def replay(signals: DataFrame, ticks: DataFrame, config: SignalReplay = SignalReplay()) -> Replay:  # noqa: B008
-    found = outcomes(priced(signals, ticks, config))
+    found = outcomes(session.checkpointed(priced(signals, ticks, config)))
     trades = economics(found.filter("outcome = 'trade'"), config)
     skipped = found.filter("outcome <> 'trade'").select("symbol", "signal_id", "decision_time", F.col("outcome").alias("reason"))
     start = F.lit(naive(config.period_start)).cast("timestamp_ntz") if config.period_start else F.min("decision_time")

@@ -176,3 +176,27 @@ def test_streaming_bars_by_watermark(spark, tmp_path):
     stream = bar_stream.bars(source, "0 seconds").writeStream.format("memory").queryName("closed_bars").outputMode("append").trigger(availableNow=True).start()
     stream.awaitTermination()
     assert spark.table("closed_bars").count() == 3  # the last hour is still open
+
+
+def test_contract_documents(tmp_path):
+    from tidemark.sources import toml
+
+    good = 'uses_target_statistics = false\nuses_validation_statistics = false\nuses_test_statistics = false\ncandidate_features = ["return_1h", "return_3h"]\nselected_features = ["return_1h"]\n[exclusion_reasons]\nreturn_3h = "x"\n'
+    assert toml.feature_contract(put(tmp_path, "f.toml", good))["selected_features"] == ["return_1h"]
+    for bad in (good.replace("test_statistics = false", "test_statistics = true"), good.replace('selected_features = ["return_1h"]', 'selected_features = ["x"]'), good.replace('return_3h = "x"\n', "")):
+        with pytest.raises(ContractError):
+            toml.feature_contract(put(tmp_path, "g.toml", bad))
+    split = "[split]\ntrain_fraction = 0.6\nvalidation_fraction = 0.2\ntest_fraction = 0.2\n"
+    assert toml.fractions(put(tmp_path, "s.toml", split)).train == 0.6
+    with pytest.raises(ContractError):
+        toml.fractions(put(tmp_path, "s2.toml", split.replace("test_fraction = 0.2", "test_fraction = 0.3")))
+
+
+def test_export_and_neural_runs(spark, tmp_path):
+    ms = int(START.timestamp() * 1000)
+    tick = {"time_msc": ms, "bid": Decimal(1), "ask": Decimal(1), "flags": 0}
+    pipelines.export_ticks(spark, Fake([tick, tick]), "S", START, END, str(tmp_path / "t"))
+    assert spark.read.parquet(str(tmp_path / "t/ticks")).count() == 2
+    pipelines.neural_run(spark, str(tmp_path / "n"))
+    losses = {(r.epoch, r.split): r.mse for r in spark.read.parquet(str(tmp_path / "n/metrics")).collect()}
+    assert losses[400, "train"] < losses[0, "train"] / 5 and (400, "test") in losses and (0, "test") not in losses

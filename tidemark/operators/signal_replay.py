@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from tidemark import session
 from tidemark.contracts import ContractError, SignalReplay, naive
 from tidemark.functions import scalars as S
-from tidemark.operators import asof
+from tidemark.operators import asof, curves
 
 OPEN_REASONS = ("no_exit_quote_at_or_after_target", "exit_quote_exceeds_max_delay")
 
@@ -192,3 +192,29 @@ def time_in_market(result: Replay) -> DataFrame:
     span = result.equity.groupBy("symbol").agg(S.seconds(F.max("time"), F.min("time")).alias("period_seconds"))
     sums = held.groupBy("symbol").agg(F.sum("s").alias("seconds_in_market"))
     return span.join(sums, "symbol", "left").select("symbol", F.coalesce("seconds_in_market", F.lit(0.0)).alias("seconds_in_market"), F.coalesce(F.try_divide("seconds_in_market", "period_seconds") * 100, F.lit(0.0)).alias("pct_of_period"))
+
+
+def drawdown_trades(result: Replay) -> DataFrame:
+    """Trades that were open at any time between the peak and the trough of the deepest equity fall."""
+    fall = curves.drawdown(result.equity.select("symbol", "time", "seq", "sub", "value")).select("symbol", "peak_time", "trough_time")
+    return result.trades.join(fall, "symbol").filter("entry_time <= trough_time AND exit_time >= peak_time").select("symbol", "signal_id", "entry_time", "exit_time")
+
+
+def headline(result: Replay, config: SignalReplay = SignalReplay()) -> DataFrame:  # noqa: B008
+    """Counts of trades, skips and open positions, closing balance, and whether the figures may be quoted.
+
+    They may if nothing is left open and every skip is due to an open position.
+    """
+    quoted = F.col("outcome").isin("trade", "position_open_at_decision")
+    counts = result.outcomes.groupBy("symbol").agg(
+        F.count("*").alias("signals"),
+        F.count_if(F.col("outcome") == "trade").alias("closed_trades"),
+        F.count_if(F.col("outcome").isin(*OPEN_REASONS)).alias("open_trades"),
+        F.count_if(F.col("outcome") != "trade").alias("skipped_signals"),
+        F.count_if(~F.col("outcome").isin("trade", "position_open_at_decision")).alias("missing_quote_signals"),
+        F.bool_and(quoted).alias("headline_metrics_ready"),
+    )
+    net = result.trades.groupBy("symbol").agg(F.sum("net_pnl").cast("double").alias("_net"))
+    start = F.lit(config.starting_balance).cast("double")
+    pnl = F.coalesce("_net", F.lit(0.0))
+    return counts.join(net, "symbol", "left").select("*", (start + pnl).alias("final_balance"), (pnl / start * 100).alias("return_pct")).drop("_net")

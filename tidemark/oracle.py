@@ -411,6 +411,16 @@ SQL: dict[str, str] = {
  CASE WHEN rt IS NULL THEN floor({_seconds("(SELECT max(time) FROM equity1)", "pt")}) ELSE 0 END::BIGINT AS unrecovered_seconds_at_end FROM trough, top, back""",
         "equity1",
     ).replace(") , falls", "), falls"),
+    "v1_drawdown_trades": _with(
+        f""", {_drawdown("equity1", "time, seq")} SELECT 'ALL' AS symbol, t.signal_id, et AS entry_time, xt AS exit_time FROM trades t, trough d, top p WHERE t.et <= d.time AND t.xt >= p.pt""", "equity1", "trades"
+    ).replace(") , falls", "), falls"),
+    "v1_headline": _with(
+        f"""SELECT 'ALL' AS symbol, count(*) AS signals, count(*) FILTER (outcome = 'trade') AS closed_trades, count(*) FILTER (outcome IN {_OPEN}) AS open_trades, count(*) FILTER (outcome <> 'trade') AS skipped_signals,
+ count(*) FILTER (outcome NOT IN ('trade', 'position_open_at_decision')) AS missing_quote_signals, bool_and(outcome IN ('trade', 'position_open_at_decision')) AS headline_metrics_ready,
+ (SELECT v FROM final)::DOUBLE AS final_balance, round(((SELECT v FROM final) - 10000)::DOUBLE / 10000 * 100, 8) AS return_pct FROM outcomes""",
+        "outcomes",
+        "final",
+    ),
     "curve_gaps": _with(
         """SELECT 'ALL' AS symbol, count(*) AS observation_count, quantile_cont(gap, 0.5)::DOUBLE AS median_spacing_seconds, max(gap)::BIGINT AS maximum_gap_seconds, count(*) FILTER (gap > 60) AS gaps_over_limit
  FROM (SELECT floor((epoch_us(time) - epoch_us(lag(time) OVER (ORDER BY time, seq))) / 1000000.0::DOUBLE) AS gap FROM equity1)""",

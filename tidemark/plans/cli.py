@@ -39,6 +39,8 @@ def parser() -> argparse.ArgumentParser:
     for name in ("start", "end"):
         replay.add_argument(f"--{name}", type=_time, required=True)
     replay.add_argument("--max-entry-delay", type=int, default=60)
+    net = commands.add_parser("neural")
+    net.add_argument("--output-dir", required=True)
     costs = commands.add_parser("cost-report")
     for name in ("deals", "out"):
         costs.add_argument(f"--{name}", required=True)
@@ -58,6 +60,8 @@ def main(argv: list[str] | None = None) -> int:
         elif a.command == "replay":
             config = DecisionReplay(a.start, a.end, a.max_entry_delay)
             print(pipelines.replay_run(spark, csv.decisions(spark, a.decisions, a.start, a.end), csv.ticks(spark, a.ticks, a.start, a.end), config, a.out))
+        elif a.command == "neural":
+            print(pipelines.neural_run(spark, a.output_dir))
         elif a.command == "cost-report":
             print(pipelines.cost_report(spark, spark.read.parquet(a.deals), a.start, a.end, a.out))
         else:

@@ -9,8 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.contracts import BarRequest, DecisionReplay
-from tidemark.operators import bars, deals, decision_replay, features, learning, target
+from tidemark.operators import bars, deals, decision_replay, features, learning, neural, target
 from tidemark.sinks.evidence import RunFolder
+from tidemark.sources.terminal import fetch_ticks
 
 
 def gate(spark: SparkSession, raw: DataFrame, request: BarRequest, path: str, provenance: dict[str, Any] | None = None, order_col: str | None = None) -> str:
@@ -86,3 +87,17 @@ def replay_run(spark: SparkSession, decisions: DataFrame, ticks: DataFrame, conf
         folder.table(name, df)
     folder.document("metrics", [r.asDict() for r in result.metrics.collect()])
     return folder.finish("complete", period=[config.period_start, config.period_end])
+
+
+def export_ticks(spark: SparkSession, terminal: Any, symbol: str, start: datetime, end: datetime, path: str) -> str:
+    """The terminal's quotes in [start, end), repeated ones included, in a create-only folder."""
+    folder = RunFolder(spark, path)
+    folder.table("ticks", fetch_ticks(spark, terminal, symbol, start, end))
+    return folder.finish("complete", symbol=symbol, period=[start, end])
+
+
+def neural_run(spark: SparkSession, path: str, seed: int = 20261015) -> str:
+    folder = RunFolder(spark, path)
+    folder.table("data", neural.synthetic(spark, seed))
+    folder.table("metrics", neural.run(spark, seed))
+    return folder.finish("complete", seed=seed)

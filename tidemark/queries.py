@@ -270,6 +270,16 @@ def v1_cost_decomposition(rows: DataFrame) -> DataFrame:
     return signal_replay.cost_decomposition(_signals(rows).trades)
 
 
+@query
+def v1_drawdown_trades(rows: DataFrame) -> DataFrame:
+    return signal_replay.drawdown_trades(_signals(rows))
+
+
+@query
+def v1_headline(rows: DataFrame) -> DataFrame:
+    return signal_replay.headline(_signals(rows), SIGNALS)
+
+
 @query
 def v1_classifier_accuracy(rows: DataFrame) -> DataFrame:
     return signal_replay.classifier_accuracy(adapters.signals(rows))

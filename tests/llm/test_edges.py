@@ -5,6 +5,7 @@ import random
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tests.llm import brute
-from tidemark.llm import bpe, chat, components, gsaca, linededup, packing, quality, rolling, simhash, substring, suffix, tokens, topk
+from tidemark.llm import bpe, chat, common, components, gsaca, linededup, packing, quality, rolling, simhash, substring, suffix, tokens, topk
 from tidemark.llm import queries as q
 
 SCHEMA = "doc_id long, text string, id string, kept long, n_tokens string, spans int, bits int"
@@ -98,6 +99,34 @@ def test_substring(frame, docs):
     assert kept[-5].id == "id" and kept[37].kept == docs[37] != ""
 
 
+def test_substring_tells_thue_morse_words_apart(spark):
+    word = "a"
+    for _ in range(11):
+        word += word.translate({97: 98, 98: 97})
+    for n in (1024, 2048):
+        tail = " " + " ".join(f"x{k}" for k in range(19))
+        docs = {1: word[:n] + tail, 2: word[:n].translate({97: 98, 98: 97}) + tail}
+        df = spark.createDataFrame(list(docs.items()), "doc_id long, text string")
+        assert [r.n_removed for r in substring.substring_dedup(df).orderBy("doc_id").collect()] == [0, 0]
+
+
+def test_substring_with_a_second_exchange(spark, sf_dir):
+    df = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = df.select(F.col("doc_id").alias("id"), common.text_in("text").alias("text"), F.lit(0).cast("long").alias("print")).select("id", "print", "text")
+    got = [{(r.id, bytes(r.spans)) for r in substring.late_spans(docs, 20, **k).collect()} for k in ({"bits": 0}, {"bits": 3}, {"bits": 9, "level_bits": 4, "chunk": 5000})]
+    assert got[0] == got[1] == got[2] and got[0]
+
+
+def test_rolling_hashes_follow_their_definition():
+    rng, prime = random.Random(3), 2**61 - 1
+    values = [rng.randrange(prime) for _ in range(200)] + [prime - 1, 0, 1]
+    symbols = np.array(values, np.uint64)
+    for width in (1, 2, 3, 7, 20):
+        polynomials = [[sum(values[i + k] * pow(b, width - 1 - k, prime) for k in range(width)) % prime for i in range(len(values) - width + 1)] for b in rolling.BASES]
+        first, last = rolling.window_pairs((symbols, symbols), width)
+        assert [(int(x) >> 3, (int(x) & 7) << 58 | int(y) >> 6) for x, y in zip(first, last, strict=True)] == list(zip(*polynomials, strict=True))
+
+
 @settings(max_examples=12, deadline=None)
 @given(st.lists(st.text("ab ", max_size=60), min_size=1, max_size=8))
 def test_substring_small_alphabet(spark, texts):
@@ -126,28 +155,38 @@ def test_suffix_with_hot_anchors(frame, docs):
         assert rows(got, "doc_id", "n_bytes", "n_removed", "n", "s") == brute.suffix(docs)
 
 
-def test_suffix_over_several_blocks(spark, docs, frame, monkeypatch):
+def test_suffix_over_several_blocks(spark, monkeypatch):
     rng = random.Random(8)
     base = "".join(rng.choices("abcdefgh ", k=3000))
     many = {k: base[: 400 + 37 * k] + rng.choice("xyz") * 3 + base[300 + 11 * k : 900] for k in range(40)}
-    columns, text, left, right = _contexts(many)
-    whole = set(zip(*[x.tolist() for x in suffix._late_in_block(columns, text, left, right, np.arange(len(left)), 100, 64)], strict=True))
-    hashed = set(zip(*[x.tolist() for x in suffix._late_by_hash(columns, text, left, right, np.arange(len(left)), 100, 64)], strict=True))
-    assert whole == hashed and whole
+    monkeypatch.setattr(suffix, "PIECE", 1 << 10)  # the pieces of a long text
+    batch = pa.record_batch([pa.array([7]), pa.array([0]), pa.array([LONG.encode()], pa.binary())], ["id", "print", "text"])
+    cut = [(at, bytes(raw)) for _, raw, _, at in suffix.pieces([batch], 100)]
+    assert [at for at, _ in cut] == list(range(0, len(LONG) - 99, 1 << 10)) and all(raw == LONG.encode()[at : at + 1123] for at, raw in cut)
+    got = {}
+    for block in (2, 7, 1 << 14):
+        monkeypatch.setattr(suffix, "BLOCK_CONTEXTS", block)
+        codecs = suffix._codecs(100, 36, 0)
+        found = suffix._decide(100, 36, codecs)(0, _contexts(many))
+        got[block] = {(d, x) for d, a, b in zip(*(found[c].tolist() for c in ("id", "pos", "end")), strict=True) for x in range(a, b)}
+    assert got[2] == got[7] == got[1 << 14] and got[2]
 
 
 def _contexts(many):
     rows = [(d, p) for d, t in many.items() for p in range(64, len(t) - 100, 50)]
     text = np.array([np.frombuffer(many[d][p - 64 : p + 100].encode(), np.uint8) for d, p in rows])
-    columns = {"id": np.array([d for d, _ in rows]), "print": np.zeros(len(rows)), "pos": np.array([p for _, p in rows]), "gram": np.zeros(len(rows))}
-    return columns, text, np.full(len(rows), 64), np.full(len(rows), 100)
+    gram = np.array([hash(text[k, 64:100].tobytes()) & (2**63 - 1) for k in range(len(rows))], np.uint64)
+    whole = np.array([hash(x.tobytes()) & (2**63 - 1) for x in text], np.uint64)
+    ids, pos = np.array([d for d, _ in rows]), np.array([p for _, p in rows])
+    side = lambda n: np.full(len(rows), n, np.uint8)
+    return {"gram": gram, "whole": whole, "id": ids, "print": np.zeros(len(rows), np.int64), "pos": pos, "left": side(64), "right": side(100), "text": text}
 
 
 @settings(max_examples=300, deadline=None)
 @given(st.lists(st.integers(1, 3), max_size=40))
 def test_suffix_array(symbols):
     s = [*symbols, 0]
-    assert gsaca.suffix_array(s) == sorted(range(len(s)), key=lambda i: s[i:])
+    assert gsaca.suffix_array(s).tolist() == sorted(range(len(s)), key=lambda i: s[i:])
 
 
 def test_lines(frame, docs):

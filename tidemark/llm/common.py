@@ -12,6 +12,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 #: Stands for a null id inside the operators: a null id is smaller than every other id.
 NULL_ID = -(2**63)
@@ -65,6 +66,11 @@ def power_of_two(n: float, least: int, most: int) -> int:
     return min(most, max(least, 1 << max(0, int(np.ceil(np.log2(max(n, 1)))))))
 
 
+def arrow_type(df: DataFrame, column: str) -> pa.DataType:
+    """A column's type as Python workers see it."""
+    return to_arrow_type(df.schema[column].dataType)
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder that the cluster names for checkpoints; a temporary one only where it names none."""
     context = spark.sparkContext

@@ -3,15 +3,17 @@
 Rabin-Karp hashes of every window of ``width`` words are counted in Spark. Each scan task combines
 its own windows first (of equal windows only the earliest is sent on, so a passage that a third of
 the documents share is sent once a task) and sends the rest, dealt by hash range, as compressed
-blocks. Each range then finds the windows that also start earlier, and these go back to their
-documents, where overlapping windows merge into maximal removal intervals.
+blocks (``ranges``). Each range then finds the windows that also start earlier, and these go back to
+their documents, where overlapping windows merge into maximal removal intervals.
 
-Windows are compared by 61 to 64 hash bits: among n different windows, n^2 / 2^62 pairs at most
-are expected to be taken for equal.
+A window's hash has 122 bits: two polynomials modulo 2^61 - 1 over 128-bit word symbols. A range's
+number gives the first of them and 96 more are sent, so n^2 / 2^(97 + bits of the first exchange)
+false pairs are expected among n windows: about 1e-6 for the 1.5e13 windows of 100 TB.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,210 +21,60 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm import common, rolling
+from tidemark.llm import common, found, ranges, rolling
 
-#: Windows that a scan task holds before it sends blocks.
-CHUNK_WINDOWS = 3 << 19
-#: Input bytes for each hash range.
-RANGE_BYTES = 8 << 20
-_LOW = np.uint64((1 << 56) - 1)
+#: Windows that a task holds before it sends blocks.
+CHUNK_WINDOWS = 5 << 18
+_SPACE = re.compile(rb"[\x20\x09-\x0D]")
 
 
-class _Block:
-    """Windows of one chunk in one hash range, as bytes: documents, counts, positions, hashes."""
+def word_pieces(text: bytes, most: int = 1 << 20) -> Iterator[list[bytes]]:
+    """The words of a text, in lists from about ``most`` bytes each."""
+    at = 0
+    while len(text) - at > most:
+        cut = _SPACE.search(text, at + most)
+        if not cut:
+            break
+        yield text[at : cut.start()].split()
+        at = cut.start()
+    yield (text[at:] if at else text).split()
 
-    @staticmethod
-    def pack(hashes: np.ndarray, doc: np.ndarray, pos: np.ndarray, ids: np.ndarray, prints: np.ndarray) -> tuple[bytes, int]:
-        """The entries are in the order (doc, pos); ``ids`` and ``prints`` are by doc."""
-        first = np.flatnonzero(np.append(True, doc[1:] != doc[:-1]))
-        docs, counts = doc[first], np.diff(np.append(first, len(doc))).astype("<u4")
-        step = np.diff(pos, prepend=0).astype(np.int64)
-        step[first] = pos[first]
-        wide = bool(step.max() > 65535)
-        own = ids[docs]
-        parts = [
-            np.array([len(docs), len(doc), wide], "<u4").tobytes(),
-            np.diff(own, prepend=np.int64(0)).astype("<i8").tobytes(),
-            prints[docs].astype("<u4").tobytes(),
-            counts.tobytes(),
-            step.astype("<u4" if wide else "<u2").tobytes(),
-            np.ascontiguousarray(hashes.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :7].T).tobytes(),
-        ]
-        raw = b"".join(parts)
-        return pa.compress(raw, codec="zstd", asbytes=True), len(raw)
 
-    @staticmethod
-    def unpack(blob: bytes, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        raw = pa.decompress(blob, decompressed_size=size, codec="zstd", asbytes=True)
-        docs, n, wide = np.frombuffer(raw, "<u4", 3).tolist()
-        at = 12
-        ids = np.cumsum(np.frombuffer(raw, "<i8", docs, at))
-        prints = np.frombuffer(raw, "<u4", docs, at + 8 * docs)
-        counts = np.frombuffer(raw, "<u4", docs, at + 12 * docs).astype(np.int64)
-        at += 16 * docs
-        step = np.frombuffer(raw, "<u4" if wide else "<u2", n, at).astype(np.int64)
-        at += n * (4 if wide else 2)
-        hashes = np.zeros((n, 8), np.uint8)
-        hashes[:, :7] = np.frombuffer(raw, np.uint8, 7 * n, at).reshape(7, n).T
-        sums = np.cumsum(step)
-        first = np.cumsum(counts) - counts
-        pos = sums - np.repeat(sums[first] - step[first], counts)
-        return hashes.view("<u8").ravel(), np.repeat(ids, counts), np.repeat(prints, counts), pos
-
-
-def repeated(hashes: np.ndarray, doc: np.ndarray, pos: np.ndarray) -> np.ndarray:
-    """Which entries have an equal one with a smaller (doc, pos)."""
-    out = np.zeros(len(hashes), bool)
-    order = np.argsort(hashes)
-    same = hashes[order[1:]] == hashes[order[:-1]]
-    many = order[np.append(same, False) | np.append(False, same)]
-    if not len(many):
-        return out
-    many = many[np.lexsort((pos[many], doc[many], hashes[many]))]
-    first = np.append(True, hashes[many[1:]] != hashes[many[:-1]])
-    lead = many[np.maximum.accumulate(np.where(first, np.arange(len(many)), 0))]
-    out[many] = (doc[many] != doc[lead]) | (pos[many] != pos[lead])
-    return out
-
-
-def _pack_late(ids: np.ndarray, prints: np.ndarray, pos: np.ndarray, bits: int) -> list[tuple[int, bytes, int]]:
-    """Windows to remove as (bucket, blob, size) rows, one for each bucket of documents."""
-    if not len(ids):
-        return []
-    bucket = (rolling.mix(ids.astype(np.int64).view(np.uint64)) & np.uint64((1 << bits) - 1)).astype(np.int64)
-    order = np.lexsort((pos, prints, ids, bucket))
-    ids, prints, pos, bucket = ids[order], prints[order], pos[order], bucket[order]
-    first = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])).tolist()
-    rows = []
-    for a, b in zip(first, [*first[1:], len(bucket)], strict=True):
-        own, own_prints = ids[a:b], prints[a:b]
-        docs = np.flatnonzero(np.append(True, (own[1:] != own[:-1]) | (own_prints[1:] != own_prints[:-1])))
-        counts = np.diff(np.append(docs, b - a))
-        step = np.diff(pos[a:b], prepend=0)
-        step[docs] = pos[a:b][docs]
-        raw = b"".join(
-            [np.array([len(docs), b - a], "<i8").tobytes()]
-            + [np.ascontiguousarray(x).astype("<i8" if k < 2 else "<i4").tobytes() for k, x in enumerate((own[docs], own_prints[docs], counts, step))]
-        )
-        rows.append((int(bucket[a]), pa.compress(raw, codec="zstd", asbytes=True), len(raw)))
-    return rows
-
-
-def _unpack_late(blob: bytes, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    raw = pa.decompress(blob, decompressed_size=size, codec="zstd", asbytes=True)
-    docs, n = np.frombuffer(raw, "<i8", 2).tolist()
-    ids, prints = np.frombuffer(raw, "<i8", docs, 16), np.frombuffer(raw, "<i8", docs, 16 + 8 * docs)
-    counts, step = np.frombuffer(raw, "<i4", docs, 16 + 16 * docs).astype(np.int64), np.frombuffer(raw, "<i4", n, 16 + 20 * docs).astype(np.int64)
-    sums, first = np.cumsum(step), np.cumsum(counts) - counts
-    return np.repeat(ids, counts), np.repeat(prints, counts), sums - np.repeat(sums[first] - step[first], counts)
-
-
-def _merge(width: int):
-    def run(table: pa.Table) -> pa.Table:
-        """One bucket of documents: maximal intervals that removed windows cover."""
-        found = [_unpack_late(b, s) for b, s in zip(table.column("blob").to_pylist(), table.column("size").to_pylist(), strict=True)]
-        ids, prints, pos = (np.concatenate(x) for x in zip(*found, strict=True))
-        order = np.lexsort((pos, prints, ids))
-        ids, prints, pos = ids[order], prints[order], pos[order]
-        new_doc = np.append(True, (ids[1:] != ids[:-1]) | (prints[1:] != prints[:-1]))
-        begins = np.flatnonzero(new_doc | np.append(True, pos[1:] > pos[:-1] + width))
-        ends = np.append(begins[1:], len(pos)) - 1
-        spans = np.stack([pos[begins], pos[ends] + width], axis=1).astype("<u4")
-        per_doc = np.diff(np.append(np.flatnonzero(new_doc[begins]), len(begins)))
-        docs = np.flatnonzero(new_doc)
-        return pa.table([pa.array(ids[docs], pa.int64()), pa.array(prints[docs], pa.int64()), rolling.binary_rows(spans, 2 * per_doc)], ["id", "print", "spans"])
-
-    return run
-
-
-_SENT = "part int, blob binary, size long"
-_SENT_NAMES = ["part", "blob", "size"]
+def _codecs(width: int, level: int) -> dict[int, ranges.Codec]:
+    return {0: ranges.Places(width), ranges.SPANS: ranges.Spans(level)}
 
 
 def _send(width: int, bits: int, chunk: int):
+    codecs = _codecs(width, bits)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, ...]] = []
-        ids: list[np.ndarray] = []
-        prints: list[np.ndarray] = []
-        n = n_docs = 0
+        held: list[ranges.Rows] = []
+        known, n = rolling.Symbols(), 0
         for batch in common.slices(batches, "text", 1 << 20):
-            raw, offsets = rolling.flat(batch.column("text"))
-            begins, ends, first = rolling.word_bounds(raw, offsets)
-            hashes = rolling.window_hashes(rolling.word_hashes(raw, begins, ends), width)
-            doc = np.repeat(np.arange(len(first) - 1), np.diff(first))
-            whole = np.flatnonzero(doc[: len(hashes)] == doc[width - 1 :]) if len(hashes) else np.empty(0, np.int64)
-            held.append((hashes[whole], doc[whole] + n_docs, whole - first[doc[whole]]))
-            ids.append(batch.column("id").to_numpy(zero_copy_only=False))
-            prints.append(batch.column("print").to_numpy(zero_copy_only=False))
-            n, n_docs = n + len(whole), n_docs + batch.num_rows
-            if n >= chunk:
-                yield from _chunk(held, ids, prints, bits)
-                held, ids, prints, n, n_docs = [], [], [], 0, 0
+            ids, prints = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("id", "print"))
+            for row, text in enumerate(batch.column("text")):
+                pieces = [known.of(words) for words in word_pieces(text.as_buffer().to_pybytes())]
+                a, b = (np.concatenate(x) if len(pieces) > 1 else x[0] for x in zip(*pieces, strict=True))
+                for at in range(0, max(0, len(a) - width + 1), chunk):  # a very long text fills chunks of its own
+                    first, last = rolling.window_pairs((a[at : at + chunk + width - 1], b[at : at + chunk + width - 1]), width)
+                    held.append({"first": first, "last": last, "id": np.full(len(first), ids[row]), "print": np.full(len(first), prints[row]), "pos": np.arange(at, at + len(first))})
+                    n += len(first)
+                    if n >= chunk:
+                        yield from ranges.deal(held, codecs, 0, bits)
+                        n = 0
         if n:
-            yield from _chunk(held, ids, prints, bits)
-        held = ids = prints = None
+            yield from ranges.deal(held, codecs, 0, bits)
         common.release()
 
     return run
 
 
-def _chunk(held: list[tuple[np.ndarray, ...]], ids: list[np.ndarray], prints: list[np.ndarray], bits: int) -> Iterator[pa.RecordBatch]:
-    hashes, doc, pos = (np.concatenate(x) for x in zip(*held, strict=True))
-    own, own_prints = np.concatenate(ids), np.concatenate(prints)
-    by_id = np.argsort(own, kind="stable")
-    place = np.empty(len(own), np.int64)
-    place[by_id] = np.arange(len(own))
-    own, own_prints, doc = own[by_id], own_prints[by_id], place[doc]
-    late = repeated(hashes, own[doc], pos)
-    if late.any():
-        yield _rows([(-1 - bucket, blob, size) for bucket, blob, size in _pack_late(own[doc[late]], own_prints[doc[late]], pos[late], bits)])
-        hashes, doc, pos = hashes[~late], doc[~late], pos[~late]
-    part = (hashes >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(hashes), np.int64)
-    order = np.lexsort((pos, doc, part)) if not _ascending(doc, pos) else np.argsort(part.astype(np.uint16 if bits <= 16 else np.int64), kind="stable")
-    hashes, doc, pos, part = hashes[order], doc[order], pos[order], part[order]
-    low = _LOW if bits >= 8 else np.uint64((1 << 64) - 1)
-    first = np.flatnonzero(np.append(True, part[1:] != part[:-1])) if len(part) else np.empty(0, np.int64)
-    if bits < 8:  # seven bytes are sent: the lowest bits of the hash are given up, not those of the range
-        hashes = hashes >> np.uint64(8 - bits)
-    rows = []
-    for a, b in zip(first.tolist(), [*first[1:].tolist(), len(part)], strict=True):
-        blob, size = _Block.pack(hashes[a:b] & low, doc[a:b], pos[a:b], own, own_prints)
-        rows.append((int(part[a]), blob, size))
-        if len(rows) == 64:
-            yield _rows(rows)
-            rows = []
-    if rows:
-        yield _rows(rows)
-
-
-def _ascending(doc: np.ndarray, pos: np.ndarray) -> bool:
-    return bool(np.all((doc[1:] > doc[:-1]) | ((doc[1:] == doc[:-1]) & (pos[1:] >= pos[:-1]))))
-
-
-def _rows(rows: list[tuple]) -> pa.RecordBatch:
-    types = [pa.int32(), pa.binary(), pa.int64()]
-    return pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], _SENT_NAMES)
-
-
-def _resolve(bits: int):
-    def run(table: pa.Table) -> pa.Table:
-        """One hash range: the windows that also start earlier, by bucket of documents."""
-        part = table.column("part")[0].as_py()
-        if part < 0:  # found by a scan task already
-            return pa.table([pa.array(np.full(table.num_rows, -1 - part), pa.int32()), table.column("blob"), table.column("size")], _LATE_NAMES)
-        found = [_Block.unpack(b, s) for b, s in zip(table.column("blob").to_pylist(), table.column("size").to_pylist(), strict=True)]
-        hashes, doc, prints, pos = (np.concatenate(x) for x in zip(*found, strict=True))
-        late = repeated(hashes, doc, pos)
-        rows = _pack_late(doc[late], prints[late].astype(np.int64), pos[late], bits)
-        del found, hashes, doc, prints, pos, late
-        common.release()
-        types = [pa.int32(), pa.binary(), pa.int64()]
-        return pa.table([pa.array([r[k] for r in rows], t) for k, t in enumerate(types)], _LATE_NAMES)
-
-    return run
-
-
-_LATE_NAMES = ["bucket", "blob", "size"]
+def late_spans(docs: DataFrame, width: int, bits: int, level_bits: int = ranges.LEVEL_BITS, chunk: int = CHUNK_WINDOWS) -> DataFrame:
+    """(id, print, spans) by document: maximal intervals of the late windows of ``docs`` (id, print, text)."""
+    level = min(bits, level_bits)
+    codecs = _codecs(width, level)
+    dealt = ranges.exchanged(docs.mapInArrow(_send(width, level, chunk), ranges.SENT), codecs, bits, level, chunk)
+    return ranges.resolved(dealt, codecs, lambda _, rows: codecs[0].fold(rows)[1], bits, chunk)
 
 
 def _remove(width: int, layout: str):
@@ -278,19 +130,13 @@ def substring_dedup(
     comes before every other id. Rows that share an id count as one document: equal windows at the
     same start leave each other alone. An empty table gives an empty result.
     """
-    size = common.plan_bytes(df)
-    bits = common.power_of_two(size / RANGE_BYTES if size < 1 << 60 else 64, 1, 1 << 20).bit_length() - 1
-    carried = F.struct(F.lit(0).alias("_"), *[F.col(f"`{c}`") for c in carry]) if carry else F.struct(F.lit(0).alias("_"))
+    carried = F.struct(F.lit(0).alias("_"), *[F.col(f"`{c}`") for c in carry])
     docs = df.select(common.id_in(id_col).alias("id"), common.text_in(text_col).alias("text"), carried.alias("carried"))
     docs = docs.withColumn("print", F.xxhash64("text").bitwiseAND(F.lit(0xFFFFFFFF)))
-    sent = docs.select("id", "print", "text").mapInArrow(_send(width, bits, CHUNK_WINDOWS), _SENT)
-    late = sent.groupBy("part").applyInArrow(_resolve(bits), "bucket int, blob binary, size long")
-    spans = late.groupBy("bucket").applyInArrow(_merge(width), "id long, print long, spans binary")
-    joined = docs.join(spans.hint("shuffle_hash"), ["id", "print"], "left").select("id", "carried", "text", "spans")
-    kind = joined.schema["carried"].dataType.simpleString()
-    out = joined.mapInArrow(
-        _remove(width, layout), f"id long, carried {kind}, n_words long, n_removed long, spans array<struct<begin: int, end: int>>, kept binary"
-    )
+    late = late_spans(docs.select("id", "print", "text"), width, ranges.range_bits(common.plan_bytes(df)))
+    kind = docs.schema["carried"].dataType.simpleString()
+    schema = f"id long, carried {kind}, n_words long, n_removed long, spans array<struct<begin: int, end: int>>, kept binary"
+    out = found.applied(docs, late, _remove(width, layout), schema, ["id", "print"])
     return out.select(
         common.id_out(F.col("id")).alias(id_col),
         *[F.col(f"carried.`{c}`").alias(c) for c in carry if c != id_col],

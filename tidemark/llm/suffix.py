@@ -4,22 +4,19 @@ Every string of ``width`` bytes holds at least one anchor: the k-byte grams with
 of each window. Equal strings hold equal anchors at equal places, so only anchors that occur again
 need a closer look, and only together with equal ones.
 
-1. Anchor hashes are dealt by range; those that occur twice or more go back to their documents.
-2. Each such occurrence sends its context: the strings whose smallest gram it is (or may be, as
-   only anchors are compared). Equal contexts fold into their earliest one, in the scan task
-   already; the later ones are repeats throughout.
-3. What is left of an anchor are different contexts. Each is trimmed to the part that it shares
-   with another one (neighbours in sorted order show how far to either side); equal trimmed
-   contexts fold again.
-4. The remaining ones, joined behind separators, get a suffix array by linear grouping (``gsaca``).
-   Neighbours in it that agree on ``width`` bytes are equal strings; all but the earliest go.
-5. Intervals to remove go back to their documents and merge.
-
-Suffix arrays are built over blocks of a bounded size; between blocks of one anchor, the earliest
-strings are compared by 64-bit hashes. An anchor that occurs very often (HOT times, say within a
-passage that a third of the documents embed) would bring too many contexts to one task: its strings
-are dealt one by one, by their own hashes, and combined in the scan task like the windows of
-``substring``.
+1. Anchors are dealt by hash range; those that occur twice or more go back to their documents.
+2. Each such occurrence sends its context: the strings whose smallest gram it is. Contexts with
+   equal bytes fold into their earliest one, in the scan task already; the later ones are repeats throughout.
+3. All different contexts of an anchor meet. Their bytes left and right of the gram, as big-endian
+   8-byte symbols behind separators, get a suffix array by linear grouping (``gsaca``). Neighbours in
+   it tell how many bytes two contexts share to either side, and so which strings are equal; all
+   but the earliest of these go.
+4. Intervals to remove go back to their documents and merge.
+
+Hashes only route: folds and suffix arrays compare bytes. The one exception are anchors that occur
+more than HOT times: so many contexts must not meet in one task, so their strings are dealt one by one, by
+122-bit hashes, and counted like the windows of ``substring``. A long text is worked on in pieces
+of PIECE bytes that overlap by less than a string.
 """
 
 from __future__ import annotations
@@ -31,14 +28,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm import common, rolling, substring
+from tidemark.llm import common, found, ranges, rolling
 from tidemark.llm.gsaca import suffix_array
 
 GRAM = 36
-CHUNK_BYTES = 12 << 20
-RANGE_BYTES = 8 << 20
-BLOCK_BYTES = 1 << 17
-HOT = 1 << 15
+PIECE = 1 << 20
+#: Anchors, or contexts, that a task holds before it sends blocks.
+CHUNK_ANCHORS, CHUNK_CONTEXTS = 3 << 17, 5 << 14
+#: Occurrences of an anchor whose contexts may meet in one task: 20 MB of contexts.
+HOT = 1 << 17
+#: Contexts of a suffix array, unless one anchor has more.
+BLOCK_CONTEXTS = 1 << 14
+_CONTEXTS, _STRINGS = 0, 1
 
 
 def _sliding(x: np.ndarray, width: int, best) -> np.ndarray:
@@ -88,356 +89,246 @@ def owned(at: np.ndarray, doc: np.ndarray, hashes: np.ndarray, ends: np.ndarray,
     return low, high
 
 
+def pieces(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray, int]]:
+    """(rows, bytes, where each row's begin, place of the first byte in its text) of slices; long texts come in pieces of their own.
+
+    Every string of ``width`` bytes lies in one piece only.
+    """
+    for batch in common.slices(batches, "text", PIECE):
+        raw, offsets = rolling.flat(batch.column("text"))
+        if batch.num_rows > 1 or len(raw) <= PIECE:
+            yield batch, raw, offsets, 0
+            continue
+        for at in range(0, len(raw) - width + 1, PIECE):
+            part = raw[at : at + PIECE + width - 1]
+            yield batch, part, np.array([0, len(part)]), at
+
+
+def _columns(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    ids, prints = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("id", "print"))
+    return ids, prints
+
+
 def _send_anchors(width: int, gram: int, bits: int, chunk: int):
+    codecs = {0: ranges.Places()}
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, ids, prints, n, n_docs = [], [], [], 0, 0
-        for batch in common.slices(batches, "text", 1 << 20):
-            raw, offsets = rolling.flat(batch.column("text"))
+        held: list[ranges.Rows] = []
+        n = 0
+        for batch, raw, offsets, base in pieces(batches, width):
+            ids, prints = _columns(batch)
             at, doc, hashes = anchors(raw, offsets, width, gram)
-            held.append((rolling.mix(hashes), doc + n_docs, at - offsets[doc]))
-            ids.append(batch.column("id").to_numpy(zero_copy_only=False))
-            prints.append(batch.column("print").to_numpy(zero_copy_only=False))
-            n, n_docs = n + len(raw), n_docs + batch.num_rows
+            held.append({"first": rolling.mix(hashes), "last": np.zeros(len(at), np.uint64), "id": ids[doc], "print": prints[doc], "pos": at - offsets[doc] + base})
+            n += len(at)
             if n >= chunk:
-                yield from _ship(held, ids, prints, bits)
-                held, ids, prints, n, n_docs = [], [], [], 0, 0
-        if n_docs:
-            yield from _ship(held, ids, prints, bits)
-        held = ids = prints = None
+                yield from ranges.deal(held, codecs, 0, bits)
+                n = 0
+        if n:
+            yield from ranges.deal(held, codecs, 0, bits)
         common.release()
 
     return run
 
 
-def _ship(held, ids, prints, bits: int) -> Iterator[pa.RecordBatch]:
-    hashes, doc, pos = (np.concatenate(x) for x in zip(*held, strict=True))
-    if not len(hashes):
-        return
-    own, own_prints = np.concatenate(ids), np.concatenate(prints)
-    part = _range(hashes, bits)
-    order = np.lexsort((pos, doc, own[doc], part))
-    hashes, doc, pos, part = hashes[order], doc[order], pos[order], part[order]
-    if bits < 8:
-        hashes = hashes >> np.uint64(8 - bits)
-    first = np.flatnonzero(np.append(True, part[1:] != part[:-1])).tolist()
-    rows = []
-    for a, b in zip(first, [*first[1:], len(part)], strict=True):
-        blob, size = substring._Block.pack(hashes[a:b], doc[a:b], pos[a:b], own, own_prints)  # noqa: SLF001
-        rows.append((int(part[a]), blob, size))
-    yield substring._rows(rows)  # noqa: SLF001
-
-
-def _range(hashes: np.ndarray, bits: int) -> np.ndarray:
-    return (hashes >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(hashes), np.int64)
-
-
-def _repeated_anchors(bits: int, hot: int):
-    def run(table: pa.Table) -> pa.Table:
-        found = [substring._Block.unpack(b, s) for b, s in zip(table.column("blob").to_pylist(), table.column("size").to_pylist(), strict=True)]  # noqa: SLF001
-        hashes, doc, prints, pos = (np.concatenate(x) for x in zip(*found, strict=True))
-        order = np.argsort(hashes)
-        same = hashes[order[1:]] == hashes[order[:-1]]
-        many = order[np.append(same, False) | np.append(False, same)]
-        first = np.flatnonzero(np.append(True, hashes[many[1:]] != hashes[many[:-1]])) if len(many) else many
-        counts = np.diff(np.append(first, len(many)))
-        places = 2 * pos[many] + np.repeat(counts > hot, counts)  # the lowest bit says that the anchor is hot
-        return _table(substring._pack_late(doc[many], prints[many].astype(np.int64), places, bits))  # noqa: SLF001
+def _again(hot: int):
+    def decide(kind: int, rows: ranges.Rows) -> ranges.Rows:
+        """Anchors that occur again, as spans that begin at four times their place, plus two where the anchor is hot."""
+        rows = ranges.taken(rows, np.argsort(rows["first"], kind="stable"))
+        first = ranges.edges(rows["first"])
+        counts = np.diff(np.append(first, len(rows["first"])))
+        counts = np.repeat(counts, counts)
+        rows["pos"] = 4 * rows["pos"] + 2 * (counts > hot)
+        return ranges.spans(rows, counts > 1, 0, 1)
 
-    return run
+    return decide
 
 
-def _table(rows: list[tuple[int, bytes, int]]) -> pa.Table:
-    types = [pa.int32(), pa.binary(), pa.int64()]
-    return pa.table([pa.array([r[k] for r in rows], t) for k, t in enumerate(types)], ["bucket", "blob", "size"])
+class Contexts:
+    """Contexts of anchors: ``gram`` and ``whole`` hashes, id, print, place, bytes owned left and right of the place, and ``text``."""
 
+    NAMES = ("gram", "whole", "id", "print", "pos", "left", "right")
+    TYPES = ("<u8", "<u8", "<i8", "<u4", "<u4", "<u1", "<u1")
 
-def _positions(table: pa.Table) -> pa.Table:
-    """One bucket of documents: each document's positions."""
-    found = [substring._unpack_late(b, s) for b, s in zip(table.column("blob").to_pylist(), table.column("size").to_pylist(), strict=True)]  # noqa: SLF001
-    ids, prints, pos = (np.concatenate(x) for x in zip(*found, strict=True))
-    order = np.lexsort((pos, prints, ids))
-    ids, prints, pos = ids[order], prints[order], pos[order]
-    docs = np.flatnonzero(np.append(True, (ids[1:] != ids[:-1]) | (prints[1:] != prints[:-1])))
-    return pa.table(
-        [pa.array(ids[docs], pa.int64()), pa.array(prints[docs], pa.int64()), rolling.binary_rows(pos.astype("<u4"), np.diff(np.append(docs, len(pos))))],
-        ["id", "print", "places"],
-    )
+    def __init__(self, span: int) -> None:
+        self.span = span
 
+    def key(self, rows: ranges.Rows) -> np.ndarray:
+        return rows["gram"]
 
-class _Contexts:
-    """Contexts of anchors as arrays: gram hash, whole hash, id, print, place, left and right bytes."""
+    def fold(self, rows: ranges.Rows) -> tuple[ranges.Rows, ranges.Rows]:
+        """The earliest of contexts with equal bytes, and the spans of the later ones."""
+        rows = ranges.taken(rows, np.lexsort((rows["pos"], rows["id"], rows["whole"], rows["gram"])))
+        n = len(rows["gram"])
+        new = np.zeros(n, np.int64)
+        new[ranges.edges(rows["gram"], rows["whole"])] = 1
+        lead = np.maximum.accumulate(np.where(new, np.arange(n), 0))
+        equal = np.empty(n, bool)
+        for at in range(0, n, 1 << 14):  # hashes only bring equal bytes together
+            equal[at : at + (1 << 14)] = (rows["text"][at : at + (1 << 14)] == rows["text"][lead[at : at + (1 << 14)]]).all(axis=1)
+        # rows of one id at one place are one document twice: neither is earlier
+        late = equal & ~((rows["id"] == rows["id"][lead]) & (rows["pos"] == rows["pos"][lead]))
+        begin, end = -rows["left"][late].astype(np.int64), rows["right"][late].astype(np.int64)
+        return ranges.taken(rows, ~late), ranges.spans(rows, late, begin, end)
 
-    NAMES = ("gram", "whole", "id", "print", "pos", "left", "right")
-    TYPES = ("<u8", "<u8", "<i8", "<u4", "<u4", "<u1", "<u1")
+    def pack(self, rows: ranges.Rows, bits: int) -> bytes:
+        return b"".join([np.int64(len(rows["gram"])).tobytes(), *[rows[n].astype(t).tobytes() for n, t in zip(self.NAMES, self.TYPES, strict=True)], rows["text"].tobytes()])
 
-    @classmethod
-    def pack(cls, columns: dict[str, np.ndarray], text: np.ndarray) -> tuple[bytes, int]:
-        raw = np.int64(len(text)).tobytes() + b"".join(columns[n].astype(t).tobytes() for n, t in zip(cls.NAMES, cls.TYPES, strict=True)) + text.tobytes()
-        return pa.compress(raw, codec="zstd", asbytes=True), len(raw)
+    def unpack(self, raw: bytes, part: int, bits: int) -> ranges.Rows:
+        n, at, rows = int(np.frombuffer(raw, "<i8", 1)[0]), 8, {}
+        for name, kind in zip(self.NAMES, self.TYPES, strict=True):
+            column = np.frombuffer(raw, kind, n, at)
+            rows[name] = column.astype(np.int64) if name in ("print", "pos") else column
+            at += n * np.dtype(kind).itemsize
+        return {**rows, "text": np.frombuffer(raw, np.uint8, n * self.span, at).reshape(n, self.span)}
 
-    @classmethod
-    def unpack(cls, blob: bytes, size: int, span: int) -> tuple[dict[str, np.ndarray], np.ndarray]:
-        raw = pa.decompress(blob, decompressed_size=size, codec="zstd", asbytes=True)
-        n, at, columns = int(np.frombuffer(raw, "<i8", 1)[0]), 8, {}
-        for name, t in zip(cls.NAMES, cls.TYPES, strict=True):
-            columns[name] = np.frombuffer(raw, t, n, at)
-            at += n * np.dtype(t).itemsize
-        return columns, np.frombuffer(raw, np.uint8, n * span, at).reshape(n, span)
+
+def _codecs(width: int, gram: int, level: int) -> dict[int, ranges.Codec]:
+    return {_CONTEXTS: Contexts(2 * width - gram), _STRINGS: ranges.Places(width), ranges.SPANS: ranges.Spans(level)}
 
 
 def _send_contexts(width: int, gram: int, bits: int, chunk: int):
     before, span = width - gram, 2 * width - gram
-
-    def flush(parts: list[tuple[dict[str, np.ndarray], np.ndarray]]) -> Iterator[pa.RecordBatch]:
-        columns = {n: np.concatenate([p[0][n] for p in parts]) for n in _Contexts.NAMES}
-        text = np.concatenate([p[1] for p in parts])
-        if not len(text):
-            return
-        kept, late = _fold(columns)
-        rows = [(-1 - b, blob, size) for b, blob, size in _late_rows(columns, late, columns["left"], columns["right"], width, bits)]
-        part = _range(columns["gram"][kept], bits)
-        order = np.argsort(part, kind="stable")
-        kept, part = kept[order], part[order]
-        first = np.flatnonzero(np.append(True, part[1:] != part[:-1])).tolist() if len(part) else []
-        for a, b in zip(first, [*first[1:], len(part)] if first else [], strict=True):
-            blob, size = _Contexts.pack({n: c[kept[a:b]] for n, c in columns.items()}, text[kept[a:b]])
-            rows.append((int(part[a]), blob, size))
-        yield substring._rows(rows)  # noqa: SLF001
-
-    def flush_strings(strings, ids, prints) -> Iterator[pa.RecordBatch]:
-        """The strings of hot anchors, in parts behind those of the contexts."""
-        for sent in substring._chunk(strings, ids, prints, bits) if strings else ():  # noqa: SLF001
-            part = sent.column(0).to_numpy()
-            yield pa.record_batch([pa.array(np.where(part < 0, part, part + (1 << bits)).astype(np.int32)), *sent.columns[1:]], sent.schema.names)
+    codecs = _codecs(width, gram, bits)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts, held = [], 0
-        strings, all_ids, all_prints, n_docs = [], [], [], 0
-        for batch in common.slices(batches, "text", 1 << 20):
-            raw, offsets = rolling.flat(batch.column("text"))
-            places = [np.frombuffer(x, "<u4").astype(np.int64) if x else np.empty(0, np.int64) for x in batch.column("places").to_pylist()]
-            repeated = np.concatenate([(x >> 1) + o for x, o in zip(places, offsets[:-1].tolist(), strict=True)])
-            hot = repeated[(np.concatenate(places) & 1).astype(bool)]
+        held: list[ranges.Rows] = []
+        strings: list[ranges.Rows] = []
+        n = n_strings = 0
+        for batch, raw, offsets, base in pieces(batches, width):
+            ids, prints = _columns(batch)
+            marks = [np.frombuffer(x, "<u4").reshape(-1, 2)[:, 0].astype(np.int64) for x in batch.column("spans").to_pylist()]
+            marks = [m[(m >> 2 >= base) & (m >> 2 < base + len(raw))] for m in marks]
+            again = np.concatenate([(m >> 2) - base + o for m, o in zip(marks, offsets[:-1].tolist(), strict=True)])
             at, doc, hashes = anchors(raw, offsets, width, gram)
             first, last = owned(at, doc, hashes, offsets[doc + 1], offsets[doc], width, gram)
-            use = np.isin(at, repeated) & (first <= last)
+            use = np.isin(at, again) & (first <= last)
             if not use.any():
                 continue
             at, doc, hashes, first, last = at[use], doc[use], hashes[use], first[use], last[use]
-            pos, left, right = at - offsets[doc], at - first, last + width - at
-            sums = np.zeros(len(raw) + 1, np.uint64)
-            np.cumsum(rolling.byte_symbols(raw) * rolling.powers(len(raw))[: len(raw)], out=sums[1:])
-            inverse = rolling.powers(len(raw), rolling._INVERSE)  # noqa: SLF001
-            hashed = lambda a, b: (sums[b] - sums[a]) * inverse[a]  # noqa: E731, B023
-            ids, prints = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("id", "print"))
-            if len(hot):
-                is_hot = np.isin(at, hot)
+            is_hot = np.isin(at, again[(np.concatenate(marks) & 2).astype(bool)])
+            if is_hot.any():
                 counts = (last - first + 1)[is_hot]
                 begin = np.repeat(first[is_hot] - np.cumsum(counts) + counts, counts) + np.arange(counts.sum())
                 owner = np.repeat(doc[is_hot], counts)
-                strings.append((rolling.mix(hashed(begin, begin + width)), owner + n_docs, begin - offsets[owner]))
-                all_ids.append(ids)
-                all_prints.append(prints)
-                n_docs += batch.num_rows
-                held += 24 * len(begin)
-                at, doc, hashes, first, last, pos, left, right = (x[~is_hot] for x in (at, doc, hashes, first, last, pos, left, right))
-            columns = {
-                "gram": rolling.mix(hashes),
-                "whole": rolling.mix(rolling.mix(hashed(at - left, at + right)) + left.astype(np.uint64) * np.uint64(256) + right.astype(np.uint64)),
-                "id": ids[doc],
-                "print": prints[doc],
-                "pos": pos, "left": left, "right": right,
-            }
-            spread = at[:, None] + np.arange(-before, width)
-            text = raw[np.clip(spread, 0, len(raw) - 1)]
-            text[(spread < (at - left)[:, None]) | (spread >= (at + right)[:, None])] = 0xFF  # no byte of UTF-8
-            parts.append((columns, text))
-            held += text.size
-            if held >= chunk:
-                yield from flush(parts)
-                yield from flush_strings(strings, all_ids, all_prints)
-                parts, held = [], 0
-                strings, all_ids, all_prints, n_docs = [], [], [], 0
-        if parts:
-            yield from flush(parts)
-            yield from flush_strings(strings, all_ids, all_prints)
-        parts = strings = None
-        common.release()
-
-    return run
-
-
-def _fold(columns: dict[str, np.ndarray], key: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """The earliest of the contexts that are equal (same gram and whole hash), and the later ones."""
-    key = columns["whole"] if key is None else key
-    order = np.lexsort((columns["pos"], columns["id"], key, columns["gram"]))
-    g, w = columns["gram"][order], key[order]
-    first = np.append(True, (g[1:] != g[:-1]) | (w[1:] != w[:-1]))
-    lead = order[np.maximum.accumulate(np.where(first, np.arange(len(order)), 0))]
-    # rows of one id at one place are one document twice: neither is earlier
-    tie = (columns["id"][order] == columns["id"][lead]) & (columns["pos"][order] == columns["pos"][lead])
-    return order[first | tie], order[~(first | tie)]
-
-
-def _late_rows(columns, late: np.ndarray, left: np.ndarray, right: np.ndarray, width: int, bits: int) -> list[tuple[int, bytes, int]]:
-    """Contexts that are repeats throughout, as the begins of strings that cover them."""
-    left, right = left.astype(np.int64), right.astype(np.int64)
-    late = late[left[late] + right[late] >= width]
-    begin, length = columns["pos"][late].astype(np.int64) - left[late], left[late] + right[late]
-    # up to two strings cover a context, as it is shorter than two widths
-    ids, prints = columns["id"][late].astype(np.int64), columns["print"][late].astype(np.int64)
-    return substring._pack_late(np.tile(ids, 2), np.tile(prints, 2), np.concatenate([begin, begin + length - width]), bits)  # noqa: SLF001
-
-
-def _shared(group: np.ndarray, text: np.ndarray) -> np.ndarray:
-    """For each row, how many leading bytes it shares with another row of its group at most."""
-    width = -(-text.shape[1] // 8) * 8
-    padded = np.zeros((len(text), width), np.uint8)
-    padded[:, : text.shape[1]] = text
-    words = padded.view(">u8").astype(np.uint64)
-    order = np.lexsort((*[words[:, k] for k in range(words.shape[1] - 1, -1, -1)], group))
-    ranked, g = text[order], group[order]
-    differs = (ranked[1:] != ranked[:-1]) | (ranked[1:] == 0xFF)
-    common_ = np.where(differs.any(axis=1), differs.argmax(axis=1), text.shape[1])
-    common_[g[1:] != g[:-1]] = 0
-    out = np.empty(len(text), np.int64)
-    out[order] = np.maximum(np.append(0, common_), np.append(common_, 0))
-    return out
-
-
-def _resolve(width: int, gram: int, bits: int):
-    before, span = width - gram, 2 * width - gram
-
-    def run(table: pa.Table) -> pa.Table:
-        part = table.column("part")[0].as_py()
-        if part < 0:
-            return pa.table([pa.array(np.full(table.num_rows, -1 - part), pa.int32()), table.column("blob"), table.column("size")], ["bucket", "blob", "size"])
-        if part >= 1 << bits:
-            return substring._resolve(bits)(table)  # noqa: SLF001
-        found = [_Contexts.unpack(b, s, span) for b, s in zip(table.column("blob").to_pylist(), table.column("size").to_pylist(), strict=True)]
-        columns = {n: np.concatenate([c[n] for c, _ in found]) for n in _Contexts.NAMES}
-        text = np.concatenate([t for _, t in found])
-        kept, late = _fold(columns)
-        rows = _late_rows(columns, late, columns["left"], columns["right"], width, bits)
-        columns, text = {n: c[kept] for n, c in columns.items()}, text[kept]
-
-        # trim each context to what it shares with another one of its anchor
-        by_gram = np.argsort(columns["gram"], kind="stable")
-        g = columns["gram"][by_gram]
-        same = g[1:] == g[:-1]
-        many = by_gram[np.append(same, False) | np.append(False, same)] if len(g) else by_gram
-        columns, text = {n: c[many] for n, c in columns.items()}, text[many]
-        if len(many):
-            right = _shared(columns["gram"], text[:, before:])
-            left = _shared(columns["gram"], np.ascontiguousarray(text[:, :before][:, ::-1]))
-            use = np.flatnonzero(left + right >= width)
-            columns, text, left, right = {n: c[use] for n, c in columns.items()}, text[use], left[use], right[use]
-            inside = (np.arange(-before, width) >= -left[:, None]) & (np.arange(-before, width) < right[:, None])
-            text = np.where(inside, text, np.uint8(0xFF))
-            sums = (rolling.byte_symbols(text.ravel()).reshape(text.shape) * rolling.powers(span)[:span]).sum(axis=1, dtype=np.uint64)
-            kept, late = _fold(columns, rolling.mix(sums))
-            rows += _late_rows(columns, late, left, right, width, bits)
-            columns, text, left, right = {n: c[kept] for n, c in columns.items()}, text[kept], left[kept], right[kept]
-            rows += _by_suffixes(columns, text, left, right, width, before, bits)
-        del found, columns, text, kept, late
+                high, low = rolling.window_pairs(rolling.byte_pairs(raw), width)
+                strings.append({"first": high[begin], "last": low[begin], "id": ids[owner], "print": prints[owner], "pos": begin - offsets[owner] + base})
+                n_strings += len(begin)
+                at, doc, hashes, first, last = (x[~is_hot] for x in (at, doc, hashes, first, last))
+            sums = np.zeros(len(raw) + 1, np.uint64)
+            np.cumsum(rolling.byte_symbols(raw) * rolling.powers(len(raw))[: len(raw)], out=sums[1:])
+            whole = (sums[last + width] - sums[first]) * rolling.powers(len(raw), rolling._INVERSE)[first]  # noqa: SLF001
+            left, right = at - first, last + width - at
+            padded = np.concatenate([np.zeros(before, np.uint8), raw, np.zeros(span, np.uint8)])
+            text = np.lib.stride_tricks.sliding_window_view(padded, span)[at]  # a copy of these rows only
+            place = np.arange(-before, width)
+            text[(place < -left[:, None]) | (place >= right[:, None])] = 0xFF  # no byte of UTF-8
+            held.append(
+                {
+                    "gram": rolling.mix(hashes), "whole": rolling.mix(whole) + left.astype(np.uint64) * np.uint64(256) + right.astype(np.uint64), "id": ids[doc],
+                    "print": prints[doc], "pos": at - offsets[doc] + base, "left": left.astype(np.uint8), "right": right.astype(np.uint8), "text": text,
+                }
+            )
+            n += len(at)
+            if n >= chunk:
+                yield from ranges.deal(held, codecs, _CONTEXTS, bits)
+                n = 0
+            if n_strings >= 16 * chunk:
+                yield from ranges.deal(strings, codecs, _STRINGS, bits)
+                n_strings = 0
+        if n:
+            yield from ranges.deal(held, codecs, _CONTEXTS, bits)
+        if n_strings:
+            yield from ranges.deal(strings, codecs, _STRINGS, bits)
+        held = strings = None
         common.release()
-        return _table(rows)
 
     return run
 
 
-def _by_suffixes(columns, text: np.ndarray, left: np.ndarray, right: np.ndarray, width: int, before: int, bits: int) -> list[tuple[int, bytes, int]]:
-    """Strings of different trimmed contexts that also start earlier, by suffix arrays over blocks."""
-    order = np.argsort(columns["gram"], kind="stable")
-    g = columns["gram"][order]
-    same = g[1:] == g[:-1]
-    order = order[np.append(same, False) | np.append(False, same)] if len(g) else order
-    if not len(order):
-        return []
-    g, sizes = columns["gram"][order], (left + right)[order]
-    hits_id, hits_print, hits_pos = [], [], []
-
-    def note(rows: np.ndarray, starts: np.ndarray) -> None:
-        hits_id.append(columns["id"][rows].astype(np.int64))
-        hits_print.append(columns["print"][rows].astype(np.int64))
-        hits_pos.append(columns["pos"][rows].astype(np.int64) - left[rows] + starts)
-
-    ends = np.cumsum(sizes)
-    new_group = np.flatnonzero(np.append(True, g[1:] != g[:-1]))
-    a = 0
-    while a < len(order):
-        base = ends[a] - sizes[a]
-        b = int(np.searchsorted(ends, base + BLOCK_BYTES, "right"))
-        b = max(b, a + 1)
-        if b < len(order):  # end at an anchor's last context where one lies in the block
-            k = new_group[np.searchsorted(new_group, b, "right") - 1]
-            b = int(k) if k > a else b
-        rows = order[a:b]
-        note(*_late_in_block(columns, text, left, right, rows, width, before))
-        a = b
-    # an anchor over several blocks: their strings meet by hash
-    counts = np.diff(np.append(new_group, len(order)))
-    for k in np.flatnonzero(np.add.reduceat(sizes, new_group) > BLOCK_BYTES).tolist():
-        rows = order[new_group[k] : new_group[k] + counts[k]]
-        note(*_late_by_hash(columns, text, left, right, rows, width, before))
-    return substring._pack_late(np.concatenate(hits_id), np.concatenate(hits_print), np.concatenate(hits_pos), bits)  # noqa: SLF001
-
-
-def _late_in_block(columns, text, left, right, rows: np.ndarray, width: int, before: int) -> tuple[np.ndarray, np.ndarray]:
-    lengths = (left + right)[rows]
-    joined: list[int] = []
-    raw = bytearray()
-    starts = []
-    for k, (row, l, r) in enumerate(zip(rows.tolist(), left[rows].tolist(), right[rows].tolist(), strict=True)):  # noqa: E741
-        piece = text[row, before - l : before + r].tobytes()
-        starts.append(len(raw))
-        raw += piece + b"\xff"
-        joined.extend(piece)
-        joined.append(256 + k)  # a separator of its own
-    joined.append(-1)
-    sa = np.array(suffix_array(joined)[1:], np.int64)
-    starts = np.array(starts)
-    of = np.searchsorted(starts, sa, "right") - 1
-    offset = sa - starts[of]
-    whole = offset + width <= lengths[of]
-    sa, of, offset = sa[whole], of[whole], offset[whole]
-    if len(sa) < 2:
-        return rows[:0], sa[:0]
-    flat = np.frombuffer(bytes(raw), np.uint8)
-    strings = np.lib.stride_tricks.sliding_window_view(flat, width)
-    equal = np.empty(len(sa) - 1, bool)
-    for at in range(0, len(equal), 1 << 16):
-        to = min(len(equal), at + (1 << 16))
-        equal[at:to] = (strings[sa[at:to]] == strings[sa[at + 1 : to + 1]]).all(axis=1)
-    run = np.cumsum(np.append(0, ~equal))
-    late = _not_earliest(run, columns["id"][rows[of]], columns["pos"][rows[of]].astype(np.int64) - left[rows[of]] + offset)
-    return rows[of[late]], offset[late]
-
-
-def _not_earliest(run: np.ndarray, ids: np.ndarray, at: np.ndarray) -> np.ndarray:
-    order = np.lexsort((at, ids, run))
-    first = np.append(True, run[order][1:] != run[order][:-1])
-    lead = order[np.maximum.accumulate(np.where(first, np.arange(len(order)), 0))]
-    out = np.zeros(len(run), bool)
-    out[order] = (ids[order] != ids[lead]) | (at[order] != at[lead])
+def _decide(width: int, gram: int, codecs: dict[int, ranges.Codec]):
+    def decide(kind: int, rows: ranges.Rows) -> ranges.Rows:
+        """The strings of one range that also start earlier."""
+        rows, late = codecs[kind].fold(rows)
+        if kind == _STRINGS:
+            return late
+        found_ = [late]
+        rows = ranges.taken(rows, np.lexsort((rows["pos"], rows["id"], rows["gram"])))
+        first = ranges.edges(rows["gram"])
+        sizes = np.diff(np.append(first, len(rows["gram"])))
+        rows = ranges.taken(rows, np.repeat(sizes > 1, sizes))
+        first = ranges.edges(rows["gram"])
+        a = 0
+        while a < len(rows["gram"]):
+            b = int(first[np.searchsorted(first, a + BLOCK_CONTEXTS, "right") - 1]) if a + BLOCK_CONTEXTS < len(rows["gram"]) else len(rows["gram"])
+            if b <= a:  # one anchor with more contexts
+                after = np.searchsorted(first, a, "right")
+                b = int(first[after]) if after < len(first) else len(rows["gram"])
+            found_.append(late_strings(ranges.taken(rows, np.arange(a, b)), width, gram))
+            a = b
+        return ranges.merged_spans(ranges.joined(found_))
+
+    return decide
+
+
+def _shared(text: np.ndarray, order: np.ndarray) -> np.ndarray:
+    """How many leading bytes each row in the order shares with the one before it."""
+    out = np.zeros(len(order), np.int64)
+    for at in range(1, len(order), 1 << 14):
+        to = min(len(order), at + (1 << 14))
+        differs = text[order[at:to]] != text[order[at - 1 : to - 1]]
+        out[at:to] = np.where(differs.any(axis=1), differs.argmax(axis=1), text.shape[1])
     return out
 
 
-def _late_by_hash(columns, text, left, right, rows: np.ndarray, width: int, before: int) -> tuple[np.ndarray, np.ndarray]:
-    hashes, who, starts = [], [], []
-    for at in range(0, len(rows), 1 << 12):
-        part = rows[at : at + (1 << 12)]
-        flat = text[part]
-        all_ = rolling.window_hashes(rolling.byte_symbols(flat.ravel()), width)
-        begin = np.arange(len(all_))
-        k, column = begin // flat.shape[1], begin % flat.shape[1]
-        inside = (column >= before - left[part[k]]) & (column + width <= before + right[part[k]])
-        hashes.append(all_[inside])
-        who.append(part[k[inside]])
-        starts.append(column[inside] - (before - left[part[k[inside]]]))
-    h, w, s = np.concatenate(hashes), np.concatenate(who), np.concatenate(starts)
-    late = substring.repeated(h, columns["id"][w], columns["pos"][w].astype(np.int64) - left[w] + s)
-    return w[late], s[late]
+def _symbols(text: np.ndarray) -> np.ndarray:
+    """Rows of bytes as rows of big-endian 8-byte numbers, in the order of the bytes."""
+    padded = np.zeros((len(text), -(-text.shape[1] // 8) * 8), np.uint8)
+    padded[:, : text.shape[1]] = text
+    return padded.view(">u8").astype(np.uint64)
+
+
+def late_strings(rows: ranges.Rows, width: int, gram: int) -> ranges.Rows:
+    """Spans of the strings that also start earlier, for contexts in the order (gram, id, pos): by one suffix array."""
+    n, before = len(rows["gram"]), width - gram
+    text = rows["text"]
+    right, left = np.ascontiguousarray(text[:, width:]), np.ascontiguousarray(text[:, :before][:, ::-1])
+    halves = [_symbols(right), _symbols(left)]
+    count = halves[0].shape[1]
+    # one sequence: right symbols, separator, left symbols, separator, for each context, and a sentinel
+    sequence = np.empty((n, 2, count + 1), np.int64)
+    sequence[:, :, :count] = 1 + 2 * n + np.unique(np.stack(halves, axis=1).ravel(), return_inverse=True)[1].reshape(n, 2, count)
+    sequence[:, :, count] = 1 + np.arange(2 * n).reshape(n, 2)
+    order = suffix_array(np.append(sequence.ravel(), 0))
+    starts = order[order % (count + 1) == 0][1:]  # behind the sentinel
+    half, row = (starts // (count + 1)) % 2, starts // (2 * (count + 1))
+    ordered = [row[half == 0], row[half == 1]]
+    shared = [_shared(right, ordered[0]), _shared(left, ordered[1])]
+    # contexts of one group have the same gram, by its bytes
+    group = np.empty(n, np.int64)
+    same = np.append(False, (rows["gram"][1:] == rows["gram"][:-1]) & (text[1:, before:width] == text[:-1, before:width]).all(axis=1))
+    group[:] = np.cumsum(~same)
+    reach_left, reach_right = rows["left"].astype(np.int64), rows["right"].astype(np.int64) - gram
+    late_row, late_left = [], []
+    for l in range(before + 1):  # noqa: E741  strings that begin so many bytes before their anchor
+        r = before - l
+        own = np.flatnonzero((reach_left >= l) & (reach_right >= r))
+        if len(own) < 2:
+            continue
+        key = group[own]
+        for side, depth in ((0, r), (1, l)):
+            class_ = np.empty(n, np.int64)
+            class_[ordered[side]] = np.cumsum(shared[side] < depth) if depth else 0
+            key = key * (n + 1) + class_[own]
+        by_key = np.argsort(key, kind="stable")  # contexts of a class stay in the order (id, pos)
+        own, key = own[by_key], key[by_key]
+        new = np.append(True, key[1:] != key[:-1])
+        lead = own[np.maximum.accumulate(np.where(new, np.arange(len(own)), 0))]
+        late = (rows["id"][own] != rows["id"][lead]) | (rows["pos"][own] != rows["pos"][lead])
+        late_row.append(own[late])
+        late_left.append(np.full(int(late.sum()), l))
+    which = np.concatenate(late_row) if late_row else np.empty(0, np.int64)
+    begin = -np.concatenate(late_left) if late_row else which
+    return ranges.merged_spans(ranges.spans(rows, which, begin, begin + width))
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -473,18 +364,19 @@ def suffix_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     before every other id. Rows that share an id count as one document: equal strings at the same
     place leave each other alone. An empty table gives an empty result.
     """
-    size = common.plan_bytes(df)
-    bits = common.power_of_two(size / RANGE_BYTES if size < 1 << 60 else 64, 1, 1 << 20).bit_length() - 1
+    bits = ranges.range_bits(common.plan_bytes(df))
+    level = min(bits, ranges.LEVEL_BITS)
     docs = df.select(common.id_in(id_col).alias("id"), common.text_in(text_col).alias("text"))
-    docs = docs.withColumn("print", F.xxhash64("text").bitwiseAND(F.lit(0xFFFFFFFF)))
-    docs = docs.select("id", "print", "text")
-    sent = docs.mapInArrow(_send_anchors(width, gram, bits, CHUNK_BYTES), substring._SENT)  # noqa: SLF001
-    again = sent.groupBy("part").applyInArrow(_repeated_anchors(bits, hot), "bucket int, blob binary, size long")
-    places = again.groupBy("bucket").applyInArrow(_positions, "id long, print long, places binary")
-    suspect = docs.join(places.hint("shuffle_hash"), ["id", "print"]).select("id", "print", "text", "places")
-    contexts = suspect.mapInArrow(_send_contexts(width, gram, bits, CHUNK_BYTES), substring._SENT)  # noqa: SLF001
-    late = contexts.groupBy("part").applyInArrow(_resolve(width, gram, bits), "bucket int, blob binary, size long")
-    spans = late.groupBy("bucket").applyInArrow(substring._merge(width), "id long, print long, spans binary")  # noqa: SLF001
-    joined = docs.join(spans.hint("shuffle_hash"), ["id", "print"], "left").select("id", "text", "spans")
-    out = joined.mapInArrow(_cut, "id long, n_bytes long, n_removed long, spans array<struct<begin: int, end: int>>, kept binary")
+    docs = docs.withColumn("print", F.xxhash64("text").bitwiseAND(F.lit(0xFFFFFFFF))).select("id", "print", "text")
+
+    places: dict[int, ranges.Codec] = {0: ranges.Places(), ranges.SPANS: ranges.Spans(level)}
+    sent = ranges.exchanged(docs.mapInArrow(_send_anchors(width, gram, level, CHUNK_ANCHORS), ranges.SENT), places, bits, level, CHUNK_ANCHORS)
+    marks = ranges.resolved(sent, places, _again(hot), bits, CHUNK_ANCHORS)
+    suspect = docs.join(marks.hint("shuffle_hash"), ["id", "print"]).select("id", "print", "text", "spans")
+
+    codecs = _codecs(width, gram, level)
+    contexts = ranges.exchanged(suspect.mapInArrow(_send_contexts(width, gram, level, CHUNK_CONTEXTS), ranges.SENT), codecs, bits, level, CHUNK_CONTEXTS)
+    late = ranges.resolved(contexts, codecs, _decide(width, gram, codecs), bits, CHUNK_CONTEXTS)
+    schema = "id long, n_bytes long, n_removed long, spans array<struct<begin: int, end: int>>, kept binary"
+    out = found.applied(docs, late, _cut, schema, ["id", "print"])
     return out.select(common.id_out(F.col("id")).alias(id_col), "n_bytes", "n_removed", "spans", "kept")

@@ -16,6 +16,8 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 #: Stands for a null id inside the operators: a null id is smaller than every other id.
 NULL_ID = -(2**63)
+#: Tasks that a frequent key is dealt over.
+SALTS = 64
 
 
 def id_in(name: str) -> Column:
@@ -66,6 +68,20 @@ def power_of_two(n: float, least: int, most: int) -> int:
     return min(most, max(least, 1 << max(0, int(np.ceil(np.log2(max(n, 1)))))))
 
 
+def join_counted(rows: DataFrame, counted: DataFrame, key: str, spread: str, total: int) -> DataFrame:
+    """``rows`` join ``counted`` (one row per key, with ``n``, about how many of the ``total`` rows have it).
+
+    A key with a thousandth of the rows or more, and there are a thousand of these at most, is
+    dealt over SALTS tasks by the rows' column ``spread``.
+    """
+    hot = [r[0] for r in counted.filter(F.col("n") * 1000 >= total).select(key).collect()]
+    salt = F.pmod(F.xxhash64(spread), F.lit(SALTS)).cast("int")
+    is_hot = F.col(key).isin(hot) if hot else F.lit(False)
+    left = rows.withColumn("_salt", F.when(is_hot, salt).otherwise(0))
+    right = counted.withColumn("_salt", F.explode(F.when(is_hot, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))))
+    return left.join(right, [key, "_salt"]).drop("_salt")
+
+
 def arrow_type(df: DataFrame, column: str) -> pa.DataType:
     """A column's type as Python workers see it."""
     return to_arrow_type(df.schema[column].dataType)

@@ -4,9 +4,9 @@ Each scan task puts the hashes of its documents' line keys into a filter of once
 a hash that is there already into a filter of twice-seen ones. Tasks send compressed segments;
 merging them, a bit that two tasks' once-seen filters share counts as seen twice, so no key of two
 documents is ever missed. The merged twice-seen filter has a fixed greatest size whatever the
-input, and is broadcast. Only keys that it holds are shuffled, with a 128-bit digest for exact
-confirmation, the number of documents and the document whose lines stay. A full filter costs
-shuffle, never a result.
+input, and is broadcast. Only keys that it holds are shuffled, as 128-bit digests, for exact
+confirmation, the number of documents and the document whose lines stay; frequent ones are salted.
+Of the texts, only those that lose a line are shuffled. A full filter costs shuffle, never a result.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm import common
+from tidemark.llm import common, found
 
 #: Bits of a filter: from the input's bytes, at most 64 MB.
 LEAST_BITS, MOST_BITS = 1 << 20, 1 << 29
@@ -164,13 +164,12 @@ def line_dedup(
         bits[segment * _SEGMENT : (segment + 1) * _SEGMENT] = np.frombuffer(pa.decompress(bytes(blob), decompressed_size=_SEGMENT, codec="zstd", asbytes=True), np.uint8)
     twice = spark.sparkContext.broadcast(bits)
 
-    suspects = docs.select("id", "text").mapInArrow(_suspects(twice, n_bits, least_chars), "key binary, id long")
+    suspects = common.checkpointed(docs.select("id", "text").mapInArrow(_suspects(twice, n_bits, least_chars), "key binary, id long"))
     counted = suspects.groupBy("key").agg(F.count_distinct("id").alias("n"), F.max("id").alias("stays")).filter(F.col("n") >= least_docs)
-    losing = suspects.join(counted.select("key", "stays"), "key").filter(F.col("id") != F.col("stays"))
+    losing = common.join_counted(suspects, counted, "key", "id", suspects.count()).filter(F.col("id") != F.col("stays"))
     gone = losing.groupBy("id").agg(F.collect_set("key").alias("gone"))
-    joined = docs.join(gone.hint("shuffle_hash"), "id", "left").select("id", "carried", "text", "gone")
-    kind = joined.schema["carried"].dataType.simpleString()
-    out = joined.mapInArrow(_drop(least_chars), f"id long, carried {kind}, n_lines long, n_dropped long, kept binary")
+    kind = docs.schema["carried"].dataType.simpleString()
+    out = found.applied(docs, gone, _drop(least_chars), f"id long, carried {kind}, n_lines long, n_dropped long, kept binary", ["id"], "gone")
     return out.select(
         common.id_out(F.col("id")).alias(id_col),
         *[F.col(f"carried.`{c}`").alias(c) for c in carry if c != id_col],

@@ -6,9 +6,12 @@ range-join over these points, for all neighbours within the Manhattan distance,
 of linked fingerprints; the pairs that meet are then verified exactly. Only different fingerprints
 are joined: copies fold into one row first, however many there are.
 
-Each fingerprint looks up the cells within reach that come after its own in one fixed order, so a
-pair meets once. A bitmap of the occupied cells with a fixed greatest size drops look-ups of empty
-cells before the join; where it fills up, more look-ups are shuffled and none is lost.
+Two fingerprints that differ in at most ``reach`` bits agree in all bits of one of reach + 1 blocks of segments. So a
+cell is a block's exact bits and the other segments' counts: a pair meets by the first block that
+it agrees in, and the join grows with the input and not with its square. Each fingerprint looks up the cells within
+reach that come after its own in one fixed order. A bitmap of the occupied cells with a fixed
+greatest size drops look-ups of empty cells before the join; where it fills up, more look-ups are
+shuffled and none is lost.
 """
 
 from __future__ import annotations
@@ -22,11 +25,10 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm import common, rolling
+from tidemark.llm import common, found, rolling
 from tidemark.llm.components import components
 
 SEGMENTS = 16
-_MOST_BITS = 1 << 29
 
 
 def fingerprint(text: bytes, width: int = 3, seed: int = 42) -> int:
@@ -54,8 +56,8 @@ def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in common.slices(batches, "text", 4 << 20):
-            found = np.array([fingerprint(t, width, seed) for t in batch.column("text").to_pylist()], np.uint64)
-            yield pa.record_batch([batch.column("id"), pa.array(found.view(np.int64))], ["id", "bits"])
+            prints = np.array([fingerprint(t, width, seed) for t in batch.column("text").to_pylist()], np.uint64)
+            yield pa.record_batch([batch.column("id"), pa.array(prints.view(np.int64))], ["id", "bits"])
 
     rows = df.select(common.id_in(id_col).alias("id"), common.text_in(text_col).alias("text"))
     return rows.mapInArrow(run, "id long, bits long")
@@ -69,8 +71,18 @@ def _cells(bits: np.ndarray) -> np.ndarray:
     return (x & three) + ((x >> np.uint64(2)) & three)
 
 
-def _offsets(reach: int) -> list[tuple[tuple[int, int], ...]]:
-    """Moves of 1 to ``reach`` in Manhattan distance, one of each opposite pair."""
+def _blocks(reach: int) -> list[range]:
+    """reach + 1 runs of segments."""
+    edges = [SEGMENTS * k // (reach + 1) for k in range(reach + 2)]
+    return [range(a, b) for a, b in zip(edges[:-1], edges[1:], strict=True)]
+
+
+def _mask(block: range) -> int:
+    return sum(15 << (4 * k) for k in block)
+
+
+def _offsets(reach: int, block: range) -> list[tuple[tuple[int, int], ...]]:
+    """Moves of 1 to ``reach`` in Manhattan distance outside the block, one of each opposite pair."""
     level: set[tuple[tuple[int, int], ...]] = {()}
     found: set[tuple[tuple[int, int], ...]] = set()
     for _ in range(reach):
@@ -80,43 +92,26 @@ def _offsets(reach: int) -> list[tuple[tuple[int, int], ...]]:
                 for d in (-1, 1):
                     new = dict(move)
                     new[k] = new.get(k, 0) + d
-                    if abs(new[k]) > abs(dict(move).get(k, 0)):
+                    if k not in block and abs(new[k]) > abs(dict(move).get(k, 0)):
                         grown.add(tuple(sorted(new.items())))
         level = grown
         found |= grown
     return sorted(m for m in found if m[-1][1] > 0)
 
 
-def _place(cells: np.ndarray, mask: int) -> np.ndarray:
-    return rolling.mix(cells) & np.uint64(mask)
+def _keys(bits: np.ndarray, block: range) -> np.ndarray:
+    """The cell: exact bits within the block, four-bit counts elsewhere (offsets can be added to these)."""
+    mask = np.uint64(_mask(block))
+    return (bits.view(np.uint64) & mask) | (_cells(bits) & ~mask)
 
 
-def _occupied(n_bits: int):
-    segment = 1 << 17
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.zeros(n_bits // 8, np.uint8)
-        for batch in batches:
-            at = _place(_cells(batch.column("bits").to_numpy(zero_copy_only=False)), n_bits - 1)
-            np.bitwise_or.at(bits, at >> np.uint64(3), np.uint8(1) << (at & np.uint64(7)).astype(np.uint8))
-        for k in range(0, n_bits // 8, segment):
-            if bits[k : k + segment].any():
-                yield pa.record_batch([pa.array([k // segment], pa.int32()), pa.array([pa.compress(bits[k : k + segment].tobytes(), codec="zstd", asbytes=True)], pa.binary())], ["segment", "blob"])
-
-    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: dict[int, np.ndarray] = {}
-        for batch in batches:
-            for k, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                got = np.frombuffer(pa.decompress(blob, decompressed_size=min(segment, n_bits // 8), codec="zstd", asbytes=True), np.uint8)
-                found[k] = found[k] | got if k in found else got
-        for k, bits in found.items():
-            yield pa.record_batch([pa.array([k], pa.int32()), pa.array([pa.compress(bits.tobytes(), codec="zstd", asbytes=True)], pa.binary())], ["segment", "blob"])
+def _tagged(keys: np.ndarray, block: range) -> np.ndarray:
+    """Keys of different blocks kept apart; where two meet all the same, the exact check parts them."""
+    return rolling.mix(keys) ^ rolling.mix(np.full(1, _mask(block), np.uint64))
 
-    return run, merge
 
-
-def _look_up(bitmap, n_bits: int, reach: int):
-    moves = _offsets(reach)
+def _look_up(bitmap, reach: int):
+    blocks = [(block, _offsets(reach, block)) for block in _blocks(reach)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = bitmap.value
@@ -125,46 +120,51 @@ def _look_up(bitmap, n_bits: int, reach: int):
                 bits = batch.column("bits").slice(at, 1 << 14).to_numpy(zero_copy_only=False)
                 cells = _cells(bits)
                 fields = [((cells >> np.uint64(4 * k)) & np.uint64(15)).astype(np.int8) for k in range(SEGMENTS)]
-                found = [(cells, bits)]
-                for move in moves:
-                    shift = sum(d << (4 * k) for k, d in move) % (1 << 64)
-                    target = cells + np.uint64(shift)
-                    inside = np.ones(len(cells), bool)
-                    for k, d in move:
-                        inside &= (fields[k] + d >= 0) & (fields[k] + d <= 4)
-                    inside = np.flatnonzero(inside)
-                    place = _place(target[inside], n_bits - 1)
-                    hit = inside[((known[place >> np.uint64(3)] >> (place & np.uint64(7)).astype(np.uint8)) & np.uint8(1)).astype(bool)]
-                    if len(hit):
-                        found.append((target[hit], bits[hit]))
-                yield pa.record_batch(
-                    [pa.array(np.concatenate([c for c, _ in found]).view(np.int64)), pa.array(np.concatenate([b for _, b in found]))], ["cell", "a"]
-                )
+                for number, (block, moves) in enumerate(blocks):
+                    keys = _keys(bits, block)
+                    met = [(_tagged(keys, block), bits)]
+                    for move in moves:
+                        inside = np.ones(len(keys), bool)
+                        for k, d in move:
+                            inside &= (fields[k] + d >= 0) & (fields[k] + d <= 4)
+                        inside = np.flatnonzero(inside)
+                        target = _tagged(keys[inside] + np.uint64(sum(d << (4 * k) for k, d in move) % (1 << 64)), block)
+                        hit = found.has(known, found.places(target, len(known)))
+                        if hit.any():
+                            met.append((target[hit], bits[inside[hit]]))
+                    cell, a = (np.concatenate(x) for x in zip(*met, strict=True))
+                    yield pa.record_batch([pa.array(cell.view(np.int64)), pa.array(a), pa.array(np.full(len(a), number, np.int32))], ["cell", "a", "block"])
 
     return run
 
 
-def _own_cell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        bits = batch.column("bits").to_numpy(zero_copy_only=False)
-        yield pa.record_batch([pa.array(_cells(bits).view(np.int64)), pa.array(bits)], ["cell", "b"])
+def _own_cells(reach: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bits = batch.column("bits").to_numpy(zero_copy_only=False)
+            for block in _blocks(reach):
+                yield pa.record_batch([pa.array(_tagged(_keys(bits, block), block).view(np.int64)), pa.array(bits)], ["cell", "b"])
+
+    return run
 
 
 def links(distinct: DataFrame, reach: int = 2) -> DataFrame:
-    """Pairs (u, v) of different fingerprints (column ``bits``, distinct rows) within ``reach`` bits."""
-    spark = distinct.sparkSession
-    n = distinct.count()
-    n_bits = common.power_of_two(32 * n, 1 << 20, _MOST_BITS)
-    build, merge = _occupied(n_bits)
-    merged = distinct.mapInArrow(build, "segment int, blob binary").repartition("segment").mapInArrow(merge, "segment int, blob binary")
-    bits = np.zeros(n_bits // 8, np.uint8)
-    for k, blob in merged.collect():  # at most _MOST_BITS / 8 bytes
-        bits[k << 17 : (k + 1) << 17] = np.frombuffer(pa.decompress(bytes(blob), decompressed_size=min(1 << 17, n_bits // 8), codec="zstd", asbytes=True), np.uint8)
-    bitmap = spark.sparkContext.broadcast(bits)
-    probes = distinct.mapInArrow(_look_up(bitmap, n_bits, reach), "cell long, a long")
-    points = distinct.mapInArrow(_own_cell, "cell long, b long")
-    near = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= reach
-    met = probes.join(points, "cell").filter(near & (F.col("a") != F.col("b")))
+    """Pairs (u, v) of different fingerprints (column ``bits``, distinct rows) within ``reach`` bits.
+
+    A null fingerprint has no links; an empty table has none.
+    """
+    distinct = distinct.filter(F.col("bits").isNotNull())
+    bits = found.bitmap(
+        distinct, (reach + 1) * distinct.count(),
+        lambda batch: [_tagged(_keys(batch.column("bits").to_numpy(zero_copy_only=False), block), block) for block in _blocks(reach)],
+    )
+    bitmap = distinct.sparkSession.sparkContext.broadcast(bits)
+    probes = distinct.mapInArrow(_look_up(bitmap, reach), "cell long, a long, block int")
+    points = distinct.mapInArrow(_own_cells(reach), "cell long, b long")
+    apart = F.col("a").bitwiseXOR(F.col("b"))
+    masks = [_mask(block) - (1 << 64) * (_mask(block) >> 63) for block in _blocks(reach)]
+    first = F.coalesce(*[F.when(apart.bitwiseAND(F.lit(mask)) == 0, F.lit(k)) for k, mask in enumerate(masks)])
+    met = probes.join(points, "cell").filter((F.bit_count(apart) <= reach) & (F.col("a") != F.col("b")) & (F.col("block") == first))
     return met.select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v"))
 
 
@@ -184,12 +184,12 @@ def near_duplicates(
     table gives an empty result.
     """
     docs = common.checkpointed(fingerprints(df, id_col, text_col, width, seed))
-    distinct = docs.groupBy("bits").agg(F.min("id").alias("least"))
+    distinct = docs.groupBy("bits").agg(F.min("id").alias("least"), F.count("*").alias("n"))
     distinct = common.checkpointed(distinct)
-    found = components(links(distinct.select("bits"), reach))
-    classes = distinct.join(found.withColumnRenamed("node", "bits"), "bits", "left").withColumn("component", F.coalesce("component", "bits"))
+    linked = components(links(distinct.select("bits"), reach))
+    classes = distinct.join(linked.withColumnRenamed("node", "bits"), "bits", "left").withColumn("component", F.coalesce("component", "bits"))
     smallest = classes.groupBy("component").agg(F.min("least").alias("component_id"))
-    named = classes.join(smallest, "component").select("bits", "component_id")
-    return docs.join(named, "bits").select(
+    named = classes.join(smallest, "component").select("bits", "component_id", "n")
+    return common.join_counted(docs, common.checkpointed(named), "bits", "id", docs.count()).select(
         common.id_out(F.col("id")).alias(id_col), hex_digits(F.col("bits")).alias("fingerprint"), common.id_out(F.col("component_id")).alias("component_id")
     )

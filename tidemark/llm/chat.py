@@ -7,12 +7,16 @@ position ids of its tokens (a begin; they count on from the parent's), and the i
 ancestors' tokens, which together with its own are all it may attend to. Neighbouring intervals
 are joined, so a chain of turns has one.
 
-Equal conversations fold into one leaf before trees are built. A first turn that very many
-different conversations share is dealt over several trees, of about TREE_CONVERSATIONS each.
+Equal conversations fold into one leaf before trees are built. No task builds a tree of unbounded
+size: where more than ``most`` different conversations begin alike (TREE_CONVERSATIONS, or the square root of
+all of them), the turns that they share become a trunk, a tree of its own, and what follows a trunk's node is dealt by the next turn over branches
+of about ``most`` conversations. A branch names its parent in the trunk and the trunk's tokens
+that it may attend to. So each shared turn is emitted once, however many conversations share it.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -21,7 +25,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Different conversations for each tree of one first turn.
+from tidemark.llm import common
+
+#: Different conversations for each tree, at least.
 TREE_CONVERSATIONS = 256
 
 
@@ -83,11 +89,11 @@ def _turns(template: Template, formatted: str) -> Iterator[str]:
 
 _NODE = "struct<begin: int, end: int, parent: int, position: int, loss_begin: int, loss_end: int, attends: array<struct<begin: int, end: int>>>"
 _LEAF = "struct<conversation: string, node: int>"
-TREE_SCHEMA = f"tree_id string, tokens string, nodes array<{_NODE}>, leaves array<{_LEAF}>"
+TREE_SCHEMA = f"tree_id string, parent string, tokens string, nodes array<{_NODE}>, leaves array<{_LEAF}>"
 
 
-def build_tree(template: Template, conversations: list[tuple[str, list[tuple[str, str]]]], learn: str) -> tuple[str, list[dict], list[dict]]:
-    """Tokens, nodes and leaves of the tree of (digest, turns) conversations, depth first."""
+def build_tree(template: Template, conversations: list[tuple[str, list[tuple[str, str]]]], learn: str, base: int = 0) -> tuple[str, list[dict], list[dict]]:
+    """Tokens, nodes and leaves of the tree of (digest, turns) conversations, depth first; positions count from ``base``."""
     children: list[dict[tuple[str, str], int]] = [{}]
     turn_of: list[tuple[str, str]] = [("", "")]
     ends: list[list[str]] = [[]]
@@ -108,7 +114,7 @@ def build_tree(template: Template, conversations: list[tuple[str, list[tuple[str
         at, parent = stack.pop()
         text, a, b = template.format(*turn_of[at])
         attends: list[dict] = []
-        position = 0
+        position = base
         if parent >= 0:
             up = nodes[parent]
             position = up["position"] + up["end"] - up["begin"]
@@ -148,35 +154,69 @@ def read_back(template: Template, tokens: str, nodes: list[dict], leaf: int, lea
 
 
 def collected(df: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
-    """(conv, turns, digest): each conversation's turns in order; a conversation is one training example."""
+    """(conv, turns, path, digest): each conversation's turns in order; a conversation is one training example.
+
+    ``path`` names each beginning of the conversation, ``digest`` the whole. A null id is a conversation of its
+    own, null roles and texts count as empty, a null turn comes first; repeated rows are turns of
+    their own. An empty table has no conversations.
+    """
     role, text = (F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")) for c in (role_col, text_col))
     turn = F.struct(F.col(f"`{turn_col}`").cast("long").alias("turn"), role.alias("role"), text.alias("text"))
     turns = df.select(F.col(f"`{conv_col}`").cast("long").alias("conv"), turn.alias("x")).groupBy("conv").agg(F.sort_array(F.collect_list("x")).alias("turns"))
     turns = turns.withColumn("turns", F.transform("turns", lambda x: F.struct(x["role"].alias("role"), x["text"].alias("text"))))
-    sized = F.transform("turns", lambda x: F.concat_ws(" ", F.length(x["role"]), F.length(x["text"]), x["role"], x["text"]))
-    return turns.withColumn("digest", F.sha2(F.concat_ws("\n", sized).cast("binary"), 256))
+    sized = F.transform("turns", lambda x: F.sha2(F.concat_ws(" ", F.length(x["role"]), F.length(x["text"]), x["role"], x["text"]).cast("binary"), 256))
+    none = F.array().cast("array<string>")
+    step = lambda done, x: F.concat(done, F.array(F.sha2(F.concat(F.coalesce(F.try_element_at(done, F.lit(-1)), F.lit("")), x).cast("binary"), 256)))
+    return turns.withColumn("path", F.aggregate(sized, none, step)).withColumn("digest", F.element_at("path", -1))
+
 
+def trees(conversations: DataFrame, template: Template = Template(), learn: str = "assistant", least: int = TREE_CONVERSATIONS) -> DataFrame:  # noqa: B008
+    """One row per tree of ``collected`` conversations: tree_id, parent, tokens, nodes, leaves, parent_tree, parent_attends.
 
-def trees(conversations: DataFrame, template: Template = Template(), learn: str = "assistant") -> DataFrame:  # noqa: B008
-    """One row per tree (tree_id, tokens, nodes, leaves) of ``collected`` conversations."""
-    distinct = conversations.groupBy("digest").agg(F.first("turns").alias("turns"))
-    distinct = distinct.withColumn("root", F.sha2(F.to_json(F.get("turns", F.lit(0))), 256))
-    sizes = distinct.groupBy("root").agg(F.count("*").alias("n"))
-    dealt = distinct.join(sizes, "root").withColumn("salt", F.pmod(F.xxhash64("digest"), F.ceil(F.col("n") / TREE_CONVERSATIONS)))
+    ``parent`` is the beginning (of a ``path``) that a branch goes on from, null for other trees;
+    ``parent_tree`` and ``parent_attends`` are its trunk and the tokens there that the branch may
+    attend to. Leaves are named by ``digest``; a trunk has one at each node. An empty table gives no trees.
+    """
+    distinct = common.checkpointed(conversations.groupBy("digest").agg(F.first("turns").alias("turns"), F.first("path").alias("path")))
+    most = max(least, math.isqrt(distinct.count()))
+    first = F.get("path", F.lit(0))
+    roots = distinct.groupBy(first.alias("root")).agg(F.count("*").alias("n")).filter(F.col("n") > most).select("root")
+    # fewer than n / most <= sqrt(n) roots, and so many beginnings of each length: small enough to broadcast
+    crowded = distinct.join(F.broadcast(roots), first == F.col("root"), "left_semi").select("digest", F.posexplode("path").alias("pos", "prefix"))
+    hot = common.checkpointed(crowded.groupBy("prefix").agg(F.count("*").alias("n")).filter(F.col("n") > most))
+    deepest = crowded.join(F.broadcast(hot), "prefix").groupBy("digest").agg(F.max(F.struct("pos", "prefix", "n")).alias("trunk"))
+    dealt = distinct.join(deepest, "digest", "left").withColumn("cut", F.coalesce(F.col("trunk.pos") + 1, F.lit(0)))
+    parts = F.ceil(F.col("trunk.n") / most)
+    branches = dealt.filter(F.size("path") > F.col("cut")).select(
+        F.coalesce("trunk.prefix", first).alias("root"),
+        F.coalesce(F.pmod(F.xxhash64(F.get("path", F.col("cut"))), parts), F.lit(0)).cast("int").alias("salt"),
+        F.col("trunk.prefix").alias("parent"), "cut", "digest", "turns",
+    )
+    shared = dealt.filter("cut > 0").select(first.alias("root"), F.posexplode(F.slice("path", 1, F.col("cut"))).alias("pos", "digest"), "turns")
+    shared = shared.withColumn("turns", F.slice("turns", F.lit(1), F.col("pos") + 1)).groupBy("digest").agg(F.first("root").alias("root"), F.first("turns").alias("turns"))
+    trunks = shared.select("root", F.lit(-1).alias("salt"), F.lit(None).cast("string").alias("parent"), F.lit(0).alias("cut"), "digest", "turns")
 
     def grow(table: pa.Table) -> pa.Table:
+        cut = table.column("cut")[0].as_py()
         rows = [(d, [(x["role"], x["text"]) for x in t]) for d, t in zip(table.column("digest").to_pylist(), table.column("turns").to_pylist(), strict=True)]
-        tokens, nodes, leaves = build_tree(template, rows, learn)
-        name = f"{table.column('root')[0].as_py()}-{table.column('salt')[0].as_py()}"
-        return pa.Table.from_pylist([{"tree_id": name, "tokens": tokens, "nodes": nodes, "leaves": leaves}], _TREE)
+        base = sum(len(template.format(*turn)[0]) for turn in rows[0][1][:cut])
+        tokens, nodes, leaves = build_tree(template, [(d, t[cut:]) for d, t in rows], learn, base)
+        name, parent = f"{table.column('root')[0].as_py()}{table.column('salt')[0].as_py():+d}", table.column("parent")[0].as_py()
+        return pa.Table.from_pylist([{"tree_id": name, "parent": parent, "tokens": tokens, "nodes": nodes, "leaves": leaves}], _TREE)
 
-    return dealt.select("root", "salt", "digest", "turns").groupBy("root", "salt").applyInArrow(grow, TREE_SCHEMA)
+    grown = common.checkpointed(branches.unionByName(trunks).groupBy("root", "salt").applyInArrow(grow, TREE_SCHEMA))
+    node = F.get("nodes", F.col("leaf.node"))
+    own = F.struct(node["begin"].alias("begin"), node["end"].alias("end"))
+    trunk_nodes = grown.filter(F.col("tree_id").endswith("-1")).select("tree_id", "nodes", F.explode("leaves").alias("leaf"))
+    trunk_nodes = trunk_nodes.select(F.col("leaf.conversation").alias("parent"), F.col("tree_id").alias("parent_tree"), F.concat(node["attends"], F.array(own)).alias("parent_attends"))
+    return grown.join(trunk_nodes, "parent", "left")
 
 
 _SPAN = pa.struct([("begin", pa.int32()), ("end", pa.int32())])
 _TREE = pa.schema(
     [
         ("tree_id", pa.string()),
+        ("parent", pa.string()),
         ("tokens", pa.string()),
         ("nodes", pa.list_(pa.struct([(c, pa.int32()) for c in ("begin", "end", "parent", "position", "loss_begin", "loss_end")] + [("attends", pa.list_(_SPAN))]))),
         ("leaves", pa.list_(pa.struct([("conversation", pa.string()), ("node", pa.int32())]))),
@@ -185,23 +225,34 @@ _TREE = pa.schema(
 
 
 def contents(trees_: DataFrame, template: Template = Template(), learn: str = "assistant") -> DataFrame:  # noqa: B008
-    """(digest, n_turns, turns_text, loss_text, formatted_chars) of every leaf, read back from the trees."""
+    """(digest, n_turns, turns_text, loss_text, formatted_chars) of every leaf, read back from the trees, a trunk's leaves included.
+
+    No trees give no rows.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(batch.num_rows):
-                tokens, nodes, leaves = (batch.column(c)[k].as_py() for c in ("tokens", "nodes", "leaves"))
+                parent, tokens, nodes, leaves = (batch.column(c)[k].as_py() for c in ("parent", "tokens", "nodes", "leaves"))
                 rows = []
                 for leaf in leaves:
                     turns, learnt, length = read_back(template, tokens, nodes, leaf["node"], learn)
                     said = "".join(f"{role}\n{text}\n" for role, text in turns)
-                    rows.append({"digest": leaf["conversation"], "n_turns": len(turns), "turns_text": said, "loss_text": "".join(learnt), "formatted_chars": length})
+                    rows.append({"digest": leaf["conversation"], "parent": parent, "n_turns": len(turns), "turns_text": said, "loss_text": "".join(learnt), "formatted_chars": length})
                 yield pa.RecordBatch.from_pylist(rows, _CONTENT)
 
-    return trees_.select("tokens", "nodes", "leaves").mapInArrow(run, "digest string, n_turns long, turns_text string, loss_text string, formatted_chars long")
+    own = trees_.select("parent", "tokens", "nodes", "leaves").mapInArrow(run, "digest string, parent string, n_turns long, turns_text string, loss_text string, formatted_chars long")
+    trunk = trees_.filter(F.col("tree_id").endswith("-1")).select("parent", "tokens", "nodes", "leaves").mapInArrow(run, own.schema)
+    before = trunk.select(F.col("digest").alias("parent"), *[F.col(c).alias(f"_{c}") for c in _READ])
+    joined = own.join(before, "parent", "left")
+    whole = [F.coalesce(f"_{c}", F.lit(0)) + F.col(c) if c in ("n_turns", "formatted_chars") else F.concat(F.coalesce(f"_{c}", F.lit("")), c) for c in _READ]
+    return joined.select("digest", *[x.alias(c) for x, c in zip(whole, _READ, strict=True)])
 
 
-_CONTENT = pa.schema([("digest", pa.string()), ("n_turns", pa.int64()), ("turns_text", pa.string()), ("loss_text", pa.string()), ("formatted_chars", pa.int64())])
+_READ = ("n_turns", "turns_text", "loss_text", "formatted_chars")
+_CONTENT = pa.schema(
+    [("digest", pa.string()), ("parent", pa.string()), ("n_turns", pa.int64()), ("turns_text", pa.string()), ("loss_text", pa.string()), ("formatted_chars", pa.int64())]
+)
 
 
 def formatted(
@@ -212,6 +263,7 @@ def formatted(
     text_col: str = "text",
     template: Template = Template(),  # noqa: B008
     learn: str = "assistant",
+    least: int = TREE_CONVERSATIONS,
 ) -> tuple[DataFrame, DataFrame]:
     """The trees, and (conv, digest) saying which leaf is each conversation's.
 
@@ -220,4 +272,4 @@ def formatted(
     own. Extra columns are ignored; an empty table gives no trees.
     """
     all_ = collected(df, conv_col, turn_col, role_col, text_col)
-    return trees(all_, template, learn), all_.select("conv", "digest")
+    return trees(all_, template, learn, least), all_.select("conv", "digest")

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark import session
-from tidemark.llm import bpe, chat, linededup, packing, quality, simhash, substring, suffix, tokens, topk
+from tidemark.llm import bpe, chat, common, linededup, packing, quality, simhash, substring, suffix, tokens, topk
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 BYTE_RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -67,7 +67,9 @@ def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.col("loss_text").cast("binary"), 256).alias("loss_sha256"),
         "formatted_chars",
     )
-    return leaf_of.withColumnRenamed("conv", "conv_id").join(digests, "digest").drop("digest")
+    leaf_of = common.checkpointed(leaf_of.withColumnRenamed("conv", "conv_id"))
+    counted = digests.join(leaf_of.groupBy("digest").agg(F.count("*").alias("n")), "digest")
+    return common.join_counted(leaf_of, common.checkpointed(counted), "digest", "conv_id", leaf_of.count()).drop("digest", "n")
 
 
 def op7_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:

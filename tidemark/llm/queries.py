@@ -44,10 +44,19 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     ledger = quality.apply_policy(quality.measure(_documents(spark, sf_dir)), quality.STANDARD)
     return quality.apply_policy(ledger, quality.BASE, "_base").select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", (~F.col("_base")).alias("base_failed"), "kept"
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", (~F.col("_base")).alias("base_failed"), "kept", "failures"
     )
 
 
+def quality_ablations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every policy's rules from one stored ledger: what each rejects, and what it alone rejects."""
+    ledger = common.stored(quality.measure(_documents(spark, sf_dir)).select("doc_id", "failures"))
+    first, *others = (quality.ablations(ledger, p) for p in (quality.BASE, quality.STANDARD_1, quality.STANDARD, quality.STRICT))
+    for other in others:
+        first = first.union(other)
+    return first
+
+
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = substring.substring_dedup(_documents(spark, sf_dir))
     return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
@@ -98,6 +107,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op6_packing,
         op7_exact_top_k,
         op8_quality_rules,
+        quality_ablations,
         op9_line_dedup,
         op10_simhash_near_dedup,
     )
@@ -108,6 +118,27 @@ _DOCS = "d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents)"
 _WORDS = f"w AS (SELECT doc_id, t, list_filter(string_split_regex(t, '{_SPACE}+'), lambda x: x <> '') AS w FROM d)"
 _CONTROL = r"<\\*/s>|<\\*s>|\[\\*INST:|\[\\*INST\]|\[\\*/INST\]|<\\*\||<\\*<SYS>>|<\\*</SYS>>"
 
+#: Every rule of the ledger as SQL has it, in the order of its bits.
+_FAILS = (
+    "n_words < 50", "100 * n_repeat_words > 50 * n_words", "10 * n_symbols > 2 * n_words", "100 * n_dup_lines > 50 * n_lines", "word_chars < 2 * n_words OR word_chars > 20 * n_words",
+    "n_words > 100000", "len(list_filter(w, lambda x: length(x) > 1000)) > 0", "100 * len(list_filter(w, lambda x: regexp_matches(x, '\\p{L}'))) < 80 * n_words",
+    "100 * len(list_filter(w, lambda x: x = upper(x) AND x <> lower(x))) > 40 * n_words", "100 * len(list_distinct(w)) < 10 * n_words",
+    "len(list_intersect(w, ['the', 'be', 'to', 'of', 'and', 'that', 'have', 'with'])) < 2",
+    f"100 * len(list_filter(l, lambda x: regexp_matches(x, '^{_SPACE}*[-*\u2022\u00b7]'))) > 90 * n_lines", f"100 * len(list_filter(l, lambda x: regexp_matches(x, '(\\.\\.\\.|\u2026){_SPACE}*$'))) > 30 * n_lines",
+    f"100 * len(list_filter(l, lambda x: regexp_matches(x, '[.!?\u3002\"'')\u00bb\u201d]{_SPACE}*$'))) < 12 * n_lines", "10 * (length(t) - length(translate(t, '{}', ''))) > n_words",
+    "100 * (length(t) - length(replace(t, '\ufffd', ''))) > word_chars", "contains(lower(t), 'lorem ipsum')",
+)
+_LEDGER = f"""{_DOCS}, {_WORDS},
+ m AS (SELECT doc_id, t, w, len(w)::BIGINT AS n_words, length(regexp_replace(t, '{_SPACE}', '', 'g')) AS word_chars, length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS n_symbols,
+ list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS l FROM w),
+ g AS (SELECT doc_id, i, w[i] AS a, w[i + 1] AS b, w[i + 2] AS c FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM w)),
+ k AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, a, b, c) AS n FROM g),
+ r AS (SELECT doc_id, sum(x)::BIGINT AS n FROM (SELECT doc_id, least(3, coalesce(lead(i) OVER (PARTITION BY doc_id ORDER BY i) - i, 3)) AS x FROM k WHERE n > 1) GROUP BY 1),
+ n AS (SELECT m.*, len(l)::BIGINT AS n_lines, (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines, coalesce(r.n, 0) AS n_repeat_words FROM m LEFT JOIN r ON r.doc_id = m.doc_id),
+ f AS (SELECT *, ({" + ".join(f"CASE WHEN {x} THEN {1 << k} ELSE 0 END" for k, x in enumerate(_FAILS))})::BIGINT AS failures FROM n)"""
+_POLICIES = ", ".join(f"('{p.name}', {p.version}, {p.mask})" for p in (quality.BASE, quality.STANDARD_1, quality.STANDARD, quality.STRICT))
+_RULES = ", ".join(f"('{r.name}', {1 << k})" for k, r in enumerate(quality.RULES))
+
 #: In DuckDB's SQL. Tokenizers, XXH64 and windows over bytes are beyond SQL (or too slow in it).
 ORACLE_SQL: dict[str, str] = {
     "op3_substring_dedup": f"""WITH {_DOCS}, {_WORDS},
@@ -125,15 +156,10 @@ ORACLE_SQL: dict[str, str] = {
  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
  s AS (SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.e, c.e)::BIGINT AS score FROM v q JOIN v c ON c.vec_id <> q.vec_id AND len(c.e) = len(q.e) WHERE q.vec_id % 50 = 0),
  r AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score FROM s) SELECT * FROM r WHERE rank <= 5""",
-    "op8_quality_rules": f"""WITH {_DOCS}, {_WORDS},
- m AS (SELECT doc_id, len(w)::BIGINT AS n_words, length(regexp_replace(t, '{_SPACE}', '', 'g')) AS word_chars, length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS n_symbols,
- list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS l FROM w),
- g AS (SELECT doc_id, i, w[i] AS a, w[i + 1] AS b, w[i + 2] AS c FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM w)),
- k AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, a, b, c) AS n FROM g),
- r AS (SELECT doc_id, sum(x)::BIGINT AS n FROM (SELECT doc_id, least(3, coalesce(lead(i) OVER (PARTITION BY doc_id ORDER BY i) - i, 3)) AS x FROM k WHERE n > 1) GROUP BY 1),
- f AS (SELECT m.doc_id, n_words, word_chars, n_symbols, len(l)::BIGINT AS n_lines, (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines, coalesce(r.n, 0) AS n_repeat_words FROM m LEFT JOIN r ON r.doc_id = m.doc_id)
- SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
- NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words OR 10 * n_symbols > 2 * n_words OR 100 * n_dup_lines > 50 * n_lines OR word_chars < 2 * n_words OR word_chars > 20 * n_words) AS kept FROM f""",
+    "op8_quality_rules": f"""WITH {_LEDGER}
+ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (failures & {quality.BASE.mask}) <> 0 AS base_failed, (failures & {quality.STANDARD.mask}) = 0 AS kept, failures FROM f""",
+    "quality_ablations": f"""WITH {_LEDGER}, policies(policy, version, mask) AS (VALUES {_POLICIES}), rules(rule, bit) AS (VALUES {_RULES})
+ SELECT policy, version, rule, count(*) FILTER (failures & bit <> 0) AS failed, count(*) FILTER (failures & mask = bit) AS only_this FROM policies JOIN rules ON mask & bit <> 0 LEFT JOIN f ON true GROUP BY ALL""",
     "op9_line_dedup": f"""WITH {_DOCS}, l AS (SELECT doc_id, unnest(x) AS line, unnest(range(len(x))) AS j FROM (SELECT doc_id, string_split(t, chr(10)) AS x FROM d)),
  k AS (SELECT *, translate(regexp_replace(line, '^{_SPACE}+|{_SPACE}+$', '', 'g'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM l),
  h AS (SELECT key, max(doc_id) AS stays FROM k WHERE length(key) >= 20 GROUP BY 1 HAVING count(DISTINCT doc_id) >= 3),

@@ -50,6 +50,11 @@ def range_bits(size: int) -> int:
     return common.power_of_two(size / RANGE_BYTES if size < 1 << 60 else 64, 1, 1 << MOST_BITS).bit_length() - 1
 
 
+def extra_bytes(size: int, bits: int) -> int:
+    """Hash bytes to send besides 64 bits, so that 2^-20 false pairs at most are expected among ``size`` different rows."""
+    return max(0, min(5, -(-(2 * max(1, size).bit_length() + 19 - 64 - min(bits, LEVEL_BITS)) // 8)))
+
+
 def joined(held: list[Rows]) -> Rows:
     return {name: np.concatenate([rows[name] for rows in held]) for name in held[0]}
 
@@ -254,10 +259,11 @@ class Places:
     """Rows with a 122-bit hash (``first``, ``last``) and a place (``id``, ``print``, ``pos``).
 
     With a ``width``, a chunk folds equal hashes into the earliest place, and the others' ``width`` symbols go.
+    64 hash bits behind those that number the range are sent, and ``extra`` bytes more.
     """
 
-    def __init__(self, width: int = 0) -> None:
-        self.width = width
+    def __init__(self, width: int = 0, extra: int = 0) -> None:
+        self.width, self.extra = width, extra
 
     def key(self, rows: Rows) -> np.ndarray:
         return rows["first"]
@@ -270,7 +276,7 @@ class Places:
         return taken(rows, ~late), spans(rows, late, 0, self.width)
 
     def pack(self, rows: Rows, bits: int) -> bytes:
-        """In the order (id, print, pos): 96 hash bits behind those that number the range, and the places."""
+        """Rows in the order (id, print, pos)."""
         first, last, ids, prints, pos = (rows[c] for c in ("first", "last", "id", "print", "pos"))
         edge, head = _pack_ids(ids, prints)
         step = np.diff(pos, prepend=0)
@@ -283,7 +289,7 @@ class Places:
                 *head,
                 step.astype("<u4" if wide else "<u2").tobytes(),
                 (first << bit | last >> np.uint64(64 - bits) if bits else first).astype("<u8").tobytes(),
-                ((last << bit) >> np.uint64(32)).astype("<u4").tobytes(),
+                np.ascontiguousarray((last << bit).astype(">u8").view(np.uint8).reshape(-1, 8)[:, : self.extra].T).tobytes(),
             ]
         )
 
@@ -293,7 +299,9 @@ class Places:
         at = 12 + 16 * docs
         step = np.frombuffer(raw, "<u4" if wide else "<u2", n, at).astype(np.int64)
         at += n * (4 if wide else 2)
-        high, low = np.frombuffer(raw, "<u8", n, at), np.frombuffer(raw, "<u4", n, at + 8 * n).astype(np.uint64) << np.uint64(32)
+        high, tail = np.frombuffer(raw, "<u8", n, at), np.zeros((n, 8), np.uint8)
+        tail[:, : self.extra] = np.frombuffer(raw, np.uint8, n * self.extra, at + 8 * n).reshape(self.extra, n).T
+        low = tail.view(">u8").ravel().astype(np.uint64)
         bit, rest = np.uint64(bits), np.uint64(64 - bits)
         sums, edge = np.cumsum(step), np.cumsum(counts) - counts
         return {

@@ -6,9 +6,8 @@ the documents share is sent once a task) and sends the rest, dealt by hash range
 blocks (``ranges``). Each range then finds the windows that also start earlier, and these go back to
 their documents, where overlapping windows merge into maximal removal intervals.
 
-A window's hash has 122 bits: two polynomials modulo 2^61 - 1 over 128-bit word symbols. A range's
-number gives the first of them and 96 more are sent, so n^2 / 2^(97 + bits of the first exchange)
-false pairs are expected among n windows: about 1e-6 for the 1.5e13 windows of 100 TB.
+A window's hash has 122 bits: two polynomials modulo 2^61 - 1 over 128-bit word symbols. So many of
+them are sent, by the size of the input, that less than 1e-6 false pairs are expected.
 """
 
 from __future__ import annotations
@@ -40,12 +39,11 @@ def word_pieces(text: bytes, most: int = 1 << 20) -> Iterator[list[bytes]]:
     yield (text[at:] if at else text).split()
 
 
-def _codecs(width: int, level: int) -> dict[int, ranges.Codec]:
-    return {0: ranges.Places(width), ranges.SPANS: ranges.Spans(level)}
+def _codecs(width: int, level: int, extra: int) -> dict[int, ranges.Codec]:
+    return {0: ranges.Places(width, extra), ranges.SPANS: ranges.Spans(level)}
 
 
-def _send(width: int, bits: int, chunk: int):
-    codecs = _codecs(width, bits)
+def _send(width: int, bits: int, chunk: int, codecs: dict[int, ranges.Codec]):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[ranges.Rows] = []
@@ -69,11 +67,11 @@ def _send(width: int, bits: int, chunk: int):
     return run
 
 
-def late_spans(docs: DataFrame, width: int, bits: int, level_bits: int = ranges.LEVEL_BITS, chunk: int = CHUNK_WINDOWS) -> DataFrame:
+def late_spans(docs: DataFrame, width: int, bits: int, level_bits: int = ranges.LEVEL_BITS, chunk: int = CHUNK_WINDOWS, extra: int = 5) -> DataFrame:
     """(id, print, spans) by document: maximal intervals of the late windows of ``docs`` (id, print, text)."""
     level = min(bits, level_bits)
-    codecs = _codecs(width, level)
-    dealt = ranges.exchanged(docs.mapInArrow(_send(width, level, chunk), ranges.SENT), codecs, bits, level, chunk)
+    codecs = _codecs(width, level, extra)
+    dealt = ranges.exchanged(docs.mapInArrow(_send(width, level, chunk, codecs), ranges.SENT), codecs, bits, level, chunk)
     return ranges.resolved(dealt, codecs, lambda _, rows: codecs[0].fold(rows)[1], bits, chunk)
 
 
@@ -133,7 +131,9 @@ def substring_dedup(
     carried = F.struct(F.lit(0).alias("_"), *[F.col(f"`{c}`") for c in carry])
     docs = df.select(common.id_in(id_col).alias("id"), common.text_in(text_col).alias("text"), carried.alias("carried"))
     docs = docs.withColumn("print", F.xxhash64("text").bitwiseAND(F.lit(0xFFFFFFFF)))
-    late = late_spans(docs.select("id", "print", "text"), width, ranges.range_bits(common.plan_bytes(df)))
+    size = common.plan_bytes(df)
+    bits = ranges.range_bits(size)
+    late = late_spans(docs.select("id", "print", "text"), width, bits, extra=ranges.extra_bytes(size, bits))
     kind = docs.schema["carried"].dataType.simpleString()
     schema = f"id long, carried {kind}, n_words long, n_removed long, spans array<struct<begin: int, end: int>>, kept binary"
     out = found.applied(docs, late, _remove(width, layout), schema, ["id", "print"])

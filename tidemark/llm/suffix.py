@@ -182,13 +182,12 @@ class Contexts:
         return {**rows, "text": np.frombuffer(raw, np.uint8, n * self.span, at).reshape(n, self.span)}
 
 
-def _codecs(width: int, gram: int, level: int) -> dict[int, ranges.Codec]:
-    return {_CONTEXTS: Contexts(2 * width - gram), _STRINGS: ranges.Places(width), ranges.SPANS: ranges.Spans(level)}
+def _codecs(width: int, gram: int, level: int, extra: int) -> dict[int, ranges.Codec]:
+    return {_CONTEXTS: Contexts(2 * width - gram), _STRINGS: ranges.Places(width, extra), ranges.SPANS: ranges.Spans(level)}
 
 
-def _send_contexts(width: int, gram: int, bits: int, chunk: int):
+def _send_contexts(width: int, gram: int, bits: int, chunk: int, codecs: dict[int, ranges.Codec]):
     before, span = width - gram, 2 * width - gram
-    codecs = _codecs(width, gram, bits)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[ranges.Rows] = []
@@ -364,7 +363,8 @@ def suffix_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     before every other id. Rows that share an id count as one document: equal strings at the same
     place leave each other alone. An empty table gives an empty result.
     """
-    bits = ranges.range_bits(common.plan_bytes(df))
+    size = common.plan_bytes(df)
+    bits = ranges.range_bits(size)
     level = min(bits, ranges.LEVEL_BITS)
     docs = df.select(common.id_in(id_col).alias("id"), common.text_in(text_col).alias("text"))
     docs = docs.withColumn("print", F.xxhash64("text").bitwiseAND(F.lit(0xFFFFFFFF))).select("id", "print", "text")
@@ -374,8 +374,8 @@ def suffix_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     marks = ranges.resolved(sent, places, _again(hot), bits, CHUNK_ANCHORS)
     suspect = docs.join(marks.hint("shuffle_hash"), ["id", "print"]).select("id", "print", "text", "spans")
 
-    codecs = _codecs(width, gram, level)
-    contexts = ranges.exchanged(suspect.mapInArrow(_send_contexts(width, gram, level, CHUNK_CONTEXTS), ranges.SENT), codecs, bits, level, CHUNK_CONTEXTS)
+    codecs = _codecs(width, gram, level, ranges.extra_bytes(size, bits))
+    contexts = ranges.exchanged(suspect.mapInArrow(_send_contexts(width, gram, level, CHUNK_CONTEXTS, codecs), ranges.SENT), codecs, bits, level, CHUNK_CONTEXTS)
     late = ranges.resolved(contexts, codecs, _decide(width, gram, codecs), bits, CHUNK_CONTEXTS)
     schema = "id long, n_bytes long, n_removed long, spans array<struct<begin: int, end: int>>, kept binary"
     out = found.applied(docs, late, _cut, schema, ["id", "print"])

@@ -166,7 +166,7 @@ def test_suffix_over_several_blocks(spark, monkeypatch):
     got = {}
     for block in (2, 7, 1 << 14):
         monkeypatch.setattr(suffix, "BLOCK_CONTEXTS", block)
-        codecs = suffix._codecs(100, 36, 0)
+        codecs = suffix._codecs(100, 36, 0, 0)
         found = suffix._decide(100, 36, codecs)(0, _contexts(many))
         got[block] = {(d, x) for d, a, b in zip(*(found[c].tolist() for c in ("id", "pos", "end")), strict=True) for x in range(a, b)}
     assert got[2] == got[7] == got[1 << 14] and got[2]
@@ -218,10 +218,14 @@ def test_quality(frame, docs):
     got = quality.measure(frame, carry=("text", "kept"))
     assert rows(got, "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words") == {(d, *brute.measures(t)) for d, t in docs.items()}
     assert {r.doc_id: r.text for r in got.collect()} == docs
-    ablated = {r.rule: (r.failed, r.only_this) for r in quality.ablations(got, quality.STANDARD).collect()}
     bits = [r.failures for r in got.collect()]
-    for k, rule in enumerate(quality.RULES):
-        assert ablated[rule.name] == (sum(b >> k & 1 for b in bits), sum(b == 1 << k for b in bits))
+    for policy in (quality.BASE, quality.STANDARD_1, quality.STANDARD, quality.STRICT):
+        ablated = {r.rule: (r.failed, r.only_this) for r in quality.ablations(got, policy).collect()}
+        assert set(ablated) == set(policy.rules)
+        for k, rule in enumerate(quality.RULES):
+            if rule.name in ablated:
+                assert ablated[rule.name] == (sum(b >> k & 1 for b in bits), sum(b & policy.mask == 1 << k for b in bits))
+    assert quality.STRICT.mask == (1 << len(quality.RULES)) - 1
 
 
 def test_packing(frame, docs):
@@ -302,7 +306,13 @@ def test_chat(spark):
     data = [(c, k, r, said[(c + k) % len(said)], "d") for c in range(30) for k, r in enumerate(["system", "user", "assistant", "user", "assistant"][: 1 + c % 5])]
     data += [(100, 0, "user", "hi", "d"), (100, 0, "user", "hi", "d"), (100, None, None, None, "d"), (101, 0, "a]b%</s>\n", "x", "d"), (None, 0, "assistant", "null id", "d")]
     df = spark.createDataFrame(data, CHAT)
-    trees, leaf_of = chat.formatted(df)
+    for least in (256, 1, 3):
+        check_chat(df, data, least)
+    assert chat.formatted(df.limit(0))[0].count() == 0
+
+
+def check_chat(df, data, least):
+    trees, leaf_of = chat.formatted(df, least=least)
     content = chat.contents(trees).withColumn("a", sha("turns_text")).withColumn("b", sha("loss_text")).withColumn("n", F.length("loss_text"))
     got = rows(leaf_of.join(content, "digest"), "conv", "n_turns", "a", "n", "b")
     assert got == brute.conversations([r[:4] for r in data])
@@ -310,13 +320,26 @@ def test_chat(spark):
         assert "".join(t.tokens[n.begin : n.end] for n in t.nodes) == t.tokens  # each shared token once, depth first
         for k, n in enumerate(t.nodes):
             spans = [(x.begin, x.end) for x in n.attends]
-            assert sum(b - a for a, b in spans) == n.position
+            assert sum(b - a for a, b in spans) + sum(x.end - x.begin for x in t.parent_attends or []) == n.position
             assert all(b <= n.begin for _, b in spans) and spans == sorted(spans)
             up = n.parent
             while up >= 0:
                 assert any(a <= t.nodes[up].begin and t.nodes[up].end <= b for a, b in spans)
                 up = t.nodes[up].parent
-    assert chat.formatted(df.limit(0))[0].count() == 0
+
+
+def test_chat_emits_shared_turns_once(spark):
+    data = [(c, k, "user", f"turn {k}" if k < 4 else f"own {c % 700}", "d") for c in range(1024) for k in range(5)]
+    df = spark.createDataFrame(data, CHAT)
+    sizes = {}
+    for least in (10_000, 16):
+        trees, leaf_of = chat.formatted(df, least=least)
+        found = trees.collect()
+        sizes[least] = (len(found) > 1, sum(len(t.tokens) for t in found))
+        content = chat.contents(trees)
+        got = rows(leaf_of.join(content, "digest"), "conv", "n_turns", "turns_text")
+        assert got == {(c, 5, "".join(f"user\nturn {k}\n" for k in range(4)) + f"user\nown {c % 700}\n") for c in range(1024)}
+    assert sizes[10_000][1] == sizes[16][1] and not sizes[10_000][0] and sizes[16][0]
 
 
 @settings(max_examples=300, deadline=None)

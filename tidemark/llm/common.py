@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import ctypes
-import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
 
@@ -14,6 +13,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
+from tidemark import session
+
 #: Stands for a null id inside the operators: a null id is smaller than every other id.
 NULL_ID = -(2**63)
 #: Tasks that a frequent key is dealt over.
@@ -88,18 +89,13 @@ def arrow_type(df: DataFrame, column: str) -> pa.DataType:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that the cluster names for checkpoints; a temporary one only where it names none."""
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        named = context.getConf().get("spark.checkpoint.dir")
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoints"))
-    return context.getCheckpointDir()
+    """The folder that the cluster names for checkpoints (``session.shared_folder``)."""
+    return session.shared_folder(spark)
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
     """Cut the lineage with a reliable checkpoint in the shared folder."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    return session.checkpointed(df)
 
 
 def stored(df: DataFrame) -> DataFrame:
@@ -107,3 +103,13 @@ def stored(df: DataFrame) -> DataFrame:
     path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.parquet(path)
+
+
+def forget(df: DataFrame) -> None:
+    """Delete a table that ``stored`` wrote; nothing may read it any more."""
+    spark = df.sparkSession
+    folder = shared_folder(spark)
+    for path in {name.rsplit("/", 1)[0] for name in df.inputFiles()}:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)  # noqa: SLF001
+        if at.getName().startswith("table-") and at.getParent().toUri().getPath() == spark._jvm.org.apache.hadoop.fs.Path(folder).toUri().getPath():  # noqa: SLF001
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)  # noqa: SLF001

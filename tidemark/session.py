@@ -8,6 +8,8 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tidemark.contracts import ContractError
+
 _HOME = Path(__file__).resolve().parent
 _shipped: set[str] = set()
 BATCH_BYTES = 8 << 20
@@ -45,10 +47,16 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that the cluster names for checkpoints; a temporary one only where it names none."""
+    """The folder that the cluster names for checkpoints.
+
+    A local master may do without: it gets a temporary folder. On a cluster such a folder would be one machine's own, so
+    there a missing setting is an error.
+    """
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         named = context.getConf().get("spark.checkpoint.dir")
+        if not named and context.master != "local" and not context.master.startswith("local["):
+            raise ContractError("spark.checkpoint.dir names no folder that all executors share")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoints"))
     return context.getCheckpointDir()
 

@@ -5,15 +5,15 @@ of each window. Equal strings hold equal anchors at equal places, so only anchor
 need a closer look, and only together with equal ones.
 
 1. Anchors are dealt by hash range; those that occur twice or more go back to their documents.
-2. Each such occurrence sends its context: the strings whose smallest gram it is. Contexts with
-   equal bytes fold into their earliest one, in the scan task already; the later ones are repeats throughout.
-3. All different contexts of an anchor meet. Their bytes left and right of the gram, as big-endian
+2. Each such occurrence sends its context: the strings whose smallest gram it is. Of contexts with
+   equal bytes, a scan task sends the earliest only; the later ones are repeats throughout.
+3. All contexts of an anchor meet. Their bytes left and right of the gram, as big-endian
    8-byte symbols behind separators, get a suffix array by linear grouping (``gsaca``). Neighbours in
    it tell how many bytes two contexts share to either side, and so which strings are equal; all
    but the earliest of these go.
 4. Intervals to remove go back to their documents and merge.
 
-Hashes only route: folds and suffix arrays compare bytes. The one exception are anchors that occur
+Hashes only route: scan tasks and suffix arrays compare bytes. The one exception are anchors that occur
 more than HOT times: so many contexts must not meet in one task, so their strings are dealt one by one, by
 122-bit hashes, and counted like the windows of ``substring``. A long text is worked on in pieces
 of PIECE bytes that overlap by less than a string.
@@ -247,10 +247,9 @@ def _send_contexts(width: int, gram: int, bits: int, chunk: int, codecs: dict[in
 def _decide(width: int, gram: int, codecs: dict[int, ranges.Codec]):
     def decide(kind: int, rows: ranges.Rows) -> ranges.Rows:
         """The strings of one range that also start earlier."""
-        rows, late = codecs[kind].fold(rows)
         if kind == _STRINGS:
-            return late
-        found_ = [late]
+            return codecs[kind].fold(rows)[1]
+        late = [ranges.spans(rows, np.empty(0, np.int64), 0, 0)]
         rows = ranges.taken(rows, np.lexsort((rows["pos"], rows["id"], rows["gram"])))
         first = ranges.edges(rows["gram"])
         sizes = np.diff(np.append(first, len(rows["gram"])))
@@ -262,9 +261,9 @@ def _decide(width: int, gram: int, codecs: dict[int, ranges.Codec]):
             if b <= a:  # one anchor with more contexts
                 after = np.searchsorted(first, a, "right")
                 b = int(first[after]) if after < len(first) else len(rows["gram"])
-            found_.append(late_strings(ranges.taken(rows, np.arange(a, b)), width, gram))
+            late.append(late_strings(ranges.taken(rows, np.arange(a, b)), width, gram))
             a = b
-        return ranges.merged_spans(ranges.joined(found_))
+        return ranges.merged_spans(ranges.joined(late))
 
     return decide
 

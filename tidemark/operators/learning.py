@@ -93,7 +93,7 @@ def check_split(parts: DataFrame, least: int = 10) -> DataFrame:
 def majority(parts: DataFrame) -> DataFrame:
     """(symbol, majority_label): the commonest training label, ties to the smaller one."""
     counts = parts.filter("partition = 'train'").groupBy("symbol", "target_h1_direction").agg(F.count("*").alias("n"))
-    best = F.max(F.struct("n", (-F.ascii("target_h1_direction")).alias("order"), "target_h1_direction"))
+    best = F.min(F.struct((-F.col("n")).alias("order"), "target_h1_direction"))
     return counts.groupBy("symbol").agg(best["target_h1_direction"].alias("majority_label"))
 
 

@@ -276,7 +276,7 @@ def _rounded(columns: str, places: int = 8) -> str:
 _pairs = list(combinations(CANDIDATES, 2))
 _corr = " UNION ALL ".join(f"SELECT '{a}' AS \"left\", '{b}' AS \"right\", round(abs(corr({a}, {b})), 8) AS r FROM feats" for a, b in _pairs)
 _diag = " UNION ALL ".join(
-    f"SELECT '{c}' AS feature, count(*) - count({c}) AS missing, 0::BIGINT AS non_finite, min(CASE WHEN {c} IS NOT NULL THEN ts END) AS first_valid, count(DISTINCT round({c}, 4)) AS distinct_values FROM feats"
+    f"SELECT '{c}' AS feature, count(*) - count({c}) AS missing, 0::BIGINT AS non_finite, min(CASE WHEN {c} IS NOT NULL THEN ts END) AS first_valid, count(DISTINCT round({c}, 6)) AS distinct_values FROM feats"
     for c in CANDIDATES
 )
 

@@ -90,7 +90,7 @@ def features_15(rows: DataFrame) -> DataFrame:
 @query
 def feature_diagnostics(rows: DataFrame) -> DataFrame:
     found = features.build(_bars(rows))
-    return features.diagnostics(found.select("symbol", "timestamp", *[F.round(c, 4).alias(c) for c in features.CANDIDATES]))
+    return features.diagnostics(found.select("symbol", "timestamp", *[F.round(c, 6).alias(c) for c in features.CANDIDATES]))
 
 
 @query

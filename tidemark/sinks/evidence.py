@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import json
 import platform
+import uuid
 from datetime import datetime
 
 import pyspark
@@ -21,10 +22,13 @@ def _path(spark: SparkSession, path: str):
 
 
 class RunFolder:
-    """A folder that is written under a staging name and renamed when it is complete."""
+    """A folder that is written under a staging name of its own and renamed when it is complete.
+
+    A run that dies leaves its staging folder, which no other run uses.
+    """
 
     def __init__(self, spark: SparkSession, path: str) -> None:
-        self.spark, self.path, self.staging = spark, path.rstrip("/"), f"{path.rstrip('/')}.staging"
+        self.spark, self.path, self.staging = spark, path.rstrip("/"), f"{path.rstrip('/')}.staging-{uuid.uuid4().hex}"
         at, fs = _path(spark, self.path)
         if fs.exists(at) and len(fs.listStatus(at)):
             raise ContractError(f"{path} exists and is not empty")

@@ -7,7 +7,7 @@ out are verified on whole sets. No pair is lost, whatever the order. Frequent sh
 last, so that few sets meet by them. Shingles and sets are known by 64-bit hashes.
 
 Equal sets fold first. Then the sets of one shingle are verified against one of them only, which
-joins a large group of near copies in linear work (the set of the least mixed key, so that a group has mostly the same one at every shingle). Then each is verified against the next two in an order of the shingle's
+joins a large group of near copies in linear work (the set of the least mixed key, so that a group has mostly the same one at every shingle). Each is also verified against the next two in an order of the shingle's
 own: near copies that few of a group resemble still join it, again in linear work. All other pairs of a
 shingle follow only where the two are not yet in one component, so one of each is outside the shingle's largest, and where the odd counts of their sketches leave it possible. Before whole sets move, the pair's sketches are compared: the
 difference of these (shingles by 256 values of their hash) never exceeds that of the sets.
@@ -15,7 +15,7 @@ difference of these (shingles by 256 values of their hash) never exceeds that of
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm import common, rolling
+from tidemark.llm import common, found, rolling
 from tidemark.llm.components import components
 
 #: Shingles that a scan task holds before it sends blocks or counts.
@@ -36,6 +36,10 @@ MOST_FREQUENT, FREQUENT = 1 << 18, 8
 CHAIN = 2
 
 
+#: Fingerprints of the sets of shingle hashes, given where each set begins: a row of 64-bit numbers for each.
+Prints = Callable[[np.ndarray, np.ndarray], np.ndarray]
+
+
 def shingles(texts: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
     """(row, hash) of every different shingle, sorted. A shorter text is one shingle, an empty one too."""
     raw, offsets = rolling.flat(texts)
@@ -67,22 +71,32 @@ def _sets(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[tuple[pa.Re
         yield batch, hashed, at, np.array(keys, np.uint64).view(np.int64)
 
 
-def _keys(width: int):
+def _keys(width: int, prints: Prints | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, hashed, at, keys in _sets(batches, width):
+            own = prints(hashed, at) if prints else np.zeros((batch.num_rows, 0), np.uint64)
             cell = 256 * np.repeat(np.arange(batch.num_rows), np.diff(at)) + (hashed >> np.uint64(56)).astype(np.int64)
             counts = np.bincount(cell, minlength=256 * batch.num_rows)
             sketches = np.minimum(counts, 255).astype(np.uint8)  # cut off, two differ no more than before
             odd = np.packbits((counts & 1).astype(bool)).view(np.int64).reshape(-1, len(_ODD))
             columns = [batch.column("id"), pa.array(keys), pa.array(np.diff(at)), rolling.binary_rows(sketches, np.full(batch.num_rows, 256))]
-            yield pa.record_batch([*columns, *(pa.array(np.ascontiguousarray(c)) for c in odd.T)], ["id", "key", "n", "sketch", *_ODD])
+            columns.append(rolling.binary_rows(own.reshape(-1), np.full(batch.num_rows, own.shape[1])))
+            yield pa.record_batch([*columns, *(pa.array(np.ascontiguousarray(c)) for c in odd.T)], ["id", "key", "n", "sketch", "prints", *_ODD])
 
     return run
 
 
-def _whole(width: int):
+def _whole(width: int, wanted):
+    """Keys and sets of the rows whose id a bitmap holds."""
+
+    def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = wanted.value
+        for batch in batches:
+            hit = found.has(known, found.places(batch.column("id").to_numpy(zero_copy_only=False), len(known)))
+            yield batch.filter(pa.array(hit))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, hashed, at, keys in _sets(batches, width):
+        for _, hashed, at, keys in _sets(asked(batches), width):
             yield pa.record_batch([pa.array(keys), rolling.binary_rows(hashed, np.diff(at))], ["key", "shingles"])
 
     return run
@@ -92,8 +106,8 @@ def _often(width: int, chunk: int):
     """Shingles that two or more sets of a chunk hold, and how many do."""
 
     def flush(held: list[np.ndarray]) -> pa.RecordBatch:
-        found, n = np.unique(np.concatenate(held), return_counts=True)
-        return pa.record_batch([pa.array(found[n > 1].view(np.int64)), pa.array(n[n > 1].astype(np.int64))], ["h", "n"])
+        unique, n = np.unique(np.concatenate(held), return_counts=True)
+        return pa.record_batch([pa.array(unique[n > 1].view(np.int64)), pa.array(n[n > 1].astype(np.int64))], ["h", "n"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
@@ -169,11 +183,11 @@ _MET = "meeting long, key long, n int, pos int, lead long, lead_n int, lead_pos
 def _meet(p: int, q: int):
     def run(table: pa.Table) -> pa.Table:
         """The sets that meet in one range of shingles, with one of each meeting for all."""
-        found = []
+        blocks = []
         for blob, size in zip(table.column("blob").to_pylist(), table.column("size").to_pylist(), strict=True):
             raw, m = pa.decompress(blob, decompressed_size=size, codec="zstd", asbytes=True), size // 24
-            found.append((np.frombuffer(raw, "<i8", m), np.frombuffer(raw, "<i4", m, 8 * m), np.frombuffer(raw, "<i4", m, 12 * m), np.frombuffer(raw, "<u8", m, 16 * m)))
-        key, n, pos, h = (np.concatenate(x) for x in zip(*found, strict=True))
+            blocks.append((np.frombuffer(raw, "<i8", m), np.frombuffer(raw, "<i4", m, 8 * m), np.frombuffer(raw, "<i4", m, 12 * m), np.frombuffer(raw, "<u8", m, 16 * m)))
+        key, n, pos, h = (np.concatenate(x) for x in zip(*blocks, strict=True))
         order = np.argsort(h)
         same = h[order[1:]] == h[order[:-1]]
         order = order[np.append(same, False) | np.append(False, same)]
@@ -212,12 +226,12 @@ def _possible(p: int, q: int, n: Column, pos: Column, m: Column, at: Column, fir
 def _similar(p: int, q: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = []
+            close = []
             for a, b in zip(batch.column("a"), batch.column("b"), strict=True):
                 x, y = (np.frombuffer(s.as_buffer(), "<u8") for s in (a, b))
                 shared = len(np.intersect1d(x, y, assume_unique=True))
-                found.append((p + q) * shared >= p * (len(x) + len(y)))
-            yield batch.select(["u", "v"]).filter(pa.array(found, pa.bool_()))
+                close.append((p + q) * shared >= p * (len(x) + len(y)))
+            yield batch.select(["u", "v"]).filter(pa.array(close, pa.bool_()))
 
     return run
 
@@ -240,22 +254,27 @@ def _verified(pairs: DataFrame, rows: DataFrame, keys: DataFrame, width: int, p:
     pairs = common.checkpointed(both.mapInArrow(_close(p, q), "u long, v long"))
     asked = pairs.select(F.col("u").alias("key")).union(pairs.select(F.col("v").alias("key"))).distinct()
     ids = keys.join(asked, "key", "left_semi").groupBy("key").agg(F.min("id").alias("id")).select("id").distinct()
-    whole = common.checkpointed(rows.join(ids, "id", "left_semi").mapInArrow(_whole(width), "key long, shingles binary").dropDuplicates(["key"]))
+    ids = common.checkpointed(ids)
+    wanted = rows.sparkSession.sparkContext.broadcast(found.bitmap(ids, ids.count(), lambda batch: [batch.column("id").to_numpy(zero_copy_only=False)]))
+    whole = rows.mapInArrow(_whole(width, wanted), "key long, shingles binary").join(asked, "key", "left_semi").dropDuplicates(["key"])
+    whole = common.checkpointed(whole)
     one, other = (whole.select(F.col("key").alias(k), F.col("shingles").alias(s)) for k, s in (("u", "a"), ("v", "b")))
     return pairs.join(one, "u").join(other, "v").select("u", "v", "a", "b").mapInArrow(_similar(p, q), "u long, v long")
 
 
-def _across(met: DataFrame, links: DataFrame) -> DataFrame:
-    """Members of the meetings of three or more that hold several components, with the meeting's largest as ``main``."""
+def _across(met: DataFrame, links: DataFrame, least: int = 3) -> DataFrame:
+    """Members of the meetings of ``least`` or more that hold several components, with the meeting's largest as ``main``."""
     named = components(links).withColumnRenamed("node", "key")
-    members = met.select("meeting", "key", "n", "pos").join(named, "key", "left").withColumn("component", F.coalesce("component", "key"))
+    members = met.join(named, "key", "left").withColumn("component", F.coalesce("component", "key"))
     parts = members.groupBy("meeting", "component").agg(F.count("*").alias("members"))
     whole = parts.groupBy("meeting").agg(F.max(F.struct("members", "component")).alias("most"), F.count("*").alias("parts"), F.sum("members").alias("members"))
-    open_ = whole.filter((F.col("parts") > 1) & (F.col("members") > 2)).select("meeting", F.col("most.component").alias("main"))
+    open_ = whole.filter((F.col("parts") > 1) & (F.col("members") >= least)).select("meeting", F.col("most.component").alias("main"))
     return common.checkpointed(members.join(open_, "meeting"))
 
 
-def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: tuple[int, int] = (4, 5)) -> DataFrame:
+def near_duplicates(
+    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: tuple[int, int] = (4, 5), prints: Prints | None = None, near: Callable[[DataFrame], DataFrame] | None = None
+) -> DataFrame:
     """(id, component_id) for every row.
 
     Rows whose sets of ``width``-word shingles have a Jaccard similarity of ``similarity`` (a
@@ -264,11 +283,19 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     alike. ``component_id`` is the smallest id that can be reached, the row's own included. Rows
     that share an id keep their own rows. A null id is smaller than every other id and is returned
     as null, also as a component. An empty table gives an empty result.
+
+    ``near`` names pairs (u < v) of sets, by their ``prints``, that are verified before any others; prefixes then
+    bring together only sets that these have not put into one component. The result is the same without.
     """
     p, q = similarity
     spark = df.sparkSession
     rows = df.select(common.id_in(id_col).alias("id"), common.text_in(text_col).alias("text"))
-    keys = common.checkpointed(rows.mapInArrow(_keys(width), "id long, key long, n long, sketch binary, " + ", ".join(f"{c} long" for c in _ODD)))
+    keys = common.checkpointed(rows.mapInArrow(_keys(width, prints), "id long, key long, n long, sketch binary, prints binary, " + ", ".join(f"{c} long" for c in _ODD)))
+    tried = links = spark.createDataFrame([], "u long, v long")
+    if near:
+        tried = common.checkpointed(near(keys.select("key", "prints").dropDuplicates(["key"])))
+        links = common.checkpointed(_verified(tried, rows, keys, width, p, q))
+
     counted = rows.mapInArrow(_often(width, CHUNK_SHINGLES), "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
     often = counted.filter(F.col("n") >= FREQUENT).orderBy(F.desc("n"), "h").limit(MOST_FREQUENT).toArrow()
     hashes, n = often.column("h").to_numpy().astype(np.int64).view(np.uint64), often.column("n").to_numpy().astype(np.int64)
@@ -279,21 +306,18 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     met = common.checkpointed(sent.groupBy("part").applyInArrow(_meet(p, q), _MET))
 
     ends = [F.least("key", "other").alias("u"), F.greatest("key", "other").alias("v")]
-    stars = met.withColumnRenamed("lead", "other").filter(F.col("key") != F.col("other"))
+    members = _across(met, links, 2)
+    stars = members.withColumnRenamed("lead", "other").filter(F.col("key") != F.col("other"))
     stars = stars.filter(_possible(p, q, F.col("n"), F.col("pos"), F.col("lead_n"), F.col("lead_pos"), False))
-    stars = common.checkpointed(stars.select(*ends).distinct())
-    links = common.checkpointed(_verified(stars, rows, keys, width, p, q))
-
-    members = _across(met, links)
     order = Window.partitionBy("meeting").orderBy(F.xxhash64("key", "meeting"), "key")
     ahead = [F.lead(F.struct("key", "n", "pos", "component"), k).over(order) for k in range(1, CHAIN + 1)]
     chain = members.withColumn("ahead", F.array(*ahead)).withColumn("next", F.explode("ahead"))
     chain = chain.filter(F.col("component") != F.col("next.component"))
     chain = chain.filter(_possible(p, q, F.col("n"), F.col("pos"), F.col("next.n"), F.col("next.pos"), False)).withColumn("other", F.col("next.key"))
-    chain = common.checkpointed(chain.select(*ends).distinct().join(stars, ["u", "v"], "left_anti"))
-    links = common.checkpointed(links.union(_verified(chain, rows, keys, width, p, q)))
+    few = common.checkpointed(stars.select(*ends).union(chain.select(*ends)).distinct().join(tried, ["u", "v"], "left_anti"))
+    links = common.checkpointed(links.union(_verified(few, rows, keys, width, p, q)))
 
-    members = _across(members.drop("component", "main"), links)
+    members = _across(members.select("meeting", "key", "n", "pos"), links)
     members = common.checkpointed(members.join(keys.select("key", *_ODD).dropDuplicates(["key"]), "key"))
     renamed = {"key": "other", "n": "m", "pos": "at", "component": "apart"} | {c: f"{c}_" for c in _ODD}
     others = members.select("meeting", *[F.col(a).alias(b) for a, b in renamed.items()])
@@ -302,7 +326,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     differ = sum((F.bit_count(F.col(c).bitwiseXOR(F.col(f"{c}_"))) for c in _ODD), F.lit(0))
     apart &= (p + q) * differ <= (q - p) * (F.col("n") + F.col("m"))
     rest = members.filter(F.col("component") != F.col("main")).join(others, "meeting").filter(apart).select(*ends).distinct()
-    rest = common.checkpointed(rest.join(stars.union(chain), ["u", "v"], "left_anti"))
+    rest = common.checkpointed(rest.join(tried.union(few), ["u", "v"], "left_anti"))
     links = links.union(_verified(rest, rows, keys, width, p, q))
 
     named = components(links).withColumnRenamed("node", "key")

@@ -9,11 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark import session
-from tidemark.llm import bpe, chat, common, linededup, packing, quality, simhash, substring, suffix, tokens, topk
+from tidemark.llm import bpe, bytetree, chat, common, linededup, packing, quality, simhash, substring, suffix, tokens, topk
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 BYTE_RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
+MULTI_RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -96,6 +97,11 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_documents(spark, sf_dir))
 
 
+def op12_byte_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = bytetree.encode_decode(_documents(spark, sf_dir), MULTI_RANKS, public_tokenizers.PATTERN)
+    return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -110,6 +116,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         quality_ablations,
         op9_line_dedup,
         op10_simhash_near_dedup,
+        op12_byte_bpe_round_trip,
     )
 }
 

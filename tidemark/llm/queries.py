@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 import public_tokenizers
@@ -9,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark import session
-from tidemark.llm import bpe, bytetree, chat, common, linededup, packing, quality, simhash, substring, suffix, tokens, topk
+from tidemark.llm import bpe, bytetree, chat, common, linededup, packing, quality, simhash, substring, suffix, tokens, topk, vectorcodes
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 BYTE_RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -97,6 +98,15 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_documents(spark, sf_dir))
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    session.ship(spark)
+    out = vectorcodes.compress(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+    books = ",".join(str(x) for part in out.codebooks for entry in part for x in entry)
+    return vectorcodes.with_label_error(out.codes).select(
+        "vec_id", F.lower(F.hex("code")).alias("code"), "error", "label_error", F.lit(hashlib.sha256(books.encode()).hexdigest()).alias("codebooks_sha256")
+    )
+
+
 def op12_byte_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = bytetree.encode_decode(_documents(spark, sf_dir), MULTI_RANKS, public_tokenizers.PATTERN)
     return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
@@ -116,6 +126,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         quality_ablations,
         op9_line_dedup,
         op10_simhash_near_dedup,
+        op11_vector_codes,
         op12_byte_bpe_round_trip,
     )
 }
@@ -146,6 +157,21 @@ _LEDGER = f"""{_DOCS}, {_WORDS},
 _POLICIES = ", ".join(f"('{p.name}', {p.version}, {p.mask})" for p in (quality.BASE, quality.STANDARD_1, quality.STANDARD, quality.STRICT))
 _RULES = ", ".join(f"('{r.name}', {1 << k})" for k, r in enumerate(quality.RULES))
 
+_APART = "list_sum(list_transform(list_zip(x, c), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT"
+
+
+def _lloyd(rounds: int) -> str:
+    """Assignments a0, a1, ... of all parts (p) to codebooks c0, c1, ..., ties to the lower entry."""
+    out = []
+    for k in range(rounds + 1):
+        out.append(f"a{k} AS MATERIALIZED (SELECT vec_id, part, any_value(x) AS x, min({{'d': {_APART}, 'k': k}}) AS m FROM p JOIN c{k} USING (part) GROUP BY vec_id, part)")
+        if k < rounds:
+            mean = "((sum(x[j]) - (sum(x[j]) % count(*) + count(*)) % count(*)) // count(*))::BIGINT"
+            moved = f"SELECT part, k, list(q ORDER BY j) AS c FROM (SELECT part, m.k AS k, j, {mean} AS q FROM a{k}, range(1, 9) t(j) GROUP BY part, m.k, j) GROUP BY part, k"
+            out.append(f"c{k + 1} AS MATERIALIZED (SELECT part, k, coalesce(n.c, o.c) AS c FROM c{k} o LEFT JOIN ({moved}) n USING (part, k))")
+    return ", ".join(out)
+
+
 #: In DuckDB's SQL. Tokenizers, XXH64 and windows over bytes are beyond SQL (or too slow in it).
 ORACLE_SQL: dict[str, str] = {
     "op3_substring_dedup": f"""WITH {_DOCS}, {_WORDS},
@@ -163,6 +189,13 @@ ORACLE_SQL: dict[str, str] = {
  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
  s AS (SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.e, c.e)::BIGINT AS score FROM v q JOIN v c ON c.vec_id <> q.vec_id AND len(c.e) = len(q.e) WHERE q.vec_id % 50 = 0),
  r AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score FROM s) SELECT * FROM r WHERE rank <= 5""",
+    "op11_vector_codes": f"""WITH e AS (SELECT vec_id, label, list_transform(embedding, lambda x: floor(4096 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+ WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+ p AS MATERIALIZED (SELECT vec_id, part, v[8 * part + 1 : 8 * part + 8] AS x FROM e, range(8) t(part)),
+ c0 AS MATERIALIZED (SELECT part, row_number() OVER (PARTITION BY part ORDER BY vec_id) - 1 AS k, x AS c FROM p WHERE vec_id IN (SELECT vec_id FROM e ORDER BY vec_id LIMIT 16)), {_lloyd(6)},
+ b AS (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY part, k)) AS h FROM c6),
+ r AS (SELECT vec_id, string_agg(printf('%02x', m.k), '' ORDER BY part) AS code, sum(m.d)::BIGINT AS error FROM a6 GROUP BY 1)
+ SELECT vec_id, code, error, sum(error) OVER (PARTITION BY label)::BIGINT AS label_error, h AS codebooks_sha256 FROM r JOIN e USING (vec_id), b""",
     "op8_quality_rules": f"""WITH {_LEDGER}
  SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (failures & {quality.BASE.mask}) <> 0 AS base_failed, (failures & {quality.STANDARD.mask}) = 0 AS kept, failures FROM f""",
     "quality_ablations": f"""WITH {_LEDGER}, policies(policy, version, mask) AS (VALUES {_POLICIES}), rules(rule, bit) AS (VALUES {_RULES})

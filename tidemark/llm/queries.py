@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark import session
-from tidemark.llm import bpe, bytetree, chat, common, linededup, packing, quality, simhash, substring, suffix, tokens, topk, vectorcodes
+from tidemark.llm import bpe, bytetree, chat, common, linededup, packing, quality, simhash, substring, suffix, tokens, topk, trie, vectorcodes
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 BYTE_RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -112,6 +112,14 @@ def op12_byte_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    session.ship(spark)
+    conv = F.col("conv")
+    taken = (F.crc32(conv.cast("string").cast("binary")) % 4).cast("int")
+    rows = trie.turns(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+    return trie.prefix_trie(trie.spliced(rows, conv - conv % 20, taken, 3))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -128,6 +136,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op10_simhash_near_dedup,
         op11_vector_codes,
         op12_byte_bpe_round_trip,
+        op13_prefix_trie,
     )
 }
 
@@ -172,6 +181,10 @@ def _lloyd(rounds: int) -> str:
     return ", ".join(out)
 
 
+#: CRC-32 of a number's decimal digits, bit by bit.
+_BITS = "flatten(list_transform(string_split(c::VARCHAR, ''), lambda x: list_transform(range(8), lambda i: (ascii(x)::BIGINT >> i) & 1)))"
+_CRC32 = f"xor(list_reduce(list_prepend(4294967295::BIGINT, {_BITS}), lambda a, b: xor(a >> 1, CASE WHEN xor(a, b) & 1 = 1 THEN 3988292384::BIGINT ELSE 0::BIGINT END)), 4294967295::BIGINT)"
+
 #: In DuckDB's SQL. Tokenizers, XXH64 and windows over bytes are beyond SQL (or too slow in it).
 ORACLE_SQL: dict[str, str] = {
     "op3_substring_dedup": f"""WITH {_DOCS}, {_WORDS},
@@ -196,6 +209,17 @@ ORACLE_SQL: dict[str, str] = {
  b AS (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY part, k)) AS h FROM c6),
  r AS (SELECT vec_id, string_agg(printf('%02x', m.k), '' ORDER BY part) AS code, sum(m.d)::BIGINT AS error FROM a6 GROUP BY 1)
  SELECT vec_id, code, error, sum(error) OVER (PARTITION BY label)::BIGINT AS label_error, h AS codebooks_sha256 FROM r JOIN e USING (vec_id), b""",
+    "op13_prefix_trie": f"""WITH t AS (SELECT conv_id AS c, list({{'r': coalesce(role, ''), 't': coalesce(text, '')}} ORDER BY turn NULLS FIRST, coalesce(role, ''), sha256(coalesce(text, ''))) AS x
+ FROM conversations WHERE conv_id IS NOT NULL GROUP BY 1), h AS (SELECT c, x, {_CRC32} % 4 AS h FROM t),
+ b AS MATERIALIZED (SELECT h.c, list_concat(coalesce(o.x[1 : h.h], []), h.x[h.h + 1 :]) AS x FROM h LEFT JOIN t o ON o.c = h.c - h.c % 20),
+ m AS MATERIALIZED (SELECT c, d, x, x[1 : d] AS node FROM (SELECT c, x, unnest(range(len(x) + 1)) AS d FROM b)),
+ n AS MATERIALIZED (SELECT d, node, CASE WHEN d > 0 THEN node[1 : d - 1] END AS up, min(c) AS conv_id, count(*) AS n_convs, sha256(coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (len(x) = d), '')) AS ends_sha256,
+ CASE WHEN d > 0 THEN (count(*) - 1) * len(regexp_extract_all(node[d].t, '[^\x20\x09-\x0D]+')) ELSE 0 END AS saved FROM m GROUP BY d, node),
+ k AS MATERIALIZED (SELECT d - 1 AS d, up AS node, count(*) AS n_children FROM n WHERE d > 0 GROUP BY 1, 2),
+ s AS (SELECT e AS d, node[1 : e] AS node, sum(saved)::BIGINT AS saved_tokens, count(*) FILTER (leaf) AS n_leaves
+ FROM (SELECT n.node, n.saved, k.node IS NULL AS leaf, unnest(range(n.d + 1)) AS e FROM n LEFT JOIN k ON k.d = n.d AND k.node = n.node) GROUP BY 1, 2)
+ SELECT n.conv_id, n.d AS depth, o.conv_id AS parent_conv_id, n.n_convs, coalesce(k.n_children, 0) AS n_children, s.n_leaves, s.saved_tokens, n.ends_sha256
+ FROM n JOIN s ON s.d = n.d AND s.node = n.node LEFT JOIN k ON k.d = n.d AND k.node = n.node LEFT JOIN n o ON o.d = n.d - 1 AND o.node = n.up""",
     "op8_quality_rules": f"""WITH {_LEDGER}
  SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (failures & {quality.BASE.mask}) <> 0 AS base_failed, (failures & {quality.STANDARD.mask}) = 0 AS kept, failures FROM f""",
     "quality_ablations": f"""WITH {_LEDGER}, policies(policy, version, mask) AS (VALUES {_POLICIES}), rules(rule, bit) AS (VALUES {_RULES})

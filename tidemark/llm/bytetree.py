@@ -34,12 +34,12 @@ from pyspark.sql import functions as F
 
 from tidemark.llm import common
 
-_LEAF_BYTES = 8
+_LEAF_BYTES = 6
 _LEAF_CHARS = 1 << 14
 _LEAF_TOKENS = 1 << 12
 _SCAN_BYTES = 48
 _SLICE_BYTES = 1 << 19
-_CACHE_WORDS = 120_000
+_CACHE_WORDS = 250_000
 _CACHE_CHARS = 256
 _NEVER = 1 << 60
 
@@ -123,7 +123,8 @@ class TreeBpe:
             return left + right
         i = j = 1
         while True:
-            window = self.merge(self.decode([*left[-i:], *right[:j]]))
+            raw = self.decode([*left[-i:], *right[:j]])
+            window = self.leaf(raw) if len(raw) <= _SCAN_BYTES else self.merge(raw)
             stays = i == len(left) or self.fits(left[-i - 1], window[0]), j == len(right) or self.fits(window[-1], right[j])
             if all(stays):
                 return left[:-i] + window + right[j:]
@@ -219,7 +220,14 @@ class TreeBpe:
 
     def encode(self, text: str) -> np.ndarray:
         """The text's ids, unsigned 32-bit."""
-        return self._halves(text, self.shape(text), 0, len(text)).ids
+        shape = self.shape(text)
+        if shape is text and len(text) <= _LEAF_CHARS:  # one leaf, nothing to join
+            words = self.pattern.findall(text)
+            ids = list(map(self.cache.get, words))
+            if None in ids:
+                ids = [self.match(w) if found is None else found for w, found in zip(words, ids, strict=True)]
+            return np.frombuffer(b"".join(ids), "<u4")
+        return self._halves(text, shape, 0, len(text)).ids
 
     def decode(self, ids: list[int]) -> bytes:
         if len(ids) <= _LEAF_TOKENS:

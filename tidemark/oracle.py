@@ -426,6 +426,10 @@ SQL: dict[str, str] = {
  FROM (SELECT floor((epoch_us(time) - epoch_us(lag(time) OVER (ORDER BY time, seq))) / 1000000.0::DOUBLE) AS gap FROM equity1)""",
         "equity1",
     ),
+    "tick_order_issues": """WITH t AS (SELECT event_id, row_number() OVER (ORDER BY event_id) - 1 AS ingest, epoch_us(ts) - CASE WHEN event_id % 97 = 5 THEN 7200000000 ELSE 0 END AS us,
+ CASE WHEN event_id % 13 <> 0 THEN CASE WHEN event_id % 101 = 7 THEN event_id - 1 ELSE event_id END END AS num FROM events),
+ n AS (SELECT *, lag(num) OVER (ORDER BY ingest) AS prior FROM t WHERE num IS NOT NULL), u AS (SELECT *, lag(us) OVER (ORDER BY ingest) AS prior FROM t)
+ SELECT ingest, 'time_steps_back' AS code, us AS value, prior FROM u WHERE us < prior UNION ALL SELECT ingest, 'number_not_increasing', num, prior FROM n WHERE num <= prior""",
     "v2_positions": _with(
         f"""SELECT signal_id, action AS side, et AS entry_time, es AS entry_source_seq, CAST(CASE WHEN action = 'long' THEN ea ELSE eb END AS DOUBLE) AS entry_price, zt AS exit_time, zs AS exit_source_seq,
  CAST(CASE WHEN action = 'long' THEN zb ELSE za END AS DOUBLE) AS exit_price, quote_pnl::DOUBLE AS quote_pnl, reason AS exit_reason, round({_seconds("coalesce(zt, lt)", "et")}, 8) AS hold_seconds,

@@ -16,7 +16,7 @@ from tidemark import session
 from tidemark.contracts import UTC, BarRequest, DecisionReplay, SignalReplay
 from tidemark.functions import scalars as S
 from tidemark.operators import asof, bars, curves, deals, decision_replay, features, learning, neural, signal_replay, target
-from tidemark.sources import adapters
+from tidemark.sources import adapters, places
 from tidemark.streaming import bars as bar_stream
 
 REQUEST = BarRequest("ALL", datetime(2024, 1, 3, tzinfo=UTC), datetime(2024, 1, 28, tzinfo=UTC), datetime(2024, 1, 27, 12, 30, tzinfo=UTC))
@@ -355,6 +355,20 @@ def neural_fit(rows: DataFrame) -> DataFrame:
     return neural.run(rows.sparkSession)
 
 
+def tick_order_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Order checks of the events file as a file of quotes, with planted steps back, repeated and missing numbers."""
+    session.ship(spark)
+    rows = places.placed(spark.read.parquet(f"{sf_dir}/events.parquet"))
+    at = lambda n, k: F.col("event_id") % n == k
+    micros = F.unix_micros(F.col("ts").cast("timestamp")) - F.when(at(97, 5), 7_200_000_000).otherwise(0)
+    number = F.when(~at(13, 0), F.when(at(101, 7), F.col("event_id") - 1).otherwise(F.col("event_id")))
+    issues = places.order_issues(rows, places.Rule("time_steps_back", micros), places.Rule("number_not_increasing", number, strict=True))
+    return plain(places.numbered(issues, rows).select("ingest", "code", "value", "prior"))
+
+
+QUERIES["tick_order_issues"] = tick_order_issues
+
+
 def streaming_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     session.ship(spark)
     return plain(bar_stream.run_once(spark, f"{sf_dir}/events.parquet"))

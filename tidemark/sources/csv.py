@@ -1,30 +1,31 @@
 """CSV sources: read as text, coerced with counted failures, checked, and only then typed.
 
-Ingest order matters to some rules. It is the ``source_row_seq`` column where there is one;
-otherwise ``ingest`` numbers rows by file position, which a single file keeps.
+Some rules look at the order of a file's rows, which ``places`` keeps through any number of splits and files. A quote's
+number is its ``source_row_seq`` where there is such a column, else its place, counted from 0.
 """
 
 from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.contracts import ContractError, naive
 from tidemark.functions import scalars as S
 from tidemark.operators import bars
+from tidemark.sources import places
 
 _UTC_TEXT = r"^\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}(:\d{2}(\.\d{1,6})?)?(Z|[+]00:00)$"
 
 
 def raw(spark: SparkSession, path: str, required: tuple[str, ...]) -> DataFrame:
-    """All columns as text, and ``ingest``, the row's place."""
+    """All columns as text, and ``place``."""
     df = spark.read.option("header", True).option("mode", "FAILFAST").csv(path)
     absent = [c for c in required if c not in df.columns]
     if absent:
         raise ContractError(f"{path}: missing columns {', '.join(absent)}")
-    return df.withColumn("ingest", F.monotonically_increasing_id())
+    return places.placed(df)
 
 
 def utc_text(c: Column) -> Column:
@@ -38,24 +39,26 @@ def integer_text(c: Column) -> Column:
     return F.when(F.trim(c).rlike(r"^-?\d{1,18}$"), F.trim(c).try_cast("long"))
 
 
-def refuse(df: DataFrame, order: str, **rules: Column) -> None:
-    """Raise with the first row, in ingest order, that breaks a rule."""
+def refuse(df: DataFrame, *more: DataFrame, **rules: Column) -> None:
+    """Raise with the first row, in the order of ``place``, that breaks a rule or is among ``more`` (place, code)."""
     code = F.lit(None).cast("string")
     for name, bad in reversed(rules.items()):
         code = F.when(F.coalesce(bad, F.lit(False)), name).otherwise(code)
-    first = df.select(F.col(order).alias("at"), code.alias("code")).filter("code IS NOT NULL").agg(F.min(F.struct("at", "code")).alias("x")).first().x
+    found = df.select("place", code.alias("code")).filter("code IS NOT NULL")
+    for other in more:
+        found = found.union(other.select("place", "code"))
+    first = found.agg(F.min(F.struct("place", "code")).alias("x")).first().x
     if first:
-        raise ContractError(f"row {first.at}: {first.code}")
+        raise ContractError(f"row {places.row_number(df, first.place)} of {first.place.file}: {first.code}")
 
 
-def _ordered(order: str) -> Window:
-    # order can only be judged over the whole file; the check keeps nothing but the previous row
-    return Window.partitionBy(F.lit(0)).orderBy(order)
+def _micros(c: str) -> Column:
+    return F.unix_micros(F.col(c).cast("timestamp"))
 
 
 def snapshot(spark: SparkSession, path: str, symbol: str) -> DataFrame:
     """Accepted hourly bars: validated, typed, never repaired."""
-    rows = raw(spark, path, bars.REQUIRED)
+    rows = places.numbered(raw(spark, path, bars.REQUIRED))
     typed = rows.select(
         F.lit(symbol).alias("symbol"), utc_text(F.col("timestamp")).alias("timestamp"), *[S.finite_text(F.col(c)).alias(c) for c in bars.NUMERIC], "ingest"
     )
@@ -65,7 +68,7 @@ def snapshot(spark: SparkSession, path: str, symbol: str) -> DataFrame:
 
 def raw_bars(spark: SparkSession, path: str, symbol: str) -> DataFrame:
     """Bars as they came, coerced, with bad values null; the gate decides what becomes of them."""
-    rows = raw(spark, path, bars.REQUIRED)
+    rows = places.numbered(raw(spark, path, bars.REQUIRED))
     return rows.select(F.lit(symbol).alias("symbol"), utc_text(F.col("timestamp")).alias("timestamp"), *[S.finite_text(F.col(c)).alias(c) for c in bars.NUMERIC], "ingest")
 
 
@@ -73,16 +76,15 @@ def decisions(spark: SparkSession, path: str, start: datetime, end: datetime, sy
     """Decisions: unique non-empty ids, strictly increasing times in [start, end), known actions."""
     rows = raw(spark, path, ("signal_id", "decision_time_utc", "action")).withColumn("decision_time", utc_text(F.col("decision_time_utc")))
     low, high = (F.lit(naive(x)).cast("timestamp_ntz") for x in (start, end))
-    before = F.lag("decision_time").over(_ordered("ingest"))
-    checked = rows.withColumn("_before", before).withColumn("_n", F.count("*").over(Window.partitionBy("signal_id")))
     at = F.col("decision_time")
+    repeated = rows.groupBy("signal_id").agg(F.count("*").alias("n"), F.min("place").alias("place")).filter("n > 1").select("place", F.lit("bad_id").alias("code"))
     refuse(
-        checked,
-        "ingest",
-        bad_id=F.col("signal_id").isNull() | (F.trim("signal_id") == "") | (F.col("_n") > 1),
+        rows,
+        repeated,
+        places.order_issues(rows, places.Rule("not_chronological", _micros("decision_time"), strict=True)),
+        bad_id=F.col("signal_id").isNull() | (F.trim("signal_id") == ""),
         bad_time=at.isNull(),
         outside_period=(at < low) | (at >= high),
-        not_chronological=at <= F.col("_before"),
         bad_action=F.col("action").isNull() | ~F.trim("action").isin("long", "short", "ABSTAIN"),
     )
     out = rows.select(F.lit(symbol).alias("symbol"), F.trim("signal_id").alias("signal_id"), "decision_time", F.trim("action").alias("action"))
@@ -91,48 +93,55 @@ def decisions(spark: SparkSession, path: str, start: datetime, end: datetime, sy
     return out
 
 
+def _steps_back(typed: DataFrame, given: bool) -> DataFrame:
+    rules = [places.Rule("step_back", F.col("ms"))]
+    if given:
+        rules.append(places.Rule("step_back", F.col("source_seq"), strict=True))
+    return places.order_issues(typed, *rules)
+
+
+def _numbered(typed: DataFrame, given: bool) -> DataFrame:
+    return typed if given else places.numbered(typed).withColumn("source_seq", F.col("ingest"))
+
+
 def ticks(spark: SparkSession, path: str, start: datetime, end: datetime, symbol: str = "") -> DataFrame:
     """Quotes: whole milliseconds in [start, end), no step back, increasing numbers, 0 < bid <= ask."""
     rows = raw(spark, path, ("time_msc", "bid", "ask"))
-    seq = integer_text(F.col("source_row_seq")) if "source_row_seq" in rows.columns else F.col("ingest")
+    given = "source_row_seq" in rows.columns
+    seq = integer_text(F.col("source_row_seq")) if given else F.lit(0).cast("long")
     price = lambda c: F.when(S.finite_text(F.col(c)).isNotNull(), F.col(c).try_cast(S.PRICE))
     flags = F.coalesce(integer_text(F.col("flags")), F.lit(0)) if "flags" in rows.columns else F.lit(0)
-    typed = rows.select("ingest", integer_text(F.col("time_msc")).alias("ms"), seq.alias("source_seq"), price("bid").alias("bid"), price("ask").alias("ask"), flags.cast("int").alias("flags"))
-    w = _ordered("ingest")
-    checked = typed.withColumn("_ms", F.lag("ms").over(w)).withColumn("_seq", F.lag("source_seq").over(w))
+    typed = rows.select("place", integer_text(F.col("time_msc")).alias("ms"), seq.alias("source_seq"), price("bid").alias("bid"), price("ask").alias("ask"), flags.cast("int").alias("flags"))
     low, high = (int(x.timestamp() * 1000) for x in (start, end))
     refuse(
-        checked,
-        "ingest",
+        typed,
+        _steps_back(typed, given),
         bad_number=F.col("ms").isNull() | F.col("source_seq").isNull(),
         outside_period=(F.col("ms") < low) | (F.col("ms") >= high),
-        step_back=(F.col("ms") < F.col("_ms")) | (F.col("source_seq") <= F.col("_seq")),
         bad_quote=F.col("bid").isNull() | F.col("ask").isNull() | (F.col("bid") <= 0) | (F.col("ask") < F.col("bid")),
     )
-    return typed.select(F.lit(symbol).alias("symbol"), "source_seq", S.from_epoch_ms(F.col("ms")).alias("time"), "bid", "ask", "flags")
+    return _numbered(typed, given).select(F.lit(symbol).alias("symbol"), "source_seq", S.from_epoch_ms(F.col("ms")).alias("time"), "bid", "ask", "flags")
 
 
 def terminal_ticks(spark: SparkSession, path: str, symbol: str = "") -> DataFrame:
     """Quotes of the older export: seconds and milliseconds must agree, unused numbers must be numbers."""
     names = ("time", "time_msc", "bid", "ask", "last", "flags", "volume", "volume_real")
     rows = raw(spark, path, names)
-    seq = integer_text(F.col("source_row_seq")) if "source_row_seq" in rows.columns else F.col("ingest")
+    given = "source_row_seq" in rows.columns
+    seq = integer_text(F.col("source_row_seq")) if given else F.lit(0).cast("long")
     typed = rows.select(
-        "ingest", integer_text(F.col("time")).alias("s"), integer_text(F.col("time_msc")).alias("ms"), seq.alias("source_seq"),
+        "place", integer_text(F.col("time")).alias("s"), integer_text(F.col("time_msc")).alias("ms"), seq.alias("source_seq"),
         *[F.col(c).try_cast(S.PRICE).alias(c) for c in ("bid", "ask")], integer_text(F.col("flags")).alias("flags"),
         F.greatest(*[S.finite_text(F.col(c)).isNull().cast("int") for c in ("last", "volume", "volume_real")]).alias("_bad"),
     )
-    w = _ordered("ingest")
-    checked = typed.withColumn("_ms", F.lag("ms").over(w)).withColumn("_seq", F.lag("source_seq").over(w))
     refuse(
-        checked,
-        "ingest",
+        typed,
+        _steps_back(typed, given),
         bad_number=F.col("s").isNull() | F.col("ms").isNull() | F.col("source_seq").isNull() | F.col("flags").isNull() | (F.col("_bad") == 1),
         seconds_disagree=F.col("s") != S.floor_seconds(F.col("ms")),
-        step_back=(F.col("ms") < F.col("_ms")) | (F.col("source_seq") <= F.col("_seq")),
         bad_quote=F.col("bid").isNull() | F.col("ask").isNull() | (F.col("bid") <= 0) | (F.col("ask") < F.col("bid")),
     )
-    return typed.select(F.lit(symbol).alias("symbol"), "source_seq", S.from_epoch_ms(F.col("ms")).alias("time"), "bid", "ask", F.col("flags").cast("int").alias("flags"))
+    return _numbered(typed, given).select(F.lit(symbol).alias("symbol"), "source_seq", S.from_epoch_ms(F.col("ms")).alias("time"), "bid", "ask", F.col("flags").cast("int").alias("flags"))
 
 
 def frozen_predictions(
@@ -144,19 +153,17 @@ def frozen_predictions(
     rows = raw(spark, path, names).filter(F.col("partition") == partition)
     p, low, high = F.col(score).try_cast("decimal(20,18)"), F.lit(lower).cast("decimal(20,18)"), F.lit(upper).cast("decimal(20,18)")
     typed = rows.select(
-        "ingest", utc_text(F.col("decision_timestamp")).alias("decision_time"), utc_text(F.col("target_available_timestamp")).alias("target_time"),
+        "place", utc_text(F.col("decision_timestamp")).alias("decision_time"), utc_text(F.col("target_available_timestamp")).alias("target_time"),
         p.alias("p_up"), F.trim("candidate_signal").alias("candidate"), F.trim("target_h1_direction").alias("target_label"), F.trim("model_sha256").alias("model"),
     )
     derived = F.when(F.col("p_up") <= low, "DOWN").when(F.col("p_up") >= high, "UP").otherwise("ABSTAIN")
-    checked = typed.withColumn("_before", F.lag("decision_time").over(_ordered("ingest")))
     refuse(
-        checked,
-        "ingest",
+        typed,
+        places.order_issues(typed, places.Rule("not_chronological", _micros("decision_time"), strict=True)),
         wrong_model=F.col("model").isNull() | (F.col("model") != model_sha256),
         bad_value=F.col("decision_time").isNull() | F.col("target_time").isNull() | F.col("p_up").isNull() | (F.col("p_up") < 0) | (F.col("p_up") > 1),
         wrong_signal=derived != F.col("candidate"),
         wrong_target=F.col("target_time") != F.col("decision_time") + F.expr("interval 1 hour"),
-        not_chronological=F.col("decision_time") <= F.col("_before"),
     )
     audit = typed.agg(F.count("*").alias("rows"), F.count_if(F.col("candidate") == "ABSTAIN").alias("abstained"), F.min("decision_time").alias("first"), F.max("decision_time").alias("last"))
     side = F.when(F.col("candidate") == "UP", "long").otherwise("short")

@@ -1,22 +1,21 @@
 """Per-signal replay with explicit costs: entries, exits, greedy non-overlap, curves.
 
 What a signal would enter and leave at does not depend on other signals, so both quotes come from
-as-of joins; only the choice of non-overlapping signals is sequential, over the signals (about one
-an hour), one series a task. Quotes are never collected.
+as-of joins. Which of the signals are taken is a greedy choice of intervals that do not overlap, made in
+rounds of joins (``chains``), so a series of any length is spread over tasks.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark import session
 from tidemark.contracts import ContractError, SignalReplay, naive
 from tidemark.functions import scalars as S
-from tidemark.operators import asof, curves
+from tidemark.operators import asof, chains, curves
 
 OPEN_REASONS = ("no_exit_quote_at_or_after_target", "exit_quote_exceeds_max_delay")
 
@@ -31,17 +30,42 @@ class Replay:
     equity: DataFrame
 
 
-def check(signals: DataFrame, ticks: DataFrame) -> None:
-    bad = signals.groupBy("symbol", "decision_time").agg(F.count("*").alias("n")).filter("n > 1").first()
-    if bad:
-        raise ContractError(f"{bad.symbol}: two signals at {bad.decision_time}")
-    wrong = ticks.filter("bid IS NULL OR ask IS NULL OR bid <= 0 OR ask < bid").first()
-    if wrong:
-        raise ContractError(f"quote {wrong.source_seq} breaks 0 < bid <= ask")
-    if signals.first() is None or ticks.first() is None:
+def check(signals: DataFrame, ticks: DataFrame, config: SignalReplay = SignalReplay()) -> None:  # noqa: B008
+    """Raise unless the inputs keep their contract: two passes, one over each.
+
+    There are signals and quotes; a series has no two signals at a time; targets come after decisions; sides agree with the
+    thresholds where a probability is given; quotes hold 0 < bid <= ask; with bounds given, nothing lies outside the period.
+    """
+    at = F.col("decision_time")
+    outside = lambda c: _outside(c, config)
+    wrong = F.when(outside(at), "outside_period").when(F.coalesce(F.col("target_time") <= at, F.lit(True)), "target_not_after_decision").when(~F.coalesce(F.col("side").isin("long", "short"), F.lit(False)), "unknown_side")
+    if "p_up" in signals.columns:
+        low, high = F.lit(config.lower_threshold), F.lit(config.upper_threshold)
+        derived = F.when(F.col("p_up") <= low, "short").when(F.col("p_up") >= high, "long").otherwise("ABSTAIN")
+        wrong = wrong.when(F.coalesce(derived != F.col("side"), F.lit(True)), "side_against_thresholds")
+    each = signals.select("symbol", "decision_time", wrong.alias("code")).groupBy("symbol", "decision_time").agg(F.count("*").alias("n"), F.min("code").alias("code"))
+    code = F.coalesce("code", F.when((F.col("n") > 1) | at.isNull(), "repeated_or_missing_time"))
+    found = each.agg(F.count("*").alias("rows"), F.min(F.when(code.isNotNull(), F.struct(at, code.alias("code")))).alias("bad")).first()
+    if found.bad:
+        raise ContractError(f"signal at {found.bad.decision_time}: {found.bad.code}")
+    bad = F.coalesce(outside(F.col("time")) | (F.col("bid") <= 0) | (F.col("ask") < F.col("bid")), F.lit(True))
+    quotes = ticks.agg(F.count("*").alias("rows"), F.min(F.when(bad, F.col("source_seq"))).alias("bad")).first()
+    if quotes.bad is not None:
+        raise ContractError(f"quote {quotes.bad} is outside the period or breaks 0 < bid <= ask")
+    if not found.rows or not quotes.rows:
         raise ContractError("a replay needs signals and quotes")
 
 
+def _outside(c: Column, config: SignalReplay) -> Column:
+    bound = lambda x: F.lit(naive(x)).cast("timestamp_ntz")
+    out = F.lit(False)
+    if config.period_start:
+        out = out | (c < bound(config.period_start))
+    if config.period_end:
+        out = out | (c >= bound(config.period_end))
+    return out
+
+
 def priced(signals: DataFrame, ticks: DataFrame, config: SignalReplay) -> DataFrame:
     """Signals with entry and exit quotes and the result that each would have on its own."""
     rows = asof.entry_and_exit(signals, ticks)
@@ -60,26 +84,24 @@ def priced(signals: DataFrame, ticks: DataFrame, config: SignalReplay) -> DataFr
     return rows.withColumn("result", result).withColumn("end", F.coalesce("exit", "last"))
 
 
-def _choose(signals: pd.DataFrame) -> pd.DataFrame:
-    until, stuck, out = None, False, []
-    for at, result, end in signals.sort_values("at")[["at", "result", "end"]].itertuples(index=False):
-        if stuck or (until is not None and until > at):
-            out.append("position_open_at_decision")
-            continue
-        out.append(result)
-        if result == "trade":
-            until = end
-        elif result in OPEN_REASONS:
-            stuck = True
-    return pd.DataFrame({"symbol": signals["symbol"].iloc[0], "signal_id": signals.sort_values("at")["signal_id"], "outcome": out})
-
-
 def outcomes(priced_: DataFrame) -> DataFrame:
-    """Each signal with its ``outcome``: trade, or why it is skipped or left open."""
+    """Each signal with its ``outcome``: trade, or why it is skipped or left open.
+
+    Signals that would open a position are chosen greedily (``chains``); after the first of them that never closes, nothing
+    opens. Another signal has its own result only if no position is open at its time.
+    """
     micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
-    small = priced_.select("symbol", "signal_id", micros("decision_time").alias("at"), "result", F.coalesce(micros("end.time"), F.lit(0)).alias("end"))
-    chosen = small.groupBy("symbol").applyInPandas(_choose, "symbol string, signal_id string, outcome string")
-    return session.checkpointed(priced_.join(chosen, ["symbol", "signal_id"]))  # a row per signal, from which every output starts
+    rows = session.checkpointed(priced_.withColumn("_at", micros("decision_time")))
+    opening = rows.filter(F.col("result").isin("trade", *OPEN_REASONS))
+    candidates = opening.select("symbol", F.col("_at").alias("at"), F.when(F.col("result") == "trade", micros("end.time")).alias("end"))
+    taken = session.checkpointed(chains.chosen(candidates)).select("symbol", F.col("at").alias("_at"), F.lit(True).alias("_taken"))
+    marked = rows.join(taken, ["symbol", "_at"], "left").withColumn("_taken", F.coalesce("_taken", F.lit(False)))
+    stuck = marked.filter(F.col("_taken") & (F.col("result") != "trade")).groupBy("symbol").agg(F.min("_at").alias("_stuck"))
+    ends = F.when(F.col("_taken") & (F.col("result") == "trade"), micros("end.time"))
+    marked = chains.prior_max(marked, "_at", ends, "_until").join(stuck, "symbol", "left")
+    busy = F.coalesce(F.col("_at") > F.col("_stuck"), F.lit(False)) | F.coalesce(F.col("_until") > F.col("_at"), F.lit(False))
+    out = marked.withColumn("outcome", F.when(busy, "position_open_at_decision").otherwise(F.col("result")))
+    return session.checkpointed(out.drop("_at", "_taken", "_until", "_stuck"))  # a row per signal, from which every output starts
 
 
 def economics(rows: DataFrame, config: SignalReplay) -> DataFrame:
@@ -135,7 +157,8 @@ def _mark(config: SignalReplay) -> Column:
 
 
 def replay(signals: DataFrame, ticks: DataFrame, config: SignalReplay = SignalReplay()) -> Replay:  # noqa: B008
-    found = outcomes(session.checkpointed(priced(signals, ticks, config)))
+    check(signals, ticks, config)
+    found = outcomes(priced(signals, ticks, config))
     trades = economics(found.filter("outcome = 'trade'"), config)
     skipped = found.filter("outcome <> 'trade'").select("symbol", "signal_id", "decision_time", F.col("outcome").alias("reason"))
     start = F.lit(naive(config.period_start)).cast("timestamp_ntz") if config.period_start else F.min("decision_time")

@@ -48,9 +48,13 @@ def test_window_helpers(spark):
     rnd = random.Random(2)
     rows = [(s, rnd.randint(-40, 40), rnd.choice([None, rnd.randint(0, 99)])) for s in "ab" for _ in range(80)]
     df = spark.createDataFrame(rows, "symbol string, at long, v long")
-    got = chains.prior_max(df, "at", F.col("v"), "m", span=7).collect()
+    got = chains.before(df, "at", {"m": F.col("v")}, span=7).collect()
     want = sorted((s, at, v if v is not None else -1, max((w for t, b, w in rows if t == s and b < at and w is not None), default=-1)) for s, at, v in rows)
     assert sorted((r.symbol, r.at, r.v if r.v is not None else -1, r.m if r.m is not None else -1) for r in got) == want
+    got = chains.after(df, "at", {"m": F.col("v"), "n": F.when(F.col("v") > 50, F.col("v"))}, span=7).collect()
+    least = lambda s, at, low: min((w for t, b, w in rows if t == s and b > at and w is not None and w > low), default=-1)
+    want = sorted((s, at, -1 if v is None else v, least(s, at, -1), least(s, at, 50)) for s, at, v in rows)
+    assert sorted((r.symbol, r.at, *(-1 if x is None else x for x in (r.v, r.m, r.n))) for r in got) == want
     got = chains.next_at(df, "at", "v", "n", span=7).collect()
     want = sorted((s, at, -1 if v is None else v, -99 if v is None else min((b for t, b, _ in rows if t == s and b >= v), default=-99)) for s, at, v in rows)
     assert sorted((r.symbol, r.at, -1 if r.v is None else r.v, -99 if r.n is None else r.n) for r in got) == want

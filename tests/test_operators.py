@@ -226,6 +226,22 @@ def test_decision_replay_against_an_event_loop(spark):
     assert [(x[0], x[1], x[2], *x[4:]) for x in mine] == [(s, *e) for s in sorted(want) for e in want[s]]
 
 
+def test_decision_replay_of_one_long_series(spark):
+    """Five days of one series, more buckets than one and runs of many steps between two roots."""
+    rng, us = random.Random(3), lambda t: int((t - T0).total_seconds()) * 1_000_000
+    seconds = [k for k in range(432_000) if rng.random() < 1 / 40]
+    ticks = [("S", T0 + timedelta(seconds=s), k, Decimal(rng.randint(100, 140)) / 100) for k, s in enumerate(seconds)]
+    ticks = [(*t, t[3] + Decimal("0.02")) for t in ticks]
+    asked = [("S", f"d{s}", T0 + timedelta(seconds=s), rng.choice(["long", "long", "short", "ABSTAIN"])) for s in range(0, 430_000, 900)]
+    merged = sorted([(us(t[1]), 0, t[2], t[3], t[4], None, None) for t in ticks] + [(us(d[2]), 1, 0, None, None, d[1], d[3]) for d in asked])
+    machine = Machine(60 * 1_000_000)
+    want = [e for row in merged for e in machine.feed(*row)]
+    got = decision_replay.replay(spark.createDataFrame(asked, DECISION), spark.createDataFrame(ticks, TICK), DecisionReplay(T0.replace(tzinfo=UTC), (T0 + timedelta(days=9)).replace(tzinfo=UTC)))
+    rows = got.equity.filter("event NOT IN ('initial_balance', 'period_end_flat')").orderBy("time", "seq", "sub").collect()
+    assert [(us(r.time), r.seq, r.event, r.signal_id, r.value) for r in rows] == want
+    assert {"reversal", "target"} <= {e[2] for e in want} and len({e[3] for e in want}) > 150
+
+
 def test_signal_replay_by_hand(spark):
     ticks = quotes(spark, [(5, "1.1000", "1.1002"), (1800, "1.1010", "1.1012"), (3605, "1.1020", "1.1022"), (7300, "1.1000", "1.1002"), (100_000, "1.2", "1.2")])
     schema = "symbol string, signal_id string, decision_time timestamp_ntz, target_time timestamp_ntz, side string, target_label string"

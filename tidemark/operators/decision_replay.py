@@ -1,22 +1,21 @@
 """Single-position decision replay: reversals, holds, target exits, equity at every quote.
 
 For each decision three quotes decide everything and come from as-of joins: the next one after the
-decision, the one after that, and the first at or after its target. The state machine is then a
-fold over the decisions of a series (about one an hour), which never sees a quote stream.
+decision, the one after that, and the first at or after its target. The state machine then is a chain of decisions
+that open positions, found in rounds of joins, so neither quotes nor decisions of a series meet in one task.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark import session
 from tidemark.contracts import ContractError, DecisionReplay, naive
 from tidemark.functions import scalars as S
-from tidemark.operators import asof, curves
+from tidemark.operators import asof, chains, curves
 
 ABSTAIN = "ABSTAIN"
 
@@ -56,71 +55,66 @@ def _following(ticks: DataFrame) -> DataFrame:
     return keyed.withColumn("_in", F.lead(key).over(inside)).join(next_, ["symbol", "_bucket"]).withColumn("after", F.coalesce("_in", "_next")).drop("_bucket", "_in", "_next")
 
 
-def _fold(rows: pd.DataFrame, max_delay: int) -> pd.DataFrame:
-    """The state machine over one series; times are microseconds, a missing quote is None."""
-    rows = rows.sort_values("at").reset_index(drop=True)
-    out, position, queued_until = [], None, None
-    none = lambda x: None if pd.isna(x) else int(x)
-    for r in rows.itertuples(index=False):
-        at, next_t, next_s = int(r.at), none(r.next_t), none(r.next_s)
-        if queued_until is not None and queued_until > at:
-            raise ContractError(f"{r.symbol}: decision {r.signal_id} comes before the last intent found a quote")
-        queued_until = None
-        if position and position["end_t"] is not None and position["end_t"] <= at:
-            position = None
-        row = {"symbol": r.symbol, "signal_id": r.signal_id, "side_at_decision": position["side"] if position else "flat", "related": position["id"] if position else "", "executed": False}
-        row |= {"opens": False, "reversed": False, "end_t": None, "end_s": None, "reason": None}
-        if r.action == ABSTAIN:
-            row["disposition"] = "abstain_hold" if position else "abstain_while_flat"
-        elif position and r.action == position["side"]:
-            row["disposition"] = "same_side_noop"
-        else:
-            row["disposition"] = "reversal_queued" if position else "entry_queued"
-            queued_until = next_t if next_t is not None else float("inf")
-            if next_t is not None:
-                row["executed"] = True
-                if position:
-                    position["row"] |= {"end_t": next_t, "end_s": next_s, "reason": "reversal"}
-                if not position and next_t - at > max_delay * 1_000_000:
-                    row["disposition"] = "entry_unfilled_delay_over_60s"
-                else:
-                    row |= {"disposition": "reversed_into" if position else "entered", "opens": True, "reversed": position is not None}
-                    # the first quote after the entry that is at or after the target
-                    end = (none(r.target_t), none(r.target_s))
-                    if end[0] is not None and end <= (next_t, next_s):
-                        end = (none(r.after_t), none(r.after_s))
-                    row |= {"end_t": end[0], "end_s": end[1], "reason": "target" if end[0] is not None else None}
-                    position = {"side": r.action, "id": r.signal_id, "end_t": end[0], "row": row}
-        out.append(row)
-    frame = pd.DataFrame(out)
-    return frame.astype({"end_t": "Int64", "end_s": "Int64"})
-
-
-_FOLDED = (
-    "symbol string, signal_id string, side_at_decision string, related string, executed boolean, opens boolean, "
-    "reversed boolean, end_t long, end_s long, reason string, disposition string"
-)
+_FOREVER = 2**62
 
 
 def folded(decisions: DataFrame, ticks: DataFrame, config: DecisionReplay) -> DataFrame:
-    """Decisions with their quotes, disposition and, where they open a position, how it ends."""
+    """Decisions with their quotes, disposition and, where they open a position, how it ends.
+
+    The state between two decisions is flat or the decision whose position is open. A decision that opens one leads on to just
+    one other, whatever came before: the first one against it while the position is open (a reversal), else the first one from
+    its end on that can enter from flat. A decision that can enter after all earlier positions have ended, had they been opened,
+    does enter: what is opened is what these pointers reach from such decisions (``chains``). An intent that meets the next
+    decision before its quote is an error.
+    """
     rows = decisions.select("symbol", "signal_id", "decision_time", "action", (F.col("decision_time") + F.expr("interval 1 hour")).alias("target_time"))
     rows = asof.entry_and_exit(rows, ticks)
     after = _following(ticks).select("symbol", F.col("source_seq").alias("_seq"), "after")
     rows = rows.withColumn("_seq", F.col("entry.source_seq")).join(after, ["symbol", "_seq"], "left").drop("_seq")
-    rows = session.checkpointed(rows)
     micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
-    small = rows.select(
-        "symbol", "signal_id", "action", micros("decision_time").alias("at"), micros("entry.time").alias("next_t"), F.col("entry.source_seq").alias("next_s"),
-        micros("exit.time").alias("target_t"), F.col("exit.source_seq").alias("target_s"), micros("after.time").alias("after_t"), F.col("after.source_seq").alias("after_s"),
+    place = lambda c: F.when(F.col(c).isNotNull(), F.struct(micros(f"{c}.time").alias("t"), F.col(f"{c}.source_seq").alias("s")))
+    rows = rows.withColumns({"_at": micros("decision_time"), "_next": place("entry"), "_target": place("exit"), "_after": place("after")}).drop("exit", "after")
+    # the first quote after the entry that is at or after the target
+    rows = rows.withColumn("_own", F.when(F.col("_target") <= F.col("_next"), F.col("_after")).otherwise(F.col("_target")))
+    rows = session.checkpointed(rows.drop("_target", "_after"))
+
+    at, quoted = F.col("_at"), (F.col("action") != ABSTAIN) & F.col("_next").isNotNull()
+    in_time = F.col("_next.t") - at <= config.max_entry_delay * 1_000_000
+    until = F.coalesce("_own.t", F.lit(_FOREVER))
+    first = lambda side: F.when(quoted & (F.col("action") == side), F.struct("_at", "_next"))
+    graph = chains.before(rows, "_at", {"_ends": F.when(quoted, until), "_earlier": F.when(quoted & in_time, at)})
+    graph = chains.after(graph, "_at", {"_long": first("long"), "_short": first("short")})
+    against = F.when(F.col("action") == "long", F.col("_short")).otherwise(F.col("_long"))
+    graph = graph.withColumn("_reversal", F.when(quoted & (against["_at"] < until), against)).drop("_long", "_short")
+    graph = graph.withColumns({"_root": quoted & in_time & (F.col("_earlier").isNull() | (F.col("_ends") <= at)), "_from": F.when(quoted & F.col("_reversal").isNull(), F.col("_own.t"))})
+    graph = session.checkpointed(graph.drop("_ends", "_earlier"))
+    nodes = chains.next_at(graph, "_at", "_from", "_fresh", among=quoted & in_time).filter(quoted)
+    opened = chains.reached(nodes.select("symbol", at.alias("at"), F.col("_root").alias("root"), F.coalesce("_reversal._at", "_fresh").alias("to")))
+    opened = session.checkpointed(opened).select("symbol", F.col("at").alias("_at"), F.lit(True).alias("opens"))
+
+    marked = graph.drop("_root", "_from").join(opened, ["symbol", "_at"], "left").withColumn("opens", F.coalesce("opens", F.lit(False)))
+    marked = chains.before(marked, "_at", {"_open": F.when(F.col("opens"), F.struct("_at", "signal_id", "action", until.alias("until")))})
+    held = F.coalesce(F.col("_open.until") > at, F.lit(False))
+    disposition = (
+        F.when(F.col("action") == ABSTAIN, F.when(held, "abstain_hold").otherwise("abstain_while_flat"))
+        .when(held & (F.col("action") == F.col("_open.action")), "same_side_noop")
+        .when(F.col("_next").isNull(), F.when(held, "reversal_queued").otherwise("entry_queued"))
+        .when(held, "reversed_into")
+        .when(in_time, "entered")
+        .otherwise("entry_unfilled_delay_over_60s")
+    )
+    marked = marked.withColumns({"disposition": disposition, "side_at_decision": F.when(held, F.col("_open.action")).otherwise("flat"), "related": F.when(held, F.col("_open.signal_id")).otherwise("")})
+    intent = ~F.col("disposition").isin("abstain_hold", "abstain_while_flat", "same_side_noop")
+    marked = chains.before(marked, "_at", {"_prior": F.struct("_at", F.when(intent, F.coalesce("_next.t", F.lit(_FOREVER))).alias("queued"))})
+    conflict = F.concat("symbol", F.lit(": decision "), "signal_id", F.lit(" comes before the last intent found a quote"))
+    end = F.when(F.col("opens"), F.coalesce(F.col("_reversal._next"), F.col("_own")))
+    out = marked.select(
+        "symbol", "signal_id", "decision_time", "action", "target_time", "entry", "side_at_decision", "related", (intent & F.col("_next").isNotNull()).alias("executed"), "opens",
+        (F.col("disposition") == "reversed_into").alias("reversed"), end.t.alias("end_t"), end.s.alias("end_s"),
+        F.when(end.isNotNull(), F.when(F.col("_reversal").isNotNull(), "reversal").otherwise("target")).alias("reason"),
+        F.when(F.coalesce(F.col("_prior.queued") > at, F.lit(False)), F.raise_error(conflict)).otherwise(F.col("disposition")).alias("disposition"),
     )
-    most = config.max_entry_delay
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        return _fold(pdf, most)
-
-    # a row per decision, from which every output starts
-    return session.checkpointed(rows.drop("exit", "after").join(small.groupBy("symbol").applyInPandas(fold, _FOLDED), ["symbol", "signal_id"]))
+    return session.checkpointed(out)  # a row per decision, from which every output starts
 
 
 def replay(decisions: DataFrame, ticks: DataFrame, config: DecisionReplay) -> Replay:

@@ -98,7 +98,7 @@ def outcomes(priced_: DataFrame) -> DataFrame:
     marked = rows.join(taken, ["symbol", "_at"], "left").withColumn("_taken", F.coalesce("_taken", F.lit(False)))
     stuck = marked.filter(F.col("_taken") & (F.col("result") != "trade")).groupBy("symbol").agg(F.min("_at").alias("_stuck"))
     ends = F.when(F.col("_taken") & (F.col("result") == "trade"), micros("end.time"))
-    marked = chains.prior_max(marked, "_at", ends, "_until").join(stuck, "symbol", "left")
+    marked = chains.before(marked, "_at", {"_until": ends}).join(stuck, "symbol", "left")
     busy = F.coalesce(F.col("_at") > F.col("_stuck"), F.lit(False)) | F.coalesce(F.col("_until") > F.col("_at"), F.lit(False))
     out = marked.withColumn("outcome", F.when(busy, "position_open_at_decision").otherwise(F.col("result")))
     return session.checkpointed(out.drop("_at", "_taken", "_until", "_stuck"))  # a row per signal, from which every output starts

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators.quantiles import quantiles
+
 LABELS = ("UP", "DOWN", "ZERO", "GAP")
 
 
@@ -34,9 +36,9 @@ def direction(bars: DataFrame) -> DataFrame:
 
 
 def report(target: DataFrame) -> DataFrame:
-    """One row per symbol: class counts, fractions and the distribution of returns (sample std)."""
+    """One row per symbol: class counts, fractions and the distribution of returns (sample std, exact quartiles)."""
     label, r = F.col("target_h1_direction"), F.col("future_return_1h")
-    quartiles = F.percentile("future_return_1h", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
+    quartiles = quantiles(target.select("symbol", r.alias("x")), (0.25, 0.5, 0.75)).select("symbol", F.col("quantiles").alias("_q"))
     out = target.groupBy("symbol").agg(
         F.count("*").alias("rows"),
         *[F.count_if(label == x).alias(f"n_{x.lower()}") for x in LABELS],
@@ -45,10 +47,9 @@ def report(target: DataFrame) -> DataFrame:
         F.avg(r).alias("mean"),
         F.stddev_samp(r).alias("std"),
         F.min(r).alias("min"),
-        quartiles.alias("_q"),
         F.max(r).alias("max"),
     )
     binary = F.col("n_up") + F.col("n_down")
-    return out.select(
-        "*", F.try_divide("n_up", binary).alias("up_fraction"), F.col("_q")[0].alias("p25"), F.col("_q")[1].alias("p50"), F.col("_q")[2].alias("p75")
-    ).drop("_q")
+    return out.join(quartiles, "symbol", "left").select(
+        *out.columns, F.try_divide("n_up", binary).alias("up_fraction"), F.col("_q")[0].alias("p25"), F.col("_q")[1].alias("p50"), F.col("_q")[2].alias("p75")
+    )

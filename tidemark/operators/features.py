@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 import math
-from itertools import combinations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import scalars as S
 from tidemark.operators.bars import segments
+from tidemark.operators.comoments import comoments
 
 RETURNS = (1, 3, 6, 12, 24)
 VOLATILITIES = (6, 12, 24)
@@ -81,15 +81,8 @@ def diagnostics(features: DataFrame, names: tuple[str, ...] = CANDIDATES) -> Dat
 def correlations(features: DataFrame, names: tuple[str, ...] = CANDIDATES, top: int = 10) -> DataFrame:
     """The pairs with the highest |r|: (left, right, abs_correlation).
 
-    Pearson's r over the rows that have both; a pair in which one is constant there is left out. Each row is
-    expanded to its pairs within the scan and combined there, so what is shuffled is a row per pair and task.
+    Pearson's r over the rows that have both (``comoments``); a pair in which one is constant there is left out.
     """
-    pair = lambda a, b: F.struct(F.lit(a).alias("left"), F.lit(b).alias("right"), F.col(a).alias("x"), F.col(b).alias("y"))
-    pairs = features.select(F.explode(F.array(*[pair(a, b) for a, b in combinations(names, 2)])).alias("p")).select("p.*")
-    found = pairs.filter("x IS NOT NULL AND y IS NOT NULL").groupBy("left", "right").agg(
-        ((F.max("x") == F.min("x")) | (F.max("y") == F.min("y"))).alias("flat"),
-        F.covar_pop("x", "y").alias("c"),
-        (F.stddev_pop("x") * F.stddev_pop("y")).alias("s"),
-    )
-    r = found.filter("NOT flat").select("left", "right", F.round(F.abs(F.try_divide("c", "s")), 8).alias("abs_correlation"))
-    return r.filter("abs_correlation IS NOT NULL").orderBy(F.desc("abs_correlation"), F.desc("left"), F.desc("right")).limit(top)
+    found = comoments(features, names).filter("xx > 0 AND yy > 0")
+    r = found.select("left", "right", F.round(F.abs(F.col("xy") / (F.sqrt("xx") * F.sqrt("yy"))), 8).alias("abs_correlation"))
+    return r.orderBy(F.desc("abs_correlation"), F.desc("left"), F.desc("right")).limit(top)

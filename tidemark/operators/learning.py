@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark import session
 from tidemark.contracts import ContractError
 from tidemark.functions import scalars as S
 from tidemark.operators import features as feature_ops
+from tidemark.operators import ranks
 from tidemark.operators import target as target_ops
 
 BINARY = ("DOWN", "UP")
@@ -62,19 +64,19 @@ def split(rows: DataFrame, fractions: Fractions = Fractions()) -> DataFrame:  #
 
     Boundaries are the rows at int(n * fraction) in time order, computed in double arithmetic.
     """
-    w = Window.partitionBy("symbol").orderBy("decision_timestamp")
-    all_ = Window.partitionBy("symbol")
-    numbered = rows.withColumn("_k", F.row_number().over(w) - 1).withColumn("_n", F.count("*").over(all_))
+    rows = session.checkpointed(rows)
+    numbered = ranks.ranked(rows.select("symbol", "decision_timestamp"), "decision_timestamp", "_k", "_n")
     at = lambda share: F.floor(F.col("_n").cast("double") * F.lit(share)).cast("long")
-    begin = lambda share: F.max(F.when(F.col("_k") == at(share), F.col("decision_timestamp"))).over(all_)
-    out = numbered.withColumn("validation_start", begin(fractions.train)).withColumn("test_start", begin(fractions.train + fractions.validation))
+    begin = lambda share: F.max(F.when(F.col("_k") == at(share), F.col("decision_timestamp")))
+    begins = numbered.groupBy("symbol").agg(begin(fractions.train).alias("validation_start"), begin(fractions.train + fractions.validation).alias("test_start"))
+    out = rows.join(begins, "symbol")  # a row a series
     decision, target = F.col("decision_timestamp"), F.col("target_timestamp")
     partition = (
         F.when(decision < F.col("validation_start"), F.when(target < F.col("validation_start"), "train").otherwise("purged_train"))
         .when(decision < F.col("test_start"), F.when(target < F.col("test_start"), "validation").otherwise("purged_validation"))
         .otherwise("test")
     )
-    return out.withColumn("partition", partition).drop("_k", "_n")
+    return out.withColumn("partition", partition)
 
 
 def check_split(parts: DataFrame, least: int = 10) -> DataFrame:

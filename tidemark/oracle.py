@@ -449,6 +449,7 @@ SQL: dict[str, str] = {
         "positions",
     ),
     "v2_equity_curve": _with("SELECT * FROM equity2", "equity2"),
+    "v2_stream_equity": _with("SELECT time, seq, event, signal_id, value FROM equity2 WHERE event NOT IN ('initial_balance', 'period_end_flat')", "equity2"),
     "v2_metrics": _with(
         f""", {_drawdown("equity2", "time, seq, sub")} SELECT 'ALL' AS symbol, closed AS closed_positions, open > 0 AS open_at_period_end, (SELECT count(*) FROM ticks) AS quotes, (SELECT count(*) FROM equity2) AS equity_observations,
  v - 10000 AS closed_quote_pnl, v AS realized_balance, (SELECT value FROM equity2 ORDER BY time DESC, seq DESC, sub DESC LIMIT 1) AS ending_equity, coalesce((SELECT fall FROM trough), 0) AS maximum_drawdown, (SELECT time FROM trough) AS maximum_drawdown_time FROM final2""",

@@ -18,6 +18,7 @@ from tidemark.functions import scalars as S
 from tidemark.operators import asof, bars, curves, deals, decision_replay, features, learning, neural, signal_replay, target
 from tidemark.sources import adapters, places
 from tidemark.streaming import bars as bar_stream
+from tidemark.streaming import replay as replay_stream
 
 REQUEST = BarRequest("ALL", datetime(2024, 1, 3, tzinfo=UTC), datetime(2024, 1, 28, tzinfo=UTC), datetime(2024, 1, 27, 12, 30, tzinfo=UTC))
 DEALS_FROM, DEALS_TO = datetime(2024, 1, 5, tzinfo=UTC), datetime(2024, 1, 25, tzinfo=UTC)
@@ -340,6 +341,12 @@ def v2_equity_curve(rows: DataFrame) -> DataFrame:
     return _decisions(rows).equity.select("time", "seq", "sub", "event", "signal_id", "value")
 
 
+@query
+def v2_stream_equity(rows: DataFrame) -> DataFrame:
+    out = replay_stream.run_in_slices(adapters.decisions(rows), adapters.ticks(rows), DELAY)
+    return out.select(F.timestamp_micros("time_us").cast("timestamp_ntz").alias("time"), "seq", "event", "signal_id", "value")
+
+
 @query
 def v2_metrics(rows: DataFrame) -> DataFrame:
     return _decisions(rows).metrics

@@ -11,6 +11,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark import session
+from tidemark.sinks.batches import BatchTable, drop
+
 
 def from_files(spark: SparkSession, path: str) -> DataFrame:
     """A stream over Parquet files like those at ``path``."""
@@ -39,11 +42,21 @@ def bars(events: DataFrame) -> DataFrame:
     return out.select("symbol", F.col("w.start").cast("timestamp_ntz").alias("timestamp"), "open", "high", "low", "close", "tick_volume")
 
 
+_BARS = "symbol string, timestamp timestamp_ntz, open double, high double, low double, close double, tick_volume long"
+
+
 def run_once(spark: SparkSession, path: str) -> DataFrame:
-    """Drive the stream over the files that are there, and return its final table."""
+    """Drive the stream over the files that are there, and return its final table.
+
+    The stream writes into a ``BatchTable`` in the shared folder, where every batch is the whole table; the result is a
+    checkpoint of the last one, and the stream's own files go.
+    """
     spark.conf.set("spark.sql.session.timeZone", "UTC")
-    name = f"bars_{uuid.uuid4().hex[:12]}"
-    writer = bars(from_files(spark, path)).writeStream.outputMode("complete").format("memory").queryName(name)
+    home = f"{session.shared_folder(spark)}/bars-{uuid.uuid4().hex}"
+    table = BatchTable(spark, f"{home}/table", _BARS, whole=True)
+    writer = bars(from_files(spark, path)).writeStream.outputMode("complete").foreachBatch(table).option("checkpointLocation", f"{home}/checkpoint")
     stream = writer.trigger(availableNow=True).start()
     stream.awaitTermination()
-    return spark.table(name)
+    result = session.checkpointed(table.read())
+    drop(spark, home)
+    return result

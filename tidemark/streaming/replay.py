@@ -2,24 +2,31 @@
 
 Rows carry (symbol, time, kind, seq, bid, ask, signal_id, action); quotes have kind 0 and come before
 decisions (kind 1) of the same time. State is one small record per symbol. A row that is earlier
-than what its symbol has seen raises an error: late data is never dropped silently.
+than what its symbol has seen raises an error: late data is never dropped silently. The rows of a micro-batch are put in
+order of time, but quotes carry their source's numbers, which must rise with it: so a row that came late within a batch, which
+ordering would hide, is an error too, as is a source that numbers its quotes backwards.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 from decimal import ROUND_HALF_EVEN, Decimal
 from typing import Any
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from tidemark import session
 from tidemark.contracts import ContractError
+from tidemark.functions import scalars as S
+from tidemark.sinks.batches import BatchTable, drop
 
 EVENTS = "symbol string, time_us long, seq long, event string, signal_id string, value decimal(20,2)"
 STATE = (
-    "last_us long, last_kind int, last_seq long, side string, signal_id string, entry_price string, target_us long, "
+    "last_us long, last_kind int, last_seq long, last_quote long, side string, signal_id string, entry_price string, target_us long, "
     "pending_id string, pending_side string, pending_us long, balance string"
 )
 _HOUR = 3_600_000_000
@@ -31,7 +38,7 @@ class Machine:
 
     def __init__(self, max_delay_us: int, state: dict[str, Any] | None = None, balance: str = "10000") -> None:
         self.max_delay_us = max_delay_us
-        empty = dict.fromkeys(("last_us", "last_kind", "last_seq", "side", "signal_id", "entry_price", "target_us", "pending_id", "pending_side", "pending_us"))
+        empty = dict.fromkeys(("last_us", "last_kind", "last_seq", "last_quote", "side", "signal_id", "entry_price", "target_us", "pending_id", "pending_side", "pending_us"))
         self.s = state or {**empty, "balance": balance}
 
     def feed(self, us: int, kind: int, seq: int, bid: Decimal | None, ask: Decimal | None, signal_id: str | None, action: str | None) -> Iterator[tuple[int, int, str, str, Decimal]]:
@@ -40,6 +47,9 @@ class Machine:
             raise ContractError(f"row at {us} is late or out of order")
         s["last_us"], s["last_kind"], s["last_seq"] = here
         if kind == 0:
+            if s["last_quote"] is not None and seq <= s["last_quote"]:
+                raise ContractError(f"quote {seq} at {us} comes after quote {s['last_quote']}: it is late or out of order")
+            s["last_quote"] = seq
             yield from self._quote(us, seq, bid, ask)
         else:
             self._decision(us, signal_id, action)
@@ -104,10 +114,42 @@ def equity(rows: DataFrame, max_delay_seconds: int = 60) -> DataFrame:
     return rows.groupBy("symbol").applyInPandasWithState(step, EVENTS, STATE, "append", GroupStateTimeout.NoTimeout)
 
 
-def to_sink(rows: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str, max_delay_seconds: int = 60):
+def merged(decisions: DataFrame, ticks: DataFrame) -> DataFrame:
+    """Quotes and decisions as the rows of one stream, without an order."""
+    micros = lambda c: F.unix_micros(F.col(c).cast("timestamp")).alias("time_us")
+    none = lambda kind: F.lit(None).cast(kind)
+    quotes = ticks.select("symbol", micros("time"), F.lit(0).alias("kind"), F.col("source_seq").alias("seq"), "bid", "ask", none("string").alias("signal_id"), none("string").alias("action"))
+    asked = decisions.select("symbol", micros("decision_time"), F.lit(1).alias("kind"), F.lit(0).cast("long").alias("seq"), none(S.PRICE).alias("bid"), none(S.PRICE).alias("ask"), "signal_id", "action")
+    return quotes.union(asked)
+
+
+def run_in_slices(decisions: DataFrame, ticks: DataFrame, max_delay_seconds: int, slices: int = 3) -> DataFrame:
+    """The whole replay as a stream that is stopped and started again: equity rows, from a ``BatchTable``.
+
+    The rows arrive in ``slices`` spans of time, each of which the stream takes as a micro-batch; between them it ends and begins
+    again from its checkpoint, state included. Its files lie in the shared folder and go at the end, but for the result's
+    checkpoint.
+    """
+    spark = ticks.sparkSession
+    home = f"{session.shared_folder(spark)}/replay-{uuid.uuid4().hex}"
+    rows = session.checkpointed(merged(decisions, ticks))
+    low, high = rows.agg(F.min("time_us"), F.max("time_us")).first()
+    table = BatchTable(spark, f"{home}/table", EVENTS)
+    for k in range(slices) if low is not None else ():
+        begin, end = (low + (high + 1 - low) * x // slices for x in (k, k + 1))
+        rows.filter((F.col("time_us") >= begin) & (F.col("time_us") < end)).write.mode("append").parquet(f"{home}/rows")
+        stream = to_sink(spark.readStream.schema(rows.schema).parquet(f"{home}/rows"), table, f"{home}/checkpoint", max_delay_seconds, availableNow=True)
+        stream.awaitTermination()
+    result = session.checkpointed(table.read())
+    drop(spark, home)
+    return result
+
+
+def to_sink(rows: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str, max_delay_seconds: int = 60, **trigger: bool):
     """Start the replay with a callback that gets each micro-batch of equity rows and its number.
 
     With a checkpoint folder a restarted stream repeats a batch under the same number, so a sink that
     ignores numbers it has seen counts every row once.
     """
-    return equity(rows, max_delay_seconds).writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint).outputMode("append").start()
+    writer = equity(rows, max_delay_seconds).writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint).outputMode("append")
+    return (writer.trigger(**trigger) if trigger else writer).start()

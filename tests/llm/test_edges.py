@@ -342,6 +342,23 @@ def test_chat_emits_shared_turns_once(spark):
     assert sizes[10_000][1] == sizes[16][1] and not sizes[10_000][0] and sizes[16][0]
 
 
+def test_trees_without_a_parent_stay_spread(spark):
+    conf = {"spark.sql.shuffle.partitions": "32", "spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    before = {k: spark.conf.get(k) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    try:
+        data = [(c, k, "user", f"turn {k} of {c if c % 3 else 0}" if k < 2 else f"own {c}", "d") for c in range(1500) for k in range(3)]
+        found, _ = chat.formatted(spark.createDataFrame(data, CHAT), least=64)
+        assert found.filter("parent IS NOT NULL").count() > 1
+        for df in (found, chat.contents(found)):
+            sizes = [r["count"] for r in df.groupBy(F.spark_partition_id()).count().collect()]
+            assert max(sizes) < 3 * sum(sizes) / 32
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 @settings(max_examples=300, deadline=None)
 @given(st.text("<\\/s>[INST:]|%x\n", max_size=30), st.text("<\\/s>[INST:]|%x\n5D2", max_size=12))
 def test_template_is_reversible(text, role):

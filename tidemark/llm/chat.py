@@ -209,7 +209,10 @@ def trees(conversations: DataFrame, template: Template = Template(), learn: str
     own = F.struct(node["begin"].alias("begin"), node["end"].alias("end"))
     trunk_nodes = grown.filter(F.col("tree_id").endswith("-1")).select("tree_id", "nodes", F.explode("leaves").alias("leaf"))
     trunk_nodes = trunk_nodes.select(F.col("leaf.conversation").alias("parent"), F.col("tree_id").alias("parent_tree"), F.concat(node["attends"], F.array(own)).alias("parent_attends"))
-    return grown.join(trunk_nodes, "parent", "left")
+    # only branches have a parent: trees without one stay where they are
+    branched = grown.filter("parent IS NOT NULL").join(trunk_nodes, "parent", "left")
+    none = [F.lit(None).cast(trunk_nodes.schema[c].dataType).alias(c) for c in ("parent_tree", "parent_attends")]
+    return branched.unionByName(grown.filter("parent IS NULL").select("*", *none))
 
 
 _SPAN = pa.struct([("begin", pa.int32()), ("end", pa.int32())])
@@ -241,12 +244,16 @@ def contents(trees_: DataFrame, template: Template = Template(), learn: str = "a
                     rows.append({"digest": leaf["conversation"], "parent": parent, "n_turns": len(turns), "turns_text": said, "loss_text": "".join(learnt), "formatted_chars": length})
                 yield pa.RecordBatch.from_pylist(rows, _CONTENT)
 
-    own = trees_.select("parent", "tokens", "nodes", "leaves").mapInArrow(run, "digest string, parent string, n_turns long, turns_text string, loss_text string, formatted_chars long")
-    trunk = trees_.filter(F.col("tree_id").endswith("-1")).select("parent", "tokens", "nodes", "leaves").mapInArrow(run, own.schema)
+    read = lambda some: trees_.filter(some).select("parent", "tokens", "nodes", "leaves").mapInArrow(run, "digest string, parent string, n_turns long, turns_text string, loss_text string, formatted_chars long")
+    trunk = read(F.col("tree_id").endswith("-1"))
     before = trunk.select(F.col("digest").alias("parent"), *[F.col(c).alias(f"_{c}") for c in _READ])
-    joined = own.join(before, "parent", "left")
+    leaves = trees_.filter("parent IS NOT NULL").groupBy("parent").agg(F.sum(F.size("leaves")).alias("n"))  # one beginning may have any share of them
+    counted = common.checkpointed(before.join(leaves, "parent"))
+    total = counted.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    joined = common.join_counted(read(F.col("parent").isNotNull()), counted, "parent", "digest", total)
     whole = [F.coalesce(f"_{c}", F.lit(0)) + F.col(c) if c in ("n_turns", "formatted_chars") else F.concat(F.coalesce(f"_{c}", F.lit("")), c) for c in _READ]
-    return joined.select("digest", *[x.alias(c) for x, c in zip(whole, _READ, strict=True)])
+    branches = joined.select("digest", *[x.alias(c) for x, c in zip(whole, _READ, strict=True)])
+    return branches.union(read(F.col("parent").isNull()).select("digest", *_READ))  # whole by themselves, nothing to join
 
 
 _READ = ("n_turns", "turns_text", "loss_text", "formatted_chars")

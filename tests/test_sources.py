@@ -1,5 +1,6 @@
 """CSV and terminal sources, evidence folders, end-to-end runs, streams."""
 
+import hashlib
 import json
 from datetime import datetime, timedelta
 from decimal import Decimal
@@ -140,11 +141,61 @@ def test_replay_run(spark, tmp_path):
     ms = int(START.timestamp() * 1000)
     ticks = put(tmp_path, "t.csv", "time_msc,bid,ask\n" + "".join(f"{ms + 1000 * s},1.10000,1.10020\n" for s in (0, 1, 1800, 3600, 3601)))
     config = DecisionReplay(START, END)
-    pipelines.replay_run(spark, csv.decisions(spark, decisions, START, END), csv.ticks(spark, ticks, START, END), config, str(tmp_path / "out"))
+    pipelines.replay_run(spark, csv.decisions(spark, decisions, START, END), csv.ticks(spark, ticks, START, END), config, str(tmp_path / "out"), {"decisions": decisions, "ticks": ticks})
+    audit = json.loads((tmp_path / "out/source_audit.json").read_text())
+    assert [(a["input"], a["rows"]) for a in audit] == [("decisions", 1), ("ticks", 5)]
+    manifest = json.loads((tmp_path / "out/manifest.json").read_text())
+    assert [x["sha256"] for x in manifest["inputs"]["ticks"]] == [sha(ticks)] and len(manifest["environment"]["code_sha256"]) == 64
+    assert {"entry_time_utc", "exit_time_utc", "decision_time_utc", "target_time_utc"} <= set(spark.read.parquet(str(tmp_path / "out/positions")).columns)
     assert json.loads((tmp_path / "out/metrics.json").read_text())[0]["realized_balance"] == 9980.0
     assert spark.read.parquet(str(tmp_path / "out/positions")).count() == 1
 
 
+def sha(path):
+    return hashlib.sha256(open(path, "rb").read()).hexdigest()
+
+
+def test_signal_run(spark, tmp_path):
+    from tidemark.plans import cli
+
+    names = "decision_timestamp,target_available_timestamp,partition,candidate_signal,B2_raw_probability_up_not_calibrated,target_h1_direction,model_sha256\n"
+    row = lambda h, p, c: f"2026-01-05T{h:02}:00:00Z,2026-01-05T{h + 1:02}:00:00Z,final_confirmation,{c},{p},UP,{'f' * 64}\n"
+    predictions = put(tmp_path, "p.csv", names + row(1, "0.9", "UP") + row(2, "0.5", "ABSTAIN") + row(3, "0.1", "DOWN") + row(5, "0.2", "DOWN"))
+    second = int(START.timestamp())
+    at = [second + x for h in (1, 2, 3, 4) for x in (3600 * h + 5, 3600 * h + 1800)]
+    text = "time,time_msc,bid,ask,last,flags,volume,volume_real\n" + "".join(f"{s},{1000 * s + 7},1.1000,1.1002,0,6,0,0\n" for s in at)
+    args = ["signals", "--predictions", predictions, "--ticks", put(tmp_path, "q.csv", text), "--model-sha256", "f" * 64]
+    assert cli.main([*args, "--out", str(tmp_path / "s")]) == 0
+    assert sorted(r.signal_id for r in spark.read.parquet(str(tmp_path / "s/trades")).collect()) == ["s2026010501", "s2026010503"]
+    assert [r.reason for r in spark.read.parquet(str(tmp_path / "s/skipped")).collect()] == ["no_entry_quote_after_decision"]
+    metrics = json.loads((tmp_path / "s/metrics.json").read_text())
+    assert metrics["headline"][0]["closed_trades"] == 2 and metrics["losing_streaks"][0]["max_consecutive_losses"] == 2
+    assert json.loads((tmp_path / "s/manifest.json").read_text())["inputs"]["predictions"][0]["sha256"] == sha(predictions)
+    assert cli.main([*args, "--out", str(tmp_path / "s")]) == 2  # create-only
+    wrong = [*args[:-1], "e" * 64]
+    assert cli.main([*wrong, "--out", str(tmp_path / "s2")]) == 2
+
+
+def test_file_hashes(spark, tmp_path):
+    from tidemark.sinks.evidence import RunFolder, file_hashes
+
+    paths = [put(tmp_path, f"x{k}.bin", "z" * n) for k, n in enumerate((1, 10, 5000, 70_000))]
+    for most in (1 << 30, 4000, 0):  # read whole, some of both, and streamed
+        got = file_hashes(spark, str(tmp_path), "*.bin", most).collect()
+        assert {(r.file.rpartition("/")[2], r.bytes, r.sha256) for r in got} == {(p.rpartition("/")[2], n, sha(p)) for p, n in zip(paths, (1, 10, 5000, 70_000), strict=True)}
+    first, second = RunFolder(spark, str(tmp_path / "run")), RunFolder(spark, str(tmp_path / "run"))
+    first.document("a", 1)
+    second.document("a", 2)
+    (tmp_path / "run.claim").write_text("")
+    with pytest.raises(ContractError):
+        first.finish("complete")
+    (tmp_path / "run.claim").unlink()
+    second.finish("complete")
+    with pytest.raises(ContractError):
+        first.finish("complete")
+    assert json.loads((tmp_path / "run/a.json").read_text()) == 2
+
+
 def test_cli(spark, tmp_path, monkeypatch):
     from tidemark.plans import cli
 

@@ -8,7 +8,7 @@ import sys
 from datetime import datetime
 
 from tidemark import session
-from tidemark.contracts import UTC, BarRequest, ContractError, DecisionReplay
+from tidemark.contracts import UTC, BarRequest, ContractError, DecisionReplay, SignalReplay
 from tidemark.plans import pipelines
 from tidemark.sources import csv
 
@@ -39,6 +39,11 @@ def parser() -> argparse.ArgumentParser:
     for name in ("start", "end"):
         replay.add_argument(f"--{name}", type=_time, required=True)
     replay.add_argument("--max-entry-delay", type=int, default=60)
+    signals = commands.add_parser("signals", help="per-signal replay of frozen predictions over the terminal's quotes")
+    for name in ("predictions", "ticks", "model-sha256", "out"):
+        signals.add_argument(f"--{name}", required=True)
+    for name in ("max-entry-delay", "max-exit-delay"):
+        signals.add_argument(f"--{name}", type=int, default=60)
     net = commands.add_parser("neural")
     net.add_argument("--output-dir", required=True)
     costs = commands.add_parser("cost-report")
@@ -59,7 +64,10 @@ def main(argv: list[str] | None = None) -> int:
             print(pipelines.gate(spark, csv.raw_bars(spark, a.input, a.symbol), request, a.run_dir, {"input": a.input}, "ingest"))
         elif a.command == "replay":
             config = DecisionReplay(a.start, a.end, a.max_entry_delay)
-            print(pipelines.replay_run(spark, csv.decisions(spark, a.decisions, a.start, a.end), csv.ticks(spark, a.ticks, a.start, a.end), config, a.out))
+            print(pipelines.replay_run(spark, csv.decisions(spark, a.decisions, a.start, a.end), csv.ticks(spark, a.ticks, a.start, a.end), config, a.out, {"decisions": a.decisions, "ticks": a.ticks}))
+        elif a.command == "signals":
+            config = SignalReplay(model_sha256=a.model_sha256, max_entry_delay=a.max_entry_delay, max_exit_delay=a.max_exit_delay)
+            print(pipelines.signal_run(spark, a.predictions, a.ticks, config, a.out))
         elif a.command == "neural":
             print(pipelines.neural_run(spark, a.output_dir))
         elif a.command == "cost-report":

@@ -8,9 +8,10 @@ from typing import Any
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.contracts import BarRequest, DecisionReplay
-from tidemark.operators import bars, deals, decision_replay, features, learning, neural, target
-from tidemark.sinks.evidence import RunFolder
+from tidemark.contracts import BarRequest, DecisionReplay, SignalReplay
+from tidemark.operators import bars, curves, deals, decision_replay, features, learning, neural, signal_replay, target
+from tidemark.sinks.evidence import RunFolder, file_hashes
+from tidemark.sources import csv
 from tidemark.sources.terminal import fetch_ticks
 
 
@@ -79,14 +80,54 @@ def cost_report(spark: SparkSession, ledger: DataFrame, start: datetime, end: da
     return folder.finish("complete")
 
 
-def replay_run(spark: SparkSession, decisions: DataFrame, ticks: DataFrame, config: DecisionReplay, path: str) -> str:
+_TIMES = ("decision_time", "target_time", "entry_time", "exit_time")
+
+
+def source_audit(name: str, rows: DataFrame, time: str) -> dict[str, Any]:
+    """How many rows an input has, and its first and last time."""
+    return {"input": name} | rows.agg(F.count("*").alias("rows"), F.min(time).alias("first"), F.max(time).alias("last")).first().asDict()
+
+
+def _inputs(spark: SparkSession, paths: dict[str, str] | None) -> dict[str, Any]:
+    return {name: [r.asDict() for r in file_hashes(spark, path).orderBy("file").collect()] for name, path in (paths or {}).items()}
+
+
+def replay_run(spark: SparkSession, decisions: DataFrame, ticks: DataFrame, config: DecisionReplay, path: str, inputs: dict[str, str] | None = None) -> str:
+    """The decision replay's tables in a create-only folder, times named as UTC, with an audit of its sources and their hashes.
+
+    ``inputs``: the files that decisions and ticks come from, by name.
+    """
     folder = RunFolder(spark, path)
     decision_replay.check(decisions, ticks, config)
+    folder.document("source_audit", [source_audit("decisions", decisions, "decision_time"), source_audit("ticks", ticks, "time")])
     result = decision_replay.replay(decisions, ticks, config)
-    for name, df in (("positions", result.positions), ("signal_actions", result.actions), ("balance_curve", result.balance), ("equity_curve", result.equity)):
+    positions = result.positions.drop("entry", "end", "reversed").withColumnsRenamed({c: f"{c}_utc" for c in _TIMES})
+    for name, df in (("positions", positions), ("signal_actions", result.actions), ("balance_curve", result.balance), ("equity_curve", result.equity)):
         folder.table(name, df)
     folder.document("metrics", [r.asDict() for r in result.metrics.collect()])
-    return folder.finish("complete", period=[config.period_start, config.period_end])
+    return folder.finish("complete", period=[config.period_start, config.period_end], inputs=_inputs(spark, inputs))
+
+
+def signal_run(spark: SparkSession, predictions: str, quotes: str, config: SignalReplay, path: str, symbol: str = "") -> str:
+    """The per-signal replay of two files, frozen predictions and the terminal's quotes, in a create-only folder.
+
+    The predictions' partition, model hash and thresholds are checked, and so is the order of both files.
+    """
+    folder = RunFolder(spark, path)
+    lower, upper = str(config.lower_threshold), str(config.upper_threshold)
+    signals, audit = csv.frozen_predictions(spark, predictions, config.model_sha256, lower=lower, upper=upper, symbol=symbol)
+    ticks = csv.terminal_ticks(spark, quotes, symbol)
+    folder.document("source_audit", [audit.first().asDict() | {"input": "predictions"}, source_audit("ticks", ticks, "time")])
+    result = signal_replay.replay(signals, ticks, config)
+    for name, df in (("trades", result.trades.drop("entry", "exit")), ("skipped", result.skipped), ("open_positions", result.open_positions), ("balance_curve", result.balance), ("equity_curve", result.equity)):
+        folder.table(name, df)
+    metrics = {
+        "headline": signal_replay.headline(result, config), "trades": curves.trade_summary(result.trades), "sides": curves.side_summary(result.trades),
+        "costs": signal_replay.cost_decomposition(result.trades), "drawdown": curves.drawdown(result.equity), "spacing": curves.spacing(result.equity),
+        "losing_streaks": curves.losing_streaks(result.trades), "classifier": signal_replay.classifier_accuracy(signals), "time_in_market": signal_replay.time_in_market(result),
+    }
+    folder.document("metrics", {k: [r.asDict() for r in df.collect()] for k, df in metrics.items()})  # a row or two a series
+    return folder.finish("complete", inputs=_inputs(spark, {"predictions": predictions, "ticks": quotes}))
 
 
 def export_ticks(spark: SparkSession, terminal: Any, symbol: str, start: datetime, end: datetime, path: str) -> str:

@@ -357,11 +357,6 @@ def mse_rmse_mae(rows: DataFrame) -> DataFrame:
     return neural.errors(_bars(rows), "close", "open", ("symbol",))
 
 
-@query
-def neural_fit(rows: DataFrame) -> DataFrame:
-    return neural.run(rows.sparkSession)
-
-
 def tick_order_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Order checks of the events file as a file of quotes, with planted steps back, repeated and missing numbers."""
     session.ship(spark)

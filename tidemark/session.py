@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import tempfile
 import zipfile
 from pathlib import Path
@@ -46,6 +47,15 @@ def ship(spark: SparkSession) -> None:
     _shipped.add(context.applicationId)
 
 
+def source_hash() -> str:
+    """SHA-256 over the names and contents of the package's source files: the version of the code that runs."""
+    digest = hashlib.sha256()
+    for file in sorted(_HOME.rglob("*.py")):
+        raw = file.read_bytes()
+        digest.update(f"{file.relative_to(_HOME).as_posix()}\0{len(raw)}\0".encode() + raw)
+    return digest.hexdigest()
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder that the cluster names for checkpoints.
 

@@ -9,9 +9,11 @@ import uuid
 from datetime import datetime
 
 import pyspark
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark import session
 from tidemark.contracts import ContractError
 
 
@@ -24,7 +26,8 @@ def _path(spark: SparkSession, path: str):
 class RunFolder:
     """A folder that is written under a staging name of its own and renamed when it is complete.
 
-    A run that dies leaves its staging folder, which no other run uses.
+    A run that dies leaves its staging folder, which no other run uses. Of two runs that complete under the same name at once,
+    one gets it: the name is claimed first by a file that can be created only once.
     """
 
     def __init__(self, spark: SparkSession, path: str) -> None:
@@ -49,17 +52,50 @@ class RunFolder:
         self.parts[name] = {"sha256": hashlib.sha256(text.encode()).hexdigest()}
 
     def finish(self, status: str, **notes: object) -> str:
-        environment = {"python": platform.python_version(), "spark": pyspark.__version__}
+        environment = {"python": platform.python_version(), "spark": pyspark.__version__, "code_sha256": session.source_hash()}
         self.document("manifest", {"status": status, "files": dict(self.parts), "environment": environment, **notes})
         to, fs = _path(self.spark, self.path)
-        if fs.exists(to):
-            fs.delete(to, False)
-        if not fs.rename(_path(self.spark, self.staging)[0], to):
-            raise ContractError(f"{self.path} cannot be created")
+        claim = _path(self.spark, f"{self.path}.claim")[0]
+        try:
+            fs.create(claim, False).close()
+        except Py4JJavaError as error:
+            raise ContractError(f"another run is completing {self.path}") from error
+        try:
+            if fs.exists(to):
+                if len(fs.listStatus(to)):
+                    raise ContractError(f"{self.path} exists and is not empty")
+                fs.delete(to, False)
+            if not fs.rename(_path(self.spark, self.staging)[0], to):
+                raise ContractError(f"{self.path} cannot be created")
+        finally:
+            fs.delete(claim, False)
         return self.path
 
 
+#: Larger files are hashed as a stream, as Spark reads a whole file as one value of at most 2 GB.
+_ONE_VALUE = 1 << 30
+
+
+def file_hashes(spark: SparkSession, path: str, pattern: str = "*", most: int = _ONE_VALUE) -> DataFrame:
+    """(file, bytes, sha256) of the files at ``path`` whose names match ``pattern``; empty files are passed over.
+
+    Files up to ``most`` bytes are read and hashed by executors. A larger one is streamed through a digest in the driver's JVM, in
+    constant memory and one after the other, as a SHA-256 goes through a file in order.
+    """
+    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(path)
+    small = files.filter(F.col("length") <= most).select(F.col("path").alias("file"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+    large = []
+    for r in files.filter(F.col("length") > most).select("path", "length").collect():  # names only
+        at, fs = _path(spark, r.path)
+        stream = fs.open(at)
+        try:
+            large.append((r.path, r.length, spark.sparkContext._jvm.org.apache.commons.codec.digest.DigestUtils.sha256Hex(stream)))  # noqa: SLF001
+        finally:
+            stream.close()
+    return small.union(spark.createDataFrame(large, "file string, bytes long, sha256 string")) if large else small
+
+
 def content_hash(spark: SparkSession, path: str) -> str:
-    """One hash over the hashes of a table's part files, which Spark computes where the files are."""
-    files = spark.read.format("binaryFile").load(f"{path}/*.parquet").select(F.sha2("content", 256).alias("h"))
-    return files.agg(F.sha2(F.concat_ws(",", F.sort_array(F.collect_list("h"))).cast("binary"), 256)).first()[0]
+    """One hash over the hashes of a table's part files."""
+    files = file_hashes(spark, path, "*.parquet")
+    return files.agg(F.sha2(F.concat_ws(",", F.sort_array(F.collect_list("sha256"))).cast("binary"), 256)).first()[0]

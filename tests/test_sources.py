@@ -183,7 +183,7 @@ def test_file_hashes(spark, tmp_path):
     for most in (1 << 30, 4000, 0):  # read whole, some of both, and streamed
         got = file_hashes(spark, str(tmp_path), "*.bin", most).collect()
         assert {(r.file.rpartition("/")[2], r.bytes, r.sha256) for r in got} == {(p.rpartition("/")[2], n, sha(p)) for p, n in zip(paths, (1, 10, 5000, 70_000), strict=True)}
-    first, second = RunFolder(spark, str(tmp_path / "run")), RunFolder(spark, str(tmp_path / "run"))
+    first, second, third = (RunFolder(spark, str(tmp_path / "run")) for _ in range(3))
     first.document("a", 1)
     second.document("a", 2)
     (tmp_path / "run.claim").write_text("")
@@ -192,7 +192,7 @@ def test_file_hashes(spark, tmp_path):
     (tmp_path / "run.claim").unlink()
     second.finish("complete")
     with pytest.raises(ContractError):
-        first.finish("complete")
+        third.finish("complete")
     assert json.loads((tmp_path / "run/a.json").read_text()) == 2
 
 

@@ -157,7 +157,7 @@ def _mark(config: SignalReplay) -> Column:
 
 
 def replay(signals: DataFrame, ticks: DataFrame, config: SignalReplay = SignalReplay()) -> Replay:  # noqa: B008
-    check(signals, ticks, config)
+    """The replay of inputs that ``check`` accepts; quotes that it refuses, of zero, say, are priced as they are."""
     found = outcomes(priced(signals, ticks, config))
     trades = economics(found.filter("outcome = 'trade'"), config)
     skipped = found.filter("outcome <> 'trade'").select("symbol", "signal_id", "decision_time", F.col("outcome").alias("reason"))

@@ -118,6 +118,7 @@ def signal_run(spark: SparkSession, predictions: str, quotes: str, config: Signa
     signals, audit = csv.frozen_predictions(spark, predictions, config.model_sha256, lower=lower, upper=upper, symbol=symbol)
     ticks = csv.terminal_ticks(spark, quotes, symbol)
     folder.document("source_audit", [audit.first().asDict() | {"input": "predictions"}, source_audit("ticks", ticks, "time")])
+    signal_replay.check(signals, ticks, config)
     result = signal_replay.replay(signals, ticks, config)
     for name, df in (("trades", result.trades.drop("entry", "exit")), ("skipped", result.skipped), ("open_positions", result.open_positions), ("balance_curve", result.balance), ("equity_curve", result.equity)):
         folder.table(name, df)

@@ -1,8 +1,11 @@
 """A stream's table: every batch once, through failures and restarts; late rows are errors."""
 
+import tracemalloc
 from datetime import timedelta
 from decimal import Decimal
 
+import numpy as np
+import pandas as pd
 import pytest
 
 from tests.test_operators import DECISION, T0, TICK
@@ -79,3 +82,36 @@ def test_a_late_row_within_one_batch(spark):
     late = [tick(1, 0), tick(9, 1), tick(5, 2)]  # number 2 arrived after number 1, with an earlier time
     with pytest.raises(Exception, match="late or out of order"):
         replay.run_in_slices(asked, spark.createDataFrame(late, TICK), 60, slices=1)
+
+
+def test_slices_stay_bounded_as_a_series_grows(spark, monkeypatch):
+    streams, start = [], replay.to_sink
+    monkeypatch.setattr(replay, "to_sink", lambda *a, **k: streams.append(start(*a, **k)) or streams[-1])
+    tick = lambda s: ("S", T0 + timedelta(seconds=s), s, Decimal("1.1") + s % 7, Decimal("1.1002") + s % 7)
+    quotes = spark.createDataFrame([tick(s) for s in (*range(50), *range(3600, 3630))], TICK)
+    asked = spark.createDataFrame([("S", "a", T0, "long"), ("S", "b", T0 + timedelta(seconds=20), "short")], DECISION)
+    rows = lambda: sorted(tuple(r) for r in replay.run_in_slices(asked, quotes, 60, slices=1).collect())
+    whole, kept = rows(), spark.conf.get("spark.sql.shuffle.partitions")
+    streams.clear()
+    monkeypatch.setattr(replay, "SLICE_ROWS", 12, raising=False)
+    assert rows() == whole and len(whole) == 71 and spark.conf.get("spark.sql.shuffle.partitions") == kept
+    taken = [p["numInputRows"] for s in streams for p in s.recentProgress]
+    assert sum(taken) == 82 and max(taken) <= 12
+
+
+def test_a_micro_batch_is_held_as_numbers():
+    n = 60_000
+    when = np.arange(n, 0, -1) * 1_000
+    none = np.full(n, None)
+    frame = pd.DataFrame({"time_us": when, "kind": 0, "seq": when + 2**53, "bid": 123_456_789_012_345_678, "ask": 123_456_789_012_345_679, "signal_id": none, "action": none})
+    asked = frame.iloc[:1].assign(time_us=0, kind=1, seq=0, bid=-(2**63), ask=-(2**63), signal_id="a", action="short")
+    machine, seen = Machine(60_000_000), 0
+    tracemalloc.start()
+    for part in replay.advance(machine, "S", [frame.iloc[:777], asked, frame.iloc[777:]]):
+        seen += len(part)
+        last = part.iloc[-1]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert seen == n and peak / n < 300
+    assert (last.time_us, last.seq, last.value) == (n * 1_000, n * 1_000 + 2**53, Decimal("10000.00"))
+    assert machine.s["entry_price"] == "1234567890.12345678"

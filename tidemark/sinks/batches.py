@@ -64,3 +64,12 @@ def drop(spark: SparkSession, path: str) -> None:
     """Delete a stream's folder of files, checkpoints or batches."""
     at, fs = _path(spark, path)
     fs.delete(at, True)
+
+
+def move(spark: SparkSession, names: list[str], source: str, target: str) -> None:
+    """Move files of the folder ``source`` into the folder ``target``."""
+    at, fs = _path(spark, target)
+    fs.mkdirs(at)
+    for name in names:
+        if not fs.rename(_path(spark, f"{source}/{name}")[0], _path(spark, f"{target}/{name}")[0]):
+            raise ContractError(f"{name} cannot be moved from {source} to {target}")

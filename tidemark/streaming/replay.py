@@ -9,26 +9,31 @@ ordering would hide, is an error too, as is a source that numbers its quotes bac
 
 from __future__ import annotations
 
+import math
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
 from decimal import ROUND_HALF_EVEN, Decimal
 from typing import Any
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tidemark import session
 from tidemark.contracts import ContractError
 from tidemark.functions import scalars as S
-from tidemark.sinks.batches import BatchTable, drop
+from tidemark.sinks.batches import BatchTable, drop, move
 
 EVENTS = "symbol string, time_us long, seq long, event string, signal_id string, value decimal(20,2)"
 STATE = (
     "last_us long, last_kind int, last_seq long, last_quote long, side string, signal_id string, entry_price string, target_us long, "
     "pending_id string, pending_side string, pending_us long, balance string"
 )
+#: Rows of a slice, which is a micro-batch, at most; and those of them that are Python objects at a time.
+SLICE_ROWS, CHUNK_ROWS = 500_000, 10_000
 _HOUR = 3_600_000_000
 _UNITS = Decimal(100000)
 
@@ -97,20 +102,46 @@ class Machine:
 
 
 _FIELDS = [x.split()[0] for x in STATE.split(", ")]
+_ROW = ["time_us", "kind", "seq", "bid", "ask", "signal_id", "action"]
+_PLACES, _NO_PRICE = 8, -(2**63)
+
+
+def _whole(name: str) -> Column:
+    """A price as a whole number of units of its last place."""
+    return F.coalesce((F.col(name).cast(S.PRICE) * F.lit(10**_PLACES).cast("decimal(9,0)")).cast("long"), F.lit(_NO_PRICE)).alias(name)
+
+
+def _price(whole: int) -> Decimal | None:
+    return None if whole == _NO_PRICE else Decimal(whole).scaleb(-_PLACES)
+
+
+def advance(machine: Machine, symbol: str, frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The equity rows that ``frames`` of a symbol's rows, with whole prices, add; in order of time, some at a time.
+
+    The rows are held as numbers, and only CHUNK_ROWS of them and of what they add are Python objects.
+    """
+    held = pd.concat([f[_ROW] for f in frames], ignore_index=True)
+    order = np.lexsort((held["seq"], held["kind"], held["time_us"]))
+    for first in range(0, len(order), CHUNK_ROWS):
+        out = []
+        for us, kind, seq, bid, ask, signal_id, action in held.iloc[order[first : first + CHUNK_ROWS]].itertuples(index=False, name=None):
+            out += [(symbol, *x) for x in machine.feed(int(us), int(kind), int(seq), _price(bid), _price(ask), signal_id, action)]
+        yield pd.DataFrame(out, columns=["symbol", "time_us", "seq", "event", "signal_id", "value"])
 
 
 def equity(rows: DataFrame, max_delay_seconds: int = 60) -> DataFrame:
-    """A stream of equity rows out of the merged stream ``rows``."""
+    """A stream of equity rows out of the merged stream ``rows``.
+
+    A task holds the rows that a micro-batch has for a symbol, so the source should bound its micro-batches.
+    """
     limit = max_delay_seconds * 1_000_000
 
     def step(key: tuple[str], frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        kept = dict(zip(_FIELDS, state.get, strict=True)) if state.exists else None
-        machine, out = Machine(limit, kept), []
-        for r in pd.concat(list(frames)).sort_values(["time_us", "kind", "seq"]).itertuples(index=False):
-            out += [(key[0], *x) for x in machine.feed(int(r.time_us), int(r.kind), int(r.seq), r.bid, r.ask, r.signal_id, r.action)]
+        machine = Machine(limit, dict(zip(_FIELDS, state.get, strict=True)) if state.exists else None)
+        yield from advance(machine, key[0], frames)
         state.update(tuple(machine.s[f] for f in _FIELDS))
-        yield pd.DataFrame(out, columns=["symbol", "time_us", "seq", "event", "signal_id", "value"])
 
+    rows = rows.select("symbol", "time_us", "kind", "seq", _whole("bid"), _whole("ask"), "signal_id", "action")
     return rows.groupBy("symbol").applyInPandasWithState(step, EVENTS, STATE, "append", GroupStateTimeout.NoTimeout)
 
 
@@ -126,25 +157,57 @@ def merged(decisions: DataFrame, ticks: DataFrame) -> DataFrame:
 def run_in_slices(decisions: DataFrame, ticks: DataFrame, max_delay_seconds: int, slices: int = 3) -> DataFrame:
     """The whole replay as a stream that is stopped and started again: equity rows, from a ``BatchTable``.
 
-    The rows arrive in ``slices`` spans of time, each of which the stream takes as a micro-batch; between them it ends and begins
-    again from its checkpoint, state included. Its files lie in the shared folder and go at the end, but for the result's
-    checkpoint.
+    The rows arrive in ``slices`` spans of the stream's order, or in more, so that none has above SLICE_ROWS rows. The stream takes
+    each as a micro-batch; between them it ends and begins again from its checkpoint, state included. So what a task holds does
+    not grow with a series; the number of micro-batches does. The stream's files lie in the shared folder and go at the end, but
+    for the result's checkpoint.
     """
     spark = ticks.sparkSession
     home = f"{session.shared_folder(spark)}/replay-{uuid.uuid4().hex}"
-    rows = session.checkpointed(merged(decisions, ticks))
-    low, high = rows.agg(F.min("time_us"), F.max("time_us")).first()
+    rows = merged(decisions, ticks).filter("time_us IS NOT NULL")
+    rows.write.parquet(f"{home}/merged")
+    rows = spark.read.schema(rows.schema).parquet(f"{home}/merged")
+    n, symbols = rows.agg(F.count("*"), F.count_distinct("symbol")).first()
     table = BatchTable(spark, f"{home}/table", EVENTS)
-    for k in range(slices) if low is not None else ():
-        begin, end = (low + (high + 1 - low) * x // slices for x in (k, k + 1))
-        rows.filter((F.col("time_us") >= begin) & (F.col("time_us") < end)).write.mode("append").parquet(f"{home}/rows")
-        stream = to_sink(spark.readStream.schema(rows.schema).parquet(f"{home}/rows"), table, f"{home}/checkpoint", max_delay_seconds, availableNow=True)
+    for names in _laid_out(rows, f"{home}/ranges", max(1, min(SLICE_ROWS, math.ceil(n / slices))), n) if n else ():
+        move(spark, names, f"{home}/ranges", f"{home}/rows")
+        with _shuffles(spark, 4 * symbols):
+            stream = to_sink(spark.readStream.schema(rows.schema).parquet(f"{home}/rows"), table, f"{home}/checkpoint", max_delay_seconds, availableNow=True)
         stream.awaitTermination()
     result = session.checkpointed(table.read())
     drop(spark, home)
     return result
 
 
+def _laid_out(rows: DataFrame, path: str, most: int, n: int) -> list[list[str]]:
+    """Write ``rows`` as files that follow each other in the stream's order; their names in groups of at most ``most`` rows.
+
+    Ranges are cut by a sample, so they are finer than the groups, which are made from the rows counted in each file.
+    """
+    order = ("time_us", "kind", "seq")
+    rows.repartitionByRange(4 * math.ceil(n / most), *order).sortWithinPartitions(*order).write.parquet(path)
+    files = rows.sparkSession.read.schema(rows.schema).parquet(path).groupBy(F.col("_metadata.file_name").alias("name")).count()
+    groups, held = [[]], 0
+    for name, count in sorted(tuple(r) for r in files.collect()):
+        if held and held + count > most:
+            groups, held = [*groups, []], 0
+        groups[-1].append(name)
+        held += count
+    return groups
+
+
+@contextmanager
+def _shuffles(spark: SparkSession, most: int) -> Iterator[None]:
+    """Fewer shuffle partitions for what starts within: a stream keeps a state store for each, and few symbols need few."""
+    name = "spark.sql.shuffle.partitions"
+    kept = spark.conf.get(name)
+    spark.conf.set(name, str(max(1, min(int(kept), most))))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, kept)
+
+
 def to_sink(rows: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str, max_delay_seconds: int = 60, **trigger: bool):
     """Start the replay with a callback that gets each micro-batch of equity rows and its number.
 
